@@ -70,12 +70,12 @@ def _runner(rule: Rule, n_keys: int, names: list[str], starts: dict, flush: dict
             if emitted and not states_only:
                 out.extend((*gid[:-1], *r) for r in emitted)
             if len(out) >= 50_000:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=names, dtype=object)
                 out = []
         close()
         res = done if states_only else out
         if res:
-            yield pd.DataFrame(res, columns=names)
+            yield pd.DataFrame(res, columns=names, dtype=object)
 
     return run
 
