@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import q_filters, q_functions, q_joins  # noqa: F401
+from . import q_filters, q_functions, q_joins, q_aggregates, q_sequences  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
