@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..session import checkpoint
 from . import scan as S
-from .skew import limits, too_small_to_probe
+from .skew import find_split, limits, too_small_to_probe
 
 BLOCK = 2_000
 
@@ -26,28 +26,30 @@ BLOCK = 2_000
 def components(df: DataFrame, keys, x: str, tie: str, reach, end: str | None = None) -> DataFrame:
     """Add ``__comp``. A row starts a component when its x is ``reach`` or more past all before it."""
     tail = end or x
-    df = S.scan(df, keys, [x, tie], __far=S.run_max(tail, inclusive=False))
+    split = find_split(df, keys, [x, tie])
+    df = S.scan(df, keys, [x, tie], split, __far=S.run_max(tail, inclusive=False))
     fresh = F.col("__far").isNull() | (F.col(x) - F.col("__far") >= F.lit(reach))
     df = df.withColumn("__new", fresh.cast("long")).drop("__far")
-    return S.scan(df, keys, [x, tie], __comp=S.run_sum("__new")).drop("__new")
+    return S.scan(df, keys, [x, tie], split, __comp=S.run_sum("__new")).drop("__new")
 
 
-def _solve(conflict: Callable, arrays: list[np.ndarray]) -> np.ndarray:
-    """Keep flags for rows already in priority order."""
-    n = len(arrays[0])
-    keep = np.ones(n, dtype=bool)
-    for i in range(n - 1):
-        if keep[i]:
-            rest = keep[i + 1 :]
-            hit = conflict([a[i] for a in arrays], [a[i + 1 :] for a in arrays])
-            rest &= ~hit
-    return keep
+def greedy_pick(conflict: Callable) -> Callable:
+    """Positions of the rows kept, for rows already in priority order."""
 
+    def pick(*arrays):
+        keep = np.ones(len(arrays[0]), dtype=bool)
+        for i in range(len(keep) - 1):
+            if keep[i]:
+                keep[i + 1 :] &= ~conflict([a[i] for a in arrays], [a[i + 1 :] for a in arrays])
+        return np.flatnonzero(keep)
 
-def _solver(n_keys: int, n_num: int, conflict: Callable, names: list[str]):
+    return pick
+
+
+def _solver(n_keys: int, n_num: int, pick: Callable, names: list[str]):
     """mapInPandas body over rows sorted by (keys, comp, priority).
 
-    Columns: keys, comp, numeric conflict columns, then the payload. One component is
+    Columns: keys, comp, numeric columns for ``pick``, then the payload. One component is
     held at a time; components are bounded by the caller.
     """
 
@@ -69,24 +71,30 @@ def _solver(n_keys: int, n_num: int, conflict: Callable, names: list[str]):
 
     def emit(pdf, starts):
         nums = [pdf.iloc[:, n_keys + 1 + i].to_numpy() for i in range(n_num)]
-        keep = np.ones(len(pdf), dtype=bool)
         ends = np.append(starts[1:], len(pdf))
-        for a, b in zip(starts, ends):
-            if b - a > 1:
-                keep[a:b] = _solve(conflict, [c[a:b] for c in nums])
-        got = pdf[keep]
+        rows = [np.array([a]) if b - a == 1 else a + pick(*[c[a:b] for c in nums]) for a, b in zip(starts, ends)]
+        got = pdf.iloc[np.concatenate(rows)]
         got.columns = names
         return got
 
     return run
 
 
-def _solve_df(df: DataFrame, keys, priority: list[Column], nums: list[str], conflict, payload: list[str]) -> DataFrame:
+def _solve_df(df: DataFrame, keys, priority: list[Column], nums: list[str], pick, payload: list[str]) -> DataFrame:
     part = [*keys, "__comp"]
     cols = [*part, *[F.col(c).alias(f"__n{i}") for i, c in enumerate(nums)], *payload]
     laid = df.repartition(*part).sortWithinPartitions(*[F.col(c) for c in part], *priority)
     laid = laid.select(*cols)
-    return laid.mapInPandas(_solver(len(keys), len(nums), conflict, laid.columns), laid.schema).select(*part, *payload)
+    return laid.mapInPandas(_solver(len(keys), len(nums), pick, laid.columns), laid.schema).select(*part, *payload)
+
+
+def component_map(df, keys, x, tie, reach, priority, nums, pick) -> DataFrame:
+    """Rows at the positions ``pick`` returns for each component, in priority order.
+
+    A component is a chain of rows with gaps under ``reach``: one crowded spot of a page.
+    """
+    tagged = components(df, keys, x, tie, reach)
+    return _solve_df(tagged, keys, priority, nums, pick, [c for c in df.columns if c not in keys]).select(*df.columns)
 
 
 def suppress(
@@ -111,15 +119,16 @@ def suppress(
     payload = [c for c in names if c not in keys]
     tagged = components(df, keys, x, tie, reach, end)
     part = [*keys, "__comp"]
+    pick = greedy_pick(conflict)
     if too_small_to_probe(df):
-        return _solve_df(tagged, keys, priority, nums, conflict, payload).select(*names)
+        return _solve_df(tagged, keys, priority, nums, pick, payload).select(*names)
     tagged = checkpoint(tagged)
     sizes = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limits().component_rows)
     if sizes.isEmpty():
-        return _solve_df(tagged, keys, priority, nums, conflict, payload).select(*names)
+        return _solve_df(tagged, keys, priority, nums, pick, payload).select(*names)
     big = sizes.drop("__n")
     small = tagged.join(big, part, "left_anti")
-    done = _solve_df(small, keys, priority, nums, conflict, payload)
+    done = _solve_df(small, keys, priority, nums, pick, payload)
     left = checkpoint(tagged.join(big, part, "left_semi"))
     kept = None
     far = end or x
@@ -128,7 +137,7 @@ def suppress(
         w = W.partitionBy(*part).orderBy(*priority)
         # Spark keeps only BLOCK rows per component before the shuffle
         top = left.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= BLOCK).drop("__rank")
-        won = checkpoint(_solve_df(top, keys, priority, nums, conflict, payload))
+        won = checkpoint(_solve_df(top, keys, priority, nums, pick, payload))
         kept = won if kept is None else checkpoint(kept.unionByName(won))
         a = won.select(*[F.col(c).alias(f"__w_{c}") for c in [*part, *payload]])
         same = [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in part]
