@@ -142,9 +142,14 @@ def meter_beats(num, den) -> Column:
     return _c(num) * (F.lit(4.0) / _c(den))
 
 
+def strip(text) -> Column:
+    """Without white space (not just blanks) at either end."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
 def split_measures(text) -> Column:
     """Non-blank parts between bars, trimmed."""
-    return F.filter(F.transform(F.split(_c(text), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(_c(text), r"\|"), strip), lambda p: p != "")
 
 
 def tokenize_events(measure) -> Column:
@@ -160,7 +165,7 @@ def split_event(event) -> Column:
     plain = F.regexp_extract(e, r"(/\d+)$", 1)
     dur = F.when(closed, F.when(F.startswith(after, F.lit("/")), after).otherwise("")).otherwise(plain)
     body = F.when(closed, F.regexp_extract(e, r"^([^\]]*\])", 1)).otherwise(F.regexp_replace(e, r"/\d+$", ""))
-    body = F.trim(F.regexp_replace(body, r"^[\[\]]+|[\[\]]+$", ""))
+    body = strip(F.regexp_replace(body, r"^[\[\]]+|[\[\]]+$", ""))
     notes = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
     return F.struct(notes.alias("notes"), dur.alias("duration"))
 
@@ -169,7 +174,7 @@ def normalize_measure(text) -> Column:
     """Label clean-up: a one-and-a-half-beat remark becomes a dot, other remarks go."""
     s = F.regexp_replace(_c(text), r"\(1\.5拍\)", ".")
     s = F.regexp_replace(s, r"\(\d+\.?\d*拍\)", "")
-    return F.trim(F.regexp_replace(s, r"\([^)]*\)", ""))
+    return strip(F.regexp_replace(s, r"\([^)]*\)", ""))
 
 
 def blank_measures(n) -> Column:
