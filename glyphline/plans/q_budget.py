@@ -15,7 +15,7 @@ ML = """ml AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderke
 
 
 def snap_sql(v: str) -> str:
-    return f"(list_sort(list_transform({STEPS_SQL}, lambda s: struct_pack(d := abs(s - ({v})), s := s)))[1].s)::DOUBLE"
+    return f"(list_sort(list_transform({STEPS_SQL}, lambda sv: struct_pack(d := abs(sv - ({v})), s := sv)))[1].s)::DOUBLE"
 
 
 def notes(spark, sf):
@@ -149,7 +149,7 @@ _NW = f"""{EV}, pl AS (SELECT k, id, x, row_number() OVER (PARTITION BY k ORDER
  mk AS (SELECT k, id AS mid, x AS mx, CASE WHEN id % 2 = 0 THEN 3 ELSE 6 END AS n FROM ev WHERE typ = 'signup'),
  an AS (SELECT mk.*, pos, sz FROM mk JOIN pl ON pl.k = mk.k QUALIFY row_number() OVER (PARTITION BY mid ORDER BY abs(x - mx), pos) = 1),
  st AS (SELECT *, unnest(CASE WHEN sz <= n THEN [1::BIGINT] ELSE range(greatest(1, pos - n + 1), least(pos, sz - n + 1) + 1) END) AS s FROM an),
- sc AS (SELECT st.k, mid, n, s, any_value(mx) AS mx, sum(pl.x) / n AS c FROM st JOIN pl ON pl.k = st.k AND pl.pos >= s AND pl.pos < s + n GROUP BY ALL),
+ sc AS (SELECT st.k, mid, n, s, any_value(mx) AS mx, sum(pl.x) / any_value(n) AS c FROM st JOIN pl ON pl.k = st.k AND pl.pos >= s AND pl.pos < s + n GROUP BY st.k, mid, n, s),
  bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY mid ORDER BY abs(c - mx), s) = 1)"""
 
 
