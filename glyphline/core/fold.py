@@ -16,7 +16,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import checkpoint
+from ..session import checkpoint, ship_package
 from .skew import SEG, find_split, same_keys
 
 
@@ -82,6 +82,7 @@ def _runner(rule: Rule, n_keys: int, names: list[str], starts: dict, flush: dict
 
 def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule: Rule, out: str) -> DataFrame:
     """Apply ``rule`` to every group. ``out`` is the DDL of the rows it emits (without keys)."""
+    ship_package(df.sparkSession)
     split = find_split(df, keys, order)
     tagged = df.withColumn(SEG, F.lit(-1)) if split is None else split.tag(df).withColumn(SEG, F.coalesce(SEG, F.lit(-1)))
     need = list(dict.fromkeys([*keys, SEG, *cols, *order]))

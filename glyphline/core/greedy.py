@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import checkpoint
+from ..session import checkpoint, ship_package
 from . import scan as S
 from .skew import find_split, limits, too_small_to_probe
 
@@ -81,6 +81,7 @@ def _solver(n_keys: int, n_num: int, pick: Callable, names: list[str]):
 
 
 def _solve_df(df: DataFrame, keys, priority: list[Column], nums: list[str], pick, payload: list[str]) -> DataFrame:
+    ship_package(df.sparkSession)
     part = [*keys, "__comp"]
     cols = [*part, *[F.col(c).alias(f"__n{i}") for i, c in enumerate(nums)], *payload]
     laid = df.repartition(*part).sortWithinPartitions(*[F.col(c) for c in part], *priority)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
 from ..core.fold import Rule, fold
-from ..core.skew import same_keys
 from ..functions import scalar as N
 from . import aggregates as A
 from . import joins as J
@@ -97,8 +96,7 @@ def deficit_alloc(df, keys, x, tie, dur, capacity, rest_beats, edge) -> DataFram
     """
     order = [x, tie]
     d = gap_with_boundary(df, keys, x, tie, edge, "known", "__gap")
-    med = A.group_median(d, keys, "__gap", tie, upper=True, name="__m")
-    d = d.join(med, keys, "left")
+    d = A.with_median(d, keys, "__gap", tie, upper=True, name="__m")
     d = _totals(d, keys, order, __t=dur, __n=F.lit(1))
     deficit = _c(capacity) - _c(rest_beats) - F.col("__t")
     d = d.withColumn("__def", F.when((F.col("__n") >= 3) & (F.col("__t") + _c(rest_beats) < _c(capacity) - 0.1), deficit).otherwise(0.0))
@@ -189,13 +187,12 @@ def swap_fixpoint(df, keys, x, tie, dur, surplus, edge) -> DataFrame:
     shielded = _yes(F.abs(F.col("__pd") - 0.75) < 0.01)
     d = _ranked(d, keys, ok & (F.col(dur) == 0.25) & ~shielded, [-F.col("__gap")], order, "__a")
     d = _ranked(d, keys, ok & (F.col(dur) == 0.5), [F.col("__gap")], order, "__b")
+    # each rank holds at most one of either kind
     d = d.withColumn("__pair", F.coalesce("__a", "__b"))
-    pairs = d.filter(F.col("__pair").isNotNull()).groupBy(*keys, F.col("__pair").alias("__k")).agg(
-        F.max(F.when(F.col("__a").isNotNull(), F.col("__gap"))).alias("__sg"), F.max(F.when(F.col("__b").isNotNull(), F.col("__gap"))).alias("__eg"))
-    pairs = pairs.filter(F.col("__sg") > F.col("__eg") * 1.2).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__k")
-    cond = same_keys([F.col(k) for k in keys], [F.col(f"__k_{k}") for k in keys]) & (F.col("__pair") == F.col("__k"))
-    d = d.join(pairs, cond, "left")
-    new = F.when(F.col("__k").isNotNull(), F.when(F.col("__a").isNotNull(), 0.5).otherwise(0.25)).otherwise(F.col(dur))
+    d = S.scan(d, [*keys, "__pair"], order, __sg=S.total("max", F.when(F.col("__a").isNotNull(), F.col("__gap"))),
+               __eg=S.total("max", F.when(F.col("__b").isNotNull(), F.col("__gap"))))
+    swap = _yes(F.col("__pair").isNotNull() & (F.col("__sg") > F.col("__eg") * 1.2))
+    new = F.when(swap, F.when(F.col("__a").isNotNull(), 0.5).otherwise(0.25)).otherwise(F.col(dur))
     return d.withColumn(dur, new).select(*df.columns)
 
 
@@ -249,28 +246,35 @@ def proportional_alloc(df, keys, x, tie, remaining, edge, hollow: Column | None
 
 def nearest_n_window(pool, markers, keys, x, row_id, mx, n, marker_id) -> DataFrame:
     """Rows under a marker: the ``n`` consecutive rows, holding the row nearest to the
-    marker, whose centre is nearest to it. A pool of ``n`` rows or fewer is taken whole."""
-    p = S.scan(pool.select(*keys, F.col(x).cast("double").alias("px"), F.col(row_id).alias("pid")), keys, ["px", "pid"], pos=S.row_number(), size=S.total("count", F.lit(1)))
+    marker, whose centre is nearest to it. A pool of ``n`` rows or fewer is taken whole.
+
+    Each row brings along the rows it can share a window with, so a marker needs only its
+    nearest row. The largest ``n`` is read from the markers.
+    """
+    reach = (markers.agg(F.max(n)).first()[0] or 1) - 1
+    me = F.struct(F.col(x).cast("double").alias("x"), F.col(row_id).alias("id"))
+    p = pool.select(*keys, F.col(x).cast("double").alias("px"), F.col(row_id).alias("pid"), me.alias("me"))
+    around = {f"__b{i}": S.lag("me", i) for i in range(reach, 0, -1)} | {f"__f{i}": S.lead("me", i) for i in range(1, reach + 1)}
+    p = S.scan(p, keys, ["px", "pid"], pos=S.row_number(), size=S.total("count", F.lit(1)), __same=S.lag("px"), **around)
+    before = F.array_compact(F.array(*[F.col(f"__b{i}") for i in range(reach, 0, -1)])) if reach else F.array()
+    after = F.array_compact(F.array(*[F.col(f"__f{i}") for i in range(1, reach + 1)])) if reach else F.array()
+    # of rows at one place the first stands for it
+    at = p.filter(F.col("__same").isNull() | (F.col("__same") < F.col("px"))).select(
+        *keys, "px", "pos", "size", (F.concat(before, F.array("me"), after) if reach else F.array("me")).alias("near"),
+        (F.size(before) if reach else F.lit(0)).alias("here"))
     m = markers.select(*keys, F.col(mx).cast("double").alias("mx"), F.col(n).alias("mn"), F.col(marker_id).alias("mid"))
-    # nearest row on either side; of rows at one place the first
-    at = p.groupBy(*keys, "px").agg(F.min("pos").alias("pos"), F.first("size").alias("size"))
-    m = J.neighbours(m, at, keys, "mx", "px", "mid", ["pos", "size"])
+    m = J.neighbours(m, at, keys, "mx", "px", "mid", ["size", "near", "here"])
     dp, dn = F.col("mx") - F.col("__prev.at"), F.col("__next.at") - F.col("mx")
-    left = F.col("__next").isNull() | (dp <= dn)
-    near = F.when(F.col("__prev").isNotNull() & left, F.col("__prev")).otherwise(F.col("__next"))
-    m = m.withColumn("a", near).filter(F.col("a").isNotNull()).select(*keys, "mid", "mx", "mn", F.col("a.pos").alias("anchor"), F.col("a.size").alias("size"))
-    first = F.greatest(F.lit(1).cast("long"), F.col("anchor") - F.col("mn") + 1)
-    last = F.least(F.col("anchor"), F.col("size") - F.col("mn") + 1)
-    starts = F.when(F.col("size") <= F.col("mn"), F.array(F.lit(1).cast("long"))).otherwise(F.sequence(first, last))
-    c = m.withColumn("s", F.explode(starts))
-    # a marker spans a handful of rows: n starts of n rows each
-    c = c.withColumn("pos", F.explode(F.sequence(F.col("s"), F.least(F.col("s") + F.col("mn") - 1, F.col("size")))))
-    c = c.join(p.select(*keys, "pos", "px"), [*keys, "pos"])
-    c = c.groupBy(*keys, "mid", "mx", "mn", "size", "s").agg(F.sum("px").alias("sx"))
-    off = F.abs(F.col("sx") / F.col("mn") - F.col("mx"))
-    best = c.groupBy(*keys, "mid").agg(F.min_by(F.struct("s", "mn", "size"), F.struct(off.alias("d"), F.col("s"))).alias("b"))
-    w = best.select(*keys, "mid", F.explode(F.sequence(F.col("b.s"), F.least(F.col("b.s") + F.col("b.mn") - 1, F.col("b.size")))).alias("pos"))
-    return w.join(p.select(*keys, "pos", "pid"), [*keys, "pos"]).select(*keys, F.col("mid").alias(marker_id), F.col("pid").alias(row_id))
+    left = F.col("__prev").isNotNull() & (F.col("__next").isNull() | (dp <= dn))
+    m = m.withColumn("a", F.when(left, F.col("__prev")).otherwise(F.col("__next"))).filter(F.col("a").isNotNull())
+    m = m.select(*keys, "mid", "mx", "mn", "a.*")
+    # starts as offsets into ``near``, whose element ``here`` is the nearest row
+    first = F.greatest(F.lit(0), F.col("here") - F.col("mn") + 1)
+    last = F.least(F.col("here"), F.size("near") - F.col("mn"))
+    centre = lambda s: F.aggregate(F.slice("near", s + 1, F.col("mn")), F.lit(0.0), lambda t, v: t + v["x"]) / F.col("mn")
+    best = F.array_min(F.transform(F.sequence(first, last), lambda s: F.struct(F.abs(centre(s) - F.col("mx")).alias("d"), s.alias("s"))))["s"]
+    rows = F.when(F.col("size") <= F.col("mn"), F.col("near")).otherwise(F.slice("near", best + 1, F.col("mn")))
+    return m.select(*keys, F.col("mid").alias(marker_id), F.explode(rows).alias("r")).select(*keys, marker_id, F.col("r.id").alias(row_id))
 
 
 def choose_interpretation(notes, markers, keys, x, row_id, idurs, rest_beats, capacity, mx, n, marker_id) -> DataFrame:
@@ -281,34 +285,38 @@ def choose_interpretation(notes, markers, keys, x, row_id, idurs, rest_beats, ca
     the others share what is left. ``idurs`` is the array of the members' own durations.
     Returns (keys, row id, duration, source).
     """
-    marked = markers.select(*keys).distinct()
-    d = notes.join(marked, keys, "left_semi")
-    single = d.filter(F.size(idurs) == 1)
-    read = []
-    for i, pool in enumerate((single, d)):
-        ids = nearest_n_window(pool, markers, keys, x, row_id, mx, n, marker_id).select(*keys, row_id).distinct()
-        read.append(ids.withColumn("reading", F.lit(i)))
-    ids = read[0].unionByName(read[1])
-    have = ids.select(*keys, "reading").distinct()
-    all_ = d.join(have, keys).join(ids.withColumn("__in", F.lit(1)), [*keys, "reading", row_id], "left")
     rk = [*keys, "reading"]
-    covered = all_.filter(F.col("__in") == 1).select(*rk, x, row_id, F.posexplode(idurs).alias("__p", "__idur"))
-    base = A.mode_first_seen(covered, rk, "__idur", [x, row_id, "__p"], "base")
-    a = all_.groupBy(*rk).agg(F.sum(F.coalesce("__in", F.lit(0))).alias("nt"), F.count(F.lit(1)).alias("na"),
-                              F.first(rest_beats).alias("rb"), F.first(capacity).alias("cap")).join(base, rk)
-    over = lambda b: (b * 2.0 / 3.0 * F.col("nt") + (F.col("na") - F.col("nt")) * 0.25 + F.col("rb") > F.col("cap") + 0.1) & (b > 0.125)
+    d = notes.join(markers.select(*keys).distinct(), keys, "left_semi")
+    d = d.withColumn("reading", F.explode(F.array(F.lit(0), F.lit(1))))
+    pool = d.filter((F.col("reading") == 1) | (F.size(idurs) == 1))
+    both = markers.withColumn("reading", F.explode(F.array(F.lit(0), F.lit(1))))
+    ids = nearest_n_window(pool, both, rk, x, row_id, mx, n, marker_id).select(*rk, row_id).distinct()
+    a = d.join(ids.withColumn("__in", F.lit(1)), [*rk, row_id], "left")
+    # commonest duration of the covered members: one row per member, none for the others
+    members = F.when(F.col("__in") == 1, F.col(idurs)).otherwise(F.array(F.lit(None).cast("double")))
+    a = a.select("*", F.posexplode(members).alias("__p", "__v"))
+    order = [x, row_id, "__p"]
+    a = S.scan(a, [*rk, "__v"], order, __c=S.total("count", "__v"), __f=S.total("min", F.struct(*order)))
+    pick = F.when(F.col("__v").isNotNull(), F.struct((-F.col("__c")).alias("c"), F.col("__f").alias("f"), F.col("__v").alias("v")))
+    a = S.scan(a, rk, order, __b=S.total("min", pick)).filter(F.col("__p") == 0)
+    a = S.scan(a, rk, [x, row_id], nt=S.total("sum", F.coalesce("__in", F.lit(0))), na=S.total("count", F.lit(1)))
+    a = a.filter(F.col("__b").isNotNull())
+    over = lambda b: (b * 2.0 / 3.0 * F.col("nt") + (F.col("na") - F.col("nt")) * 0.25 + _c(rest_beats) > _c(capacity) + 0.1) & (b > 0.125)
     # halving 4 beats six times already gets below the limit
-    a = a.withColumn("base", F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.col("base"), lambda b, _: F.when(over(b), b * 0.5).otherwise(b)))
+    half = F.col("__b.v")
+    for _ in range(6):
+        a = a.withColumn("base", F.when(over(half), half * 0.5).otherwise(half))
+        half = F.col("base")
     a = a.withColumn("td", F.col("base") * 2.0 / 3.0)
-    left = F.greatest(F.lit(0.25), F.col("cap") - F.col("td") * F.col("nt") - F.col("rb"))
-    a = a.withColumn("ld", N.snap(left / F.nullif(F.col("na") - F.col("nt"), F.lit(0))))
-    total = F.col("td") * F.col("nt") + F.coalesce(F.col("ld") * (F.col("na") - F.col("nt")), F.lit(0.0)) + F.col("rb")
-    best = a.groupBy(*keys).agg(F.min_by(F.struct("reading", "td", "ld"), F.struct(F.abs(total - F.col("cap")).alias("e"), F.col("reading"))).alias("b"))
-    win = best.select(*keys, "b.*")
-    out = all_.join(win, rk)
+    others = F.col("na") - F.col("nt")
+    left = F.greatest(F.lit(0.25), _c(capacity) - F.col("td") * F.col("nt") - _c(rest_beats))
+    a = a.withColumn("ld", N.snap(left / F.nullif(others, F.lit(0))))
+    total = F.col("td") * F.col("nt") + F.coalesce(F.col("ld") * others, F.lit(0.0)) + _c(rest_beats)
+    a = S.scan(a, keys, [x, row_id, "reading"], __w=S.total("min", F.struct(F.abs(total - _c(capacity)).alias("e"), F.col("reading").alias("r"))))
     inside = F.col("__in") == 1
-    return out.select(*keys, row_id, F.when(inside, F.col("td")).otherwise(F.col("ld")).alias("duration"),
-                      F.when(inside, "tuplet").otherwise("tuplet_leftover").alias("source"))
+    return a.filter(F.col("reading") == F.col("__w.r")).select(
+        *keys, row_id, F.when(inside, F.col("td")).otherwise(F.col("ld")).alias("duration"),
+        F.when(inside, "tuplet").otherwise("tuplet_leftover").alias("source"))
 
 
 class _Prune(Rule):
@@ -342,14 +350,11 @@ class _RestUpgrade(Rule):
     """State: gap left. Each rest takes the longest standard duration that fits in it."""
 
     def step(self, state, row):
-        rid, dur, gap = row
+        dur, gap, rest = row[0], row[1], row[2:]
         left = gap if state is None else state
-        if left <= 0.01:
-            return left, [(rid, dur)]
-        fit = [d for d in N.STANDARD_DURATIONS if dur < d <= dur + left + 0.01]
-        if not fit:
-            return left, [(rid, dur)]
-        return left - (fit[-1] - dur), [(rid, fit[-1])]
+        fit = [d for d in N.STANDARD_DURATIONS if dur < d <= dur + left + 0.01] if left > 0.01 else []
+        new = fit[-1] if fit else dur
+        return left - (new - dur), [(new, dur, *rest)]
 
 
 def rest_adjust(df, keys, x, row_id, is_rest: Column, dur, capacity, edge, dy) -> DataFrame:
@@ -359,51 +364,56 @@ def rest_adjust(df, keys, x, row_id, is_rest: Column, dur, capacity, edge, dy) -
     a null row id); then either rests are lengthened, shortest and widest first, or all get
     an equal share, whichever comes closest; a right total is put in short-to-long order.
     """
-    d = df.withColumns({"__r": is_rest, "__d": _c(dur).cast("double"), "__x": F.col(x).cast("double")})
-    g = d.groupBy(*keys).agg(
-        F.sum(F.when(~F.col("__r"), F.col("__d")).otherwise(0.0)).alias("nb"), F.sum(F.when(F.col("__r"), F.col("__d")).otherwise(0.0)).alias("rb"),
-        F.count_if("__r").alias("n"), F.count_if(~F.col("__r")).alias("nn"), F.min(F.when(F.col("__r"), F.col("__x"))).alias("fx"),
-        F.first(_c(capacity).cast("double")).alias("cap"), F.first(_c(edge).cast("double")).alias("edge"))
-    g = g.withColumn("rem", F.col("cap") - F.col("nb")).filter((F.col("n") > 0) & (F.col("rem") > 0)).withColumn("gap", F.col("rem") - F.col("rb"))
-    # the last note before the first rest
-    prev = d.filter(~F.col("__r")).join(g.select(*keys, "fx"), keys).filter(F.col("__x") < F.col("fx")).groupBy(*keys).agg(F.max("__x").alias("px"))
-    g = g.join(prev, keys, "left")
-    standard = F.abs(F.col("gap") - N.snap("gap")) < 0.01
-    put = _yes(standard & (F.col("nn") > 0) & (F.col("fx") - F.col("px") > dy * 2.5))
-    g = g.withColumns({"put": put, "extra": F.when(put, N.snap("gap")).otherwise(0.0)})
-    new = g.filter("put").select(*keys, F.lit(None).cast("long").alias(row_id), F.floor((F.col("px") + F.col("fx")) / 2).cast("double").alias("__x"),
-                                 F.col("extra").alias("__d"), F.lit("gap_insert").alias("source"))
-    rests = d.filter("__r").join(g.select(*keys), keys, "left_semi").select(*keys, row_id, "__x", "__d", F.lit("rest_detected").alias("source"))
-    rests = rests.unionByName(new)
     # -1 stands for the inserted rest, of which a measure has at most one
-    rests = rests.withColumn("rid", F.coalesce(row_id, F.lit(-1).cast("long")))
-    stop = d.select(*keys, "__x").unionByName(new.select(*keys, "__x")).distinct()
-    rests = J.neighbours(rests.withColumn("__probe", F.col("__x") + 1), stop, keys, "__probe", "__x", "rid")
-    rests = rests.join(g.select(*keys, "edge", "rem", "n", "put", F.col("rb").alias("rb0"), "extra"), keys)
-    nxt = F.coalesce("__next.at", "edge")
-    rests = rests.withColumns({"span": F.coalesce(nxt - F.col("__x"), F.lit(0.0)), "n": F.col("n") + F.col("put").cast("int"),
-                               "total": F.col("rb0") + F.col("extra")}).drop("__prev", "__next", "__probe")
-    rests = rests.withColumn("gap", F.col("rem") - F.col("total"))
-    lift = rests.withColumn("neg", -F.col("span"))
-    lift = lift.withColumn("gap", F.when((F.col("gap") > 0) & (F.col("gap") <= 3.5), F.col("gap")).otherwise(0.0))
-    trial = fold(lift, keys, ["__d", "neg", "__x", "rid"], ["rid", "__d", "gap"], _RestUpgrade(), "rid long, trial double")
-    rests = rests.join(trial, [*keys, "rid"])
-    rests = _totals(rests, keys, ["__x", "rid"], __tt="trial")
+    d = df.select(*keys, F.col(row_id).cast("long").alias("rid"), is_rest.alias("r"), _c(dur).cast("double").alias("d"), F.col(x).cast("double").alias("x"),
+                  _c(capacity).cast("double").alias("cap"), _c(edge).cast("double").alias("edge"))
+    order, r = ["x", "rid"], F.col("r")
+    d = S.scan(d, keys, order, nb=S.total("sum", F.when(~r, F.col("d")).otherwise(0.0)), rb=S.total("sum", F.when(r, F.col("d")).otherwise(0.0)),
+               n=S.total("sum", r.cast("long")), nn=S.total("sum", (~r).cast("long")), fx=S.total("min", F.when(r, F.col("x"))))
+    d = d.withColumn("rem", F.col("cap") - F.col("nb")).filter((F.col("n") > 0) & (F.col("rem") > 0))
+    # px: the last note before the first rest; one: the rest row that brings the inserted one
+    d = S.scan(d, keys, order, px=S.total("max", F.when(~r & (F.col("x") < F.col("fx")), F.col("x"))), one=S.total("min", F.when(r, F.struct("x", "rid"))))
+    gap = F.col("rem") - F.col("rb")
+    put = _yes((F.abs(gap - N.snap(gap)) < 0.01) & (F.col("nn") > 0) & (F.col("fx") - F.col("px") > dy * 2.5))
+    d = d.withColumn("extra", F.when(put, N.snap(gap)))
+    # every event stops the span of a rest; every rest looks for the first stop past x + 1
+    row = lambda side, at, rx, rid, du: F.struct(F.lit(side).alias("side"), at.alias("at"), rx.alias("rx"), rid.alias("id"), du.alias("du"))
+    here = F.col("x")
+    mid = F.floor((F.col("px") + F.col("fx")) / 2).cast("double")
+    minus = F.lit(-1).cast("long")
+    adds = F.col("extra").isNotNull() & (F.struct("x", "rid") == F.col("one"))
+    rows = F.array_compact(F.array(
+        row(0, here, here, F.col("rid"), F.col("d")), F.when(r, row(1, here + 1, here, F.col("rid"), F.col("d"))),
+        F.when(adds, row(0, mid, mid, minus, F.col("extra"))), F.when(adds, row(1, mid + 1, mid, minus, F.col("extra")))))
+    d = d.select(*keys, "edge", "rem", (F.col("n") + F.col("extra").isNotNull().cast("long")).alias("n"),
+                 (F.col("rb") + F.coalesce("extra", F.lit(0.0))).alias("total"), F.explode(rows).alias("e")).select(
+        *keys, "edge", "rem", "n", "total", "e.*")
+    d = S.scan(d, keys, ["at", "side", "id"], nx=S.next_value(F.when(F.col("side") == 0, F.col("at")), inclusive=False)).filter("side = 1")
+    gap = F.col("rem") - F.col("total")
+    d = d.withColumns({"neg": -F.coalesce(F.coalesce("nx", "edge") - F.col("rx"), F.lit(0.0)),
+                       "gap": F.when((gap > 0) & (gap <= 3.5), gap).otherwise(0.0)})
+    lane = ["du", "gap", "id", "rx", "rem", "total", "n"]
+    d = fold(d, keys, ["du", "neg", "rx", "id"], lane, _RestUpgrade(),
+             "trial double, du double, id long, rx double, rem double, total double, n long")
+    d = S.scan(d, keys, ["rx", "id"], tt=S.total("sum", "trial"), pos=S.row_number())
     miss = lambda c: F.abs(c - F.col("rem"))
-    better = miss(F.col("__tt")) < miss(F.col("total"))
-    best = F.when(better, F.col("__tt")).otherwise(F.col("total"))
+    better = miss(F.col("tt")) < miss(F.col("total"))
+    best = F.when(better, F.col("tt")).otherwise(F.col("total"))
     per = N.snap(F.col("rem") / F.col("n"))
-    mode = F.when(miss(per * F.col("n")) < miss(best), 2).when(better, 1).otherwise(0)
-    rests = rests.withColumns({"mode": mode, "per": per, "val": F.when(better, F.col("trial")).otherwise(F.col("__d"))})
-    final = F.when(F.col("mode") == 2, F.col("per") * F.col("n")).otherwise(best)
-    tidy = (F.col("mode") == 1) | ((F.col("n") > 1) & (miss(final) < 0.01))
-    # the k-th rest takes the k-th shortest duration
-    rests = S.scan(rests.withColumn("tidy", tidy), keys, ["__x", "rid"], pos=S.row_number())
-    rests = S.scan(rests, keys, ["val", "pos"], srt=S.row_number())
-    by_rank = rests.select(*keys, F.col("srt").alias("pos"), F.col("val").alias("sorted"))
-    rests = rests.join(by_rank, [*keys, "pos"])
-    dur_ = F.when(F.col("mode") == 2, F.col("per")).when(F.col("tidy"), F.col("sorted")).otherwise(F.col("__d"))
-    return rests.select(*keys, row_id, F.col("__x").alias(x), dur_.alias("duration"), "source")
+    equal = miss(per * F.col("n")) < miss(best)
+    final = F.when(equal, per * F.col("n")).otherwise(best)
+    tidy = better | ((F.col("n") > 1) & (miss(final) < 0.01))
+    val = F.when(equal, per).when(better, F.col("trial")).otherwise(F.col("du"))
+    d = d.withColumns({"val": val, "tidy": tidy})
+    d = S.scan(d, keys, ["val", "pos"], srt=S.row_number())
+    # the k-th rest takes the k-th shortest duration: both meet under that rank
+    two = F.array(F.struct(F.col("pos").alias("rank"), F.struct("id", "rx", "val", "tidy").alias("rest"), F.lit(None).cast("double").alias("v")),
+                  F.struct(F.col("srt").alias("rank"), F.lit(None).alias("rest"), F.col("val").alias("v")))
+    d = d.select(*keys, F.explode(two).alias("t")).groupBy(*keys, "t.rank").agg(F.max("t.rest").alias("rest"), F.max("t.v").alias("v"))
+    added = F.col("rest.id") == -1
+    return d.select(*keys, F.when(~added, F.col("rest.id")).alias(row_id), F.col("rest.rx").alias(x),
+                    F.when(F.col("rest.tidy"), F.col("v")).otherwise(F.col("rest.val")).alias("duration"),
+                    F.when(added, "gap_insert").otherwise("rest_detected").alias("source"))
 
 
 def fill_chunks(start, gap) -> Column:

@@ -255,8 +255,7 @@ def narrow_segment_purge(rows, bounds, starts, keys, x, score, row_id, companion
     b = b.withColumn("left", F.coalesce("__p", "__st", F.lit(0)))
     gap = F.when(F.col("__p").isNotNull() | (F.col("left") > 0), F.col(x) - F.col("left"))
     b = b.withColumn("__gap", gap)
-    med = A.group_median(b, keys, "__gap", x, upper=True, name="__m")
-    b = b.join(med, keys, "left")
+    b = A.with_median(b, keys, "__gap", x, upper=True, name="__m")
     inside = J.neighbours(rows, b.select(*keys, x, "left"), keys, x, x, row_id, ["left"])
     # the segment of a row is that of the first boundary after it; rows on an edge are in none
     seg = F.when(F.col(x) > F.col("__next.left"), F.col("__next.at"))

@@ -118,8 +118,8 @@ class _OrphanMerge(Rule):
 
 def orphan_merge(df, keys, seed_id, x, y, stem, row_id, dy, single_staff=False) -> DataFrame:
     """Merge one-member groups into the nearest group (in y) whose mean x is within reach."""
-    seeds = df.filter(F.col(row_id) == F.col(seed_id)).select(*keys, seed_id, F.col(x).cast("double").alias("seed_x"))
-    d = df.join(seeds, [*keys, seed_id]).select(
+    # the seed is the leftmost member of its group
+    d = S.scan(df, [*keys, seed_id], [x, row_id], seed_x=S.total("min", F.col(x).cast("double"))).select(
         *keys, F.col(seed_id).alias("sid"), "seed_x", F.col(row_id).alias("rid"),
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), _c(stem).alias("stem"))
     return fold(d, keys, ["seed_x", "sid", "x", "rid"], ["sid", "seed_x", "rid", "x", "y", "stem"],

@@ -47,8 +47,8 @@ def median_split(df, keys, x, tie, factor=3.0, name="run") -> DataFrame:
     """Split into runs at gaps above ``factor`` times the group's median gap."""
     split = find_split(df, keys, [x, tie])
     d = S.scan(df, keys, [x, tie], split, __p=S.lag(x)).withColumn("__gap", F.col(x) - F.col("__p"))
-    med = A.group_median(d, keys, "__gap", tie, upper=False, name="__med")
-    d = d.join(med, keys, "left").withColumn("__new", F.coalesce(F.col("__gap") > F.col("__med") * factor, F.lit(False)).cast("long"))
+    d = A.with_median(d, keys, "__gap", tie, upper=False, name="__med")
+    d = d.withColumn("__new", F.coalesce(F.col("__gap") > F.col("__med") * factor, F.lit(False)).cast("long"))
     return S.scan(d, keys, [x, tie], split, **{name: S.run_sum("__new")}).drop("__p", "__gap", "__med", "__new")
 
 
@@ -77,10 +77,8 @@ def gap_with_boundary(df, keys, x, tie, boundary, last="known", name="gap") -> D
     elif last == "zero":
         end = F.coalesce(to_edge, F.lit(0.0))
     else:
-        g = d.withColumn("__g", step).filter(F.col("__g").isNotNull())
-        med = A.group_median(g, keys, "__g", tie, upper=True, name="__m")
-        n = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"))
-        d = d.join(med.join(n, keys), keys, "left")
+        d = A.with_median(d.withColumn("__g", step), keys, "__g", tie, upper=True, name="__m")
+        d = S.scan(d, keys, [x, tie], split, __k=S.total("count", "__g")).drop("__g")
         ok = (F.col("__k") >= 2) & (F.col("__m") > 0) & to_edge.between(F.col("__m") * 0.3, F.col("__m") * 3.0)
         end = F.when(F.coalesce(ok, F.lit(False)), to_edge).otherwise(known)
     out = d.withColumn(name, F.coalesce(step, end))
@@ -144,8 +142,7 @@ def spacing_filter(df, keys, x, tie, score, ratio=0.6, weak=0.7) -> DataFrame:
     """Drop interior rows that sit too close on both sides and score well below both neighbours."""
     d = S.scan(df, keys, [x, tie], __px=S.lag(x), __nx=S.lead(x), __ps=S.lag(score), __ns=S.lead(score))
     d = d.withColumn("__g", F.col("__nx") - F.col(x))
-    med = A.group_median(d, keys, "__g", tie, upper=True, name="__m")
-    d = d.join(med, keys, "left")
+    d = A.with_median(d, keys, "__g", tie, upper=True, name="__m")
     lg, rg, m = F.col(x) - F.col("__px"), F.col("__g"), F.col("__m")
     bad = (
         (lg < m * ratio) & (rg < m * ratio) & (F.abs(lg + rg - m) < F.abs(lg - m))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", app: str = "glyphline") -> SparkSession:
     """A local session with the settings the results rely on (UTC, AQE, Arrow)."""
@@ -42,3 +46,20 @@ def checkpoint(df):
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for jobs that run Python there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "glyphline.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("glyphline", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)

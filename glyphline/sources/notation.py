@@ -34,9 +34,10 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
 
 
-def _measures(d: DataFrame) -> DataFrame:
-    """Explode ``parts`` and number measures inside their section in file order."""
-    m = d.select("doc", "clef", "section", "n", F.posexplode("parts").alias("__i", "text"))
+def _measures(d: DataFrame, clean=N.strip) -> DataFrame:
+    """Explode ``parts``, drop blank ones, number measures inside their section in file order."""
+    m = d.select("doc", "clef", "section", "n", F.posexplode("parts").alias("__i", "raw"))
+    m = m.withColumn("text", clean(F.col("raw"))).filter(F.col("text") != "")
     m = S.scan(m, ["doc", "clef", "section"], ["n", "__i"], measure_no=S.row_number())
     return m.select("doc", "clef", F.col("section").alias("line"), F.col("measure_no").cast("int").alias("measure_no"), "text")
 
@@ -64,10 +65,10 @@ def read_truth(lines: DataFrame) -> DataFrame:
     d = truth_lines(lines).filter(~F.col("is_head") & F.col("section").isNotNull() & (F.col("t") != ""))
     word = F.regexp_extract("t", BLANK, 1)
     counts = F.create_map(*[F.lit(v) for kv in N.BLANK_COUNTS.items() for v in kv])
-    plain = F.filter(F.transform(N.split_measures("t"), N.normalize_measure), lambda m: m != "")
+    plain = F.split("t", r"\|")
     parts = F.when(word != "", N.blank_measures(F.element_at(counts, F.nullif(word, F.lit(""))))).when(
         F.startswith("t", F.lit("|")), plain)
-    return _measures(d.withColumn("parts", parts).filter(F.col("parts").isNotNull()))
+    return _measures(d.withColumn("parts", parts).filter(F.col("parts").isNotNull()), N.normalize_measure)
 
 
 def truth_sections(lines: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def read_output(lines: DataFrame) -> DataFrame:
     d = S.scan(d, ["doc"], ["n"], section=S.last_value("__no"), __c=S.last_value("__clef"))
     d = d.filter(F.col("__body").isNotNull() & (F.col("section") > 0))
     clef = F.coalesce(F.nullif("__c", F.lit("")), F.lit("solo"))
-    return _measures(d.select("doc", "n", clef.alias("clef"), "section", N.split_measures("__body").alias("parts")))
+    return _measures(d.select("doc", "n", clef.alias("clef"), "section", F.split("__body", r"\|").alias("parts")))
 
 
 def notation_lines(measures: DataFrame) -> DataFrame:
