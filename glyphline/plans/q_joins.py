@@ -8,12 +8,12 @@ from ..operators import joins as J
 from .registry import EV, ev, query, table
 
 
-@query("nearest_assign", """WITH c AS (SELECT c_nationkey AS n, round(avg(c_acctbal), 2) AS centre FROM customer GROUP BY 1),
+@query("nearest_assign", """WITH c AS (SELECT c_nationkey AS n, floor(avg(c_acctbal)) AS centre FROM customer GROUP BY 1),
  d AS (SELECT s_suppkey, n, centre, abs(s_acctbal - centre) AS dist FROM supplier, c),
  r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY dist, n) AS rn FROM d)
  SELECT s_suppkey, n AS nation, round(dist, 4) AS dist FROM r WHERE rn = 1""")
 def nearest_assign(spark, sf):
-    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(F.avg("c_acctbal"), 2).alias("centre"))
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.floor(F.avg("c_acctbal")).alias("centre"))
     s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
     out = J.nearest_assign(s, c, [], "s_acctbal", "centre", "nation", "s_suppkey")
     return out.select("s_suppkey", "nation", F.round("dist", 4).alias("dist"))
