@@ -131,15 +131,14 @@ def suppress(
     small = tagged.join(big, part, "left_anti")
     done = _solve_df(small, keys, priority, nums, pick, payload)
     left = checkpoint(tagged.join(big, part, "left_semi"))
-    kept = None
-    far = end or x
+    kept = []
     width = F.greatest(F.lit(reach).cast("double"), F.lit(1e-9)) if end is None else None
     while not left.isEmpty():
         w = W.partitionBy(*part).orderBy(*priority)
         # Spark keeps only BLOCK rows per component before the shuffle
         top = left.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= BLOCK).drop("__rank")
         won = checkpoint(_solve_df(top, keys, priority, nums, pick, payload))
-        kept = won if kept is None else checkpoint(kept.unionByName(won))
+        kept.append(won)
         a = won.select(*[F.col(c).alias(f"__w_{c}") for c in [*part, *payload]])
         same = [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in part]
         one = F.col(tie) == F.col(f"__w_{tie}")
@@ -155,4 +154,6 @@ def suppress(
         for s in same:
             cond = s & cond
         left = checkpoint(rest.join(a, cond, "left_anti").select(*left.columns))
-    return done.unionByName(kept).select(*names)
+    for won in kept:
+        done = done.unionByName(won)
+    return done.select(*names)

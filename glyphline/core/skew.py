@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -90,20 +90,73 @@ class Split:
         return df.join(F.broadcast(r), cond, "left").drop(*drop)
 
 
-def find_split(df: DataFrame, keys: list[str], order: list[str]) -> Split | None:
-    """Segments for the oversized groups of ``df``; None when there are none."""
+@dataclass
+class Probe:
+    """Which groups of ``keys`` are oversized; ``hot`` is empty when none is."""
+
+    keys: list[str]
+    hot: list
+    cut: int
+
+
+_probes: list[Probe] = []
+
+
+def _known(keys: list[str]) -> Probe | None:
+    for p in reversed(_probes):
+        # groups by more columns are parts of groups by fewer
+        if p.keys == keys or (not p.hot and set(p.keys) <= set(keys)):
+            return p
+    return None
+
+
+def probe(df: DataFrame, keys: list[str]) -> Probe:
+    """Count rows per group, unless the table is too small to hold an oversized one.
+
+    Only the key columns are read, and counts combine before the shuffle.
+    """
     lim = _limits
     if too_small_to_probe(df):
-        return None
+        return Probe(keys, [], 0)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total, biggest = counts.agg(F.sum("__n"), F.max("__n")).first()
-    if not total:
-        return None
-    cut = max(lim.min_rows, total // lim.shares)
-    if biggest <= cut:
-        return None
+    cut = max(lim.min_rows, (total or 0) // lim.shares)
+    if not total or biggest <= cut:
+        return Probe(keys, [], cut)
     # at most `shares` rows: every one holds more than total / shares rows
-    hot_rows = counts.filter(F.col("__n") > cut).drop("__n").collect()
+    return Probe(keys, counts.filter(F.col("__n") > cut).drop("__n").collect(), cut)
+
+
+@contextmanager
+def probed(df: DataFrame, keys: list[str]):
+    """Probe once; scans and folds on these groups inside the block do not probe again."""
+    if _known(keys) is not None:
+        yield
+        return
+    _probes.append(probe(df, keys))
+    try:
+        yield
+    finally:
+        _probes.pop()
+
+
+def probe_once(fn):
+    """Decorator of operators ``fn(df, keys, ...)`` made of several scans."""
+
+    @wraps(fn)
+    def run(df, keys, *args, **kwargs):
+        with probed(df, keys):
+            return fn(df, keys, *args, **kwargs)
+
+    return run
+
+
+def find_split(df: DataFrame, keys: list[str], order: list[str]) -> Split | None:
+    """Segments for the oversized groups of ``df``; None when there are none."""
+    found = _known(keys) or probe(df, keys)
+    hot_rows, cut = found.hot, found.cut
+    if not hot_rows:
+        return None
     spark = df.sparkSession
     key_schema = df.select(*keys).schema
     hot = spark.createDataFrame([tuple(r) for r in hot_rows], key_schema) if keys else None

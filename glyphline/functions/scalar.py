@@ -198,9 +198,3 @@ def slot_x(left, width, margin, i, n) -> Column:
     """Left edge of slot ``i`` of ``n`` equal slots inside a segment."""
     avail = F.greatest(F.lit(1), _c(width) - _c(margin) * 2)
     return _c(left) + _c(margin) + F.floor(_c(i) * (avail / _c(n)))
-
-
-def unit_text(notes: Column, duration) -> Column:
-    """A single note or a bracketed chord with its duration suffix."""
-    body = F.when(F.size(notes) == 1, F.element_at(notes, 1)).otherwise(F.concat(F.lit("["), F.array_join(notes, " "), F.lit("]")))
-    return F.concat(body, duration_suffix(duration))

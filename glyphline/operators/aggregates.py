@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
-from ..core.skew import find_split
+from ..core.skew import find_split, probe_once
+from ..functions import scalar as N
 
 LOW_CONFIDENCE = 0.75
 PART_ROWS = 10_000
@@ -52,6 +53,7 @@ def mode_first_seen(df, keys, value, order, name="mode") -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by("__v", F.struct(-F.col("__n"), F.col("__first"))).alias(name))
 
 
+@probe_once
 def group_median(df, keys, value, tie, upper: bool, name="median") -> DataFrame:
     """Median per group of the non-null values: the mean of the middle two, or with
     ``upper`` the element at n // 2 of the sorted values."""
@@ -68,6 +70,7 @@ def group_median(df, keys, value, tie, upper: bool, name="median") -> DataFrame:
     return r.filter(F.col("__r").between(low, high)).groupBy(*keys).agg(F.avg("__v").alias(name))
 
 
+@probe_once
 def with_median(df, keys, value, tie, upper: bool, name="median") -> DataFrame:
     """The group median on every row, from ranks: the input is read once and not joined."""
     v = _c(value)
@@ -96,6 +99,20 @@ def ordered_concat(df, keys, order, text, sep=" ", part_rows: int = PART_ROWS, n
     return r.groupBy(*keys, "part").agg(F.array_join(F.transform(items, lambda i: i["t"]), sep).alias(name))
 
 
+def chord_text(df, keys, order, text, duration, part_rows: int = PART_ROWS, name="text") -> DataFrame:
+    """A single note as it is, several in brackets, then the duration suffix. Like
+    ``ordered_concat`` it gives one part (0) unless a chord is larger than any real one."""
+    r = S.scan(df, keys, order, __r=S.row_number(), __n=S.total("count", F.lit(1)))
+    r = r.withColumn("part", F.floor((F.col("__r") - 1) / part_rows))
+    items = F.array_sort(F.collect_list(F.struct("__r", _c(text).alias("t"))))
+    g = r.groupBy(*keys, "part").agg(F.array_join(F.transform(items, lambda i: i["t"]), " ").alias("__t"), F.max("__r").alias("__to"),
+                                     F.first("__n").alias("__n"), F.first(_c(duration)).alias("__d"))
+    many = F.col("__n") > 1
+    head = F.when(many & (F.col("part") == 0), "[").otherwise("")
+    tail = F.when(F.col("__to") == F.col("__n"), F.concat(F.when(many, "]").otherwise(""), N.duration_suffix("__d"))).otherwise("")
+    return g.select(*keys, "part", F.concat(head, F.col("__t"), tail).alias(name))
+
+
 def count_by_type(df, keys, typ, values: list[str]) -> DataFrame:
     """One count column per given type."""
     return df.groupBy(*keys).agg(*[F.count_if(F.col(typ) == v).alias(f"n_{v}") for v in values])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
 from ..core.fold import Rule, fold
+from ..core.skew import probe_once, probed
 from ..functions import scalar as N
 from . import aggregates as A
 from . import joins as J
@@ -48,6 +49,7 @@ def _n(df, keys, order, **counts) -> DataFrame:
     return _totals(df, keys, order, **{k: _yes(v).cast("int") for k, v in counts.items()})
 
 
+@probe_once
 def pickup_group(df, keys, first_bound, x, is_first: Column, order, ratio=0.6) -> DataFrame:
     """A first measure whose two or more notes all lie past 60 % of the first boundary:
     notes become 0.5 and a rest of 1.0 is put in at x = 0."""
@@ -60,6 +62,7 @@ def pickup_group(df, keys, first_bound, x, is_first: Column, order, ratio=0.6) -
     return d.unionByName(rest, allowMissingColumns=True)
 
 
+@probe_once
 def single_fill(df, keys, order, idur, capacity, rest_beats, evidence: Column) -> DataFrame:
     """A lone note keeps its own duration where evidence backs it, else fills the measure."""
     d = S.scan(df, keys, order, __n=S.total("count", F.lit(1)))
@@ -70,6 +73,7 @@ def single_fill(df, keys, order, idur, capacity, rest_beats, evidence: Column) -
         {"duration": F.when(trust, _c(idur)).otherwise(N.snap(remaining)), "source": src})
 
 
+@probe_once
 def uniform_upgrade(df, keys, order, dur, capacity, rest_beats, evidence: Column) -> DataFrame:
     """Lift all notes to the common standard duration that fills the measure.
 
@@ -87,6 +91,7 @@ def uniform_upgrade(df, keys, order, dur, capacity, rest_beats, evidence: Column
     return d.withColumn(dur, F.when(_yes(go), target).otherwise(F.col(dur))).drop("__t", "__n", "__hi", "__lo", "__ev")
 
 
+@probe_once
 def deficit_alloc(df, keys, x, tie, dur, capacity, rest_beats, edge) -> DataFrame:
     """Give a deficit (over 0.1, three notes or more) to the notes with the widest gaps.
 
@@ -120,6 +125,7 @@ def deficit_alloc(df, keys, x, tie, dur, capacity, rest_beats, edge) -> DataFram
     return d.select(*df.columns)
 
 
+@probe_once
 def surplus_reduce(df, keys, x, tie, dur, capacity, rest_beats, edge) -> DataFrame:
     """Take back a surplus (0.2 or more, three notes or more), most likely misreadings first.
 
@@ -173,6 +179,7 @@ def surplus_reduce(df, keys, x, tie, dur, capacity, rest_beats, edge) -> DataFra
     return d.select(*df.columns, "surplus")
 
 
+@probe_once
 def swap_fixpoint(df, keys, x, tie, dur, surplus, edge) -> DataFrame:
     """With no surplus, swap sixteenths in wide gaps with eighths in narrow ones.
 
@@ -200,6 +207,7 @@ def provenance_tag(df, before, after, name="source") -> DataFrame:
     return df.withColumn(name, F.when(_c(before) == _c(after), "beam").otherwise("beam_rescue"))
 
 
+@probe_once
 def measure_budget(df, keys, x, tie, dur, capacity, rest_beats, edge, evidence: Column) -> DataFrame:
     """Measures whose evidence is to be trusted, reconciled by all rules in turn.
 
@@ -219,6 +227,7 @@ def measure_budget(df, keys, x, tie, dur, capacity, rest_beats, edge, evidence:
     return provenance_tag(d, "__orig", dur).drop("__orig", "surplus")
 
 
+@probe_once
 def proportional_alloc(df, keys, x, tie, remaining, edge, hollow: Column | None = None, idur=None) -> DataFrame:
     """Share ``remaining`` by gap, snap, and put what is left over on the widest gap.
 
@@ -285,6 +294,11 @@ def choose_interpretation(notes, markers, keys, x, row_id, idurs, rest_beats, ca
     the others share what is left. ``idurs`` is the array of the members' own durations.
     Returns (keys, row id, duration, source).
     """
+    with probed(notes, keys):
+        return _choose(notes, markers, keys, x, row_id, idurs, rest_beats, capacity, mx, n, marker_id)
+
+
+def _choose(notes, markers, keys, x, row_id, idurs, rest_beats, capacity, mx, n, marker_id) -> DataFrame:
     rk = [*keys, "reading"]
     d = notes.join(markers.select(*keys).distinct(), keys, "left_semi")
     d = d.withColumn("reading", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -330,6 +344,7 @@ class _Prune(Rule):
         return now, [(rid,)]
 
 
+@probe_once
 def overflow_prune(df, keys, order, row_id, dur, suspect: Column, capacity) -> DataFrame:
     """In measures over 1.2 capacities drop suspect notes, left to right, while that brings
     the total closer; measures of two or more notes all suspect stay. Returns kept ids."""
@@ -357,6 +372,7 @@ class _RestUpgrade(Rule):
         return left - (new - dur), [(new, dur, *rest)]
 
 
+@probe_once
 def rest_adjust(df, keys, x, row_id, is_rest: Column, dur, capacity, edge, dy) -> DataFrame:
     """Rests of each measure adjusted to fill it: (keys, row id, x, duration, source).
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import scan as S
 from ..core.fold import Rule, fold
+from ..core.skew import probe_once
 from ..core.greedy import component_map, suppress
 from . import aggregates as A
 from . import joins as J
@@ -226,6 +227,7 @@ def argmax_group(df, keys, value, order, cols: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
+@probe_once
 def natural_break(df, keys, x, tie, dy, name="threshold") -> DataFrame:
     """Spacing threshold of groups of three or more: the middle of the largest jump between
     sorted gaps (8 dy when all gaps are equal), at least 5 dy."""

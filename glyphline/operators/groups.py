@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
 from ..core.fold import Rule, fold
+from ..core.skew import probe_once
 
 INF = float("inf")
 
@@ -151,6 +152,7 @@ def layout_class(df, keys, order, top, bottom, name="layout") -> DataFrame:
     return a.select(*keys, kind.alias(name))
 
 
+@probe_once
 def pair_consecutive(df, keys, order, top, bottom, factor=4.0) -> DataFrame:
     """Pairs (row, next row) left to right: a close pair uses both rows.
 

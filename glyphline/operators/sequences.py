@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
 from ..core.fold import Rule, fold
-from ..core.skew import find_split
+from ..core.skew import find_split, probe_once
 from . import aggregates as A
 from . import joins as J
 
@@ -15,6 +15,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@probe_once
 def gap_cluster(df, keys, x, tie, tol, name="cluster") -> DataFrame:
     """Number clusters from 1; a gap of ``tol`` or more starts a new one."""
     split = find_split(df, keys, [x, tie])
@@ -43,6 +44,7 @@ def threshold_runs(df, keys, pos, flag: Column, min_width=1, max_width=None, max
     return out.filter(F.col("width") <= max_width) if max_width is not None else out
 
 
+@probe_once
 def median_split(df, keys, x, tie, factor=3.0, name="run") -> DataFrame:
     """Split into runs at gaps above ``factor`` times the group's median gap."""
     split = find_split(df, keys, [x, tie])
@@ -63,6 +65,7 @@ def best_window5(df, keys, x, limit=0.8) -> DataFrame:
     return d.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
+@probe_once
 def gap_with_boundary(df, keys, x, tie, boundary, last="known", name="gap") -> DataFrame:
     """Gap to the next row. The last row uses the gap to ``boundary``; without one it takes
     the gap before it (``last='known'``) or 0 (``'zero'``). With ``'near_median'`` the
@@ -85,6 +88,7 @@ def gap_with_boundary(df, keys, x, tie, boundary, last="known", name="gap") -> D
     return out.drop("__nx", "__px", *(["__m", "__k"] if last == "near_median" else []))
 
 
+@probe_once
 def fixpoint_promote(df, keys, x, tie, beams="beams", flag="flag", duration="duration") -> DataFrame:
     """Promote unbeamed rows between beamed ones to one beam, to the fixpoint.
 
@@ -138,6 +142,7 @@ def pattern_rewrite(df, keys, x, tie, dy, beams="beams", dot="dot", duration="du
     }).drop(*specs)
 
 
+@probe_once
 def spacing_filter(df, keys, x, tie, score, ratio=0.6, weak=0.7) -> DataFrame:
     """Drop interior rows that sit too close on both sides and score well below both neighbours."""
     d = S.scan(df, keys, [x, tie], __px=S.lag(x), __nx=S.lead(x), __ps=S.lag(score), __ns=S.lead(score))
@@ -171,6 +176,7 @@ def renumber_global(df, keys, order, name="line_no") -> DataFrame:
     return S.scan(df, keys, order, **{name: S.row_number()})
 
 
+@probe_once
 def gap_expiring_fill(df, keys, x, tie, sign, key_sign, reach, name="shown") -> DataFrame:
     """Carry an explicit sign on along its key while each step stays within ``reach``.
 
@@ -218,6 +224,7 @@ class _TailDedupe(Rule):
         return near + ((x, ys),), [(rid,)]
 
 
+@probe_once
 def tail_merge(df, keys, seg, last_seg, x, row_id, dy, is_rest: Column, ys: str) -> DataFrame:
     """Move events after the last boundary into the segment before it.
 

@@ -48,7 +48,7 @@ def measures_to_text(members: DataFrame, rests: DataFrame, keysigs: DataFrame) -
     """Measures as text.
 
     ``members``: doc, clef, line, measure_no, unit_id, unit_x, duration, note_id, x, dy,
-    degree, pitch, sign (nullable). ``rests``: doc, clef, line, measure_no, rest_id, x,
+    degree, octave, pitch, sign (nullable). ``rests``: doc, clef, line, measure_no, rest_id, x,
     duration. ``keysigs``: doc, sign, degrees.
     """
     m = ["doc", "clef", "line", "measure_no"]
@@ -56,9 +56,9 @@ def measures_to_text(members: DataFrame, rests: DataFrame, keysigs: DataFrame) -
     key_sign = F.when(F.array_contains("degrees", F.col("degree").cast("int")), F.col("ks"))
     d = Q.gap_expiring_fill(d, [*m, "pitch"], "x", "note_id", "sign", key_sign, F.col("dy") * 5.0)
     text = F.concat("shown", "pitch")
-    low = F.struct(F.col("degree") + F.col("octave") * 7, F.col("note_id")) if "octave" in d.columns else F.col("note_id")
-    u = d.groupBy(*m, "unit_id", "unit_x", "duration").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(low.alias("o"), text.alias("t")))), lambda v: v["t"]).alias("notes"))
-    u = u.select(*m, F.col("unit_x").cast("double").alias("x"), F.col("unit_id").alias("i"), N.unit_text(F.col("notes"), "duration").alias("t"))
+    # members from low to high
+    d = d.withColumn("__step", F.col("degree") + F.col("octave") * 7)
+    u = A.chord_text(d, [*m, "unit_id", "unit_x"], ["__step", "note_id"], text, "duration")
+    u = u.select(*m, F.col("unit_x").cast("double").alias("x"), F.col("unit_id").alias("i"), F.col("text").alias("t"))
     r = rests.select(*m, F.col("x").cast("double").alias("x"), F.col("rest_id").alias("i"), N.rest_text("duration").alias("t"))
     return A.ordered_concat(u.unionByName(r), m, ["x", "i"], "t", " ")

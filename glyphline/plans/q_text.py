@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..core import scan as S
 from ..functions import scalar as N
+from ..operators import aggregates as A
 from ..operators import confidence as C
 from ..operators import evaluation as E
 from ..operators import joins as J
@@ -118,10 +119,8 @@ def strip_header_concat(spark, sf):
  SELECT k, g, CASE WHEN len(n) = 1 THEN n[1] ELSE '[' || array_to_string(n, ' ') || ']' END || {SUFFIX_SQL.format(d='d')} AS text FROM g""")
 def unit_text(spark, sf):
     d = ev(spark, sf).withColumn("g", F.floor(F.col("x") / 6))
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("x", "id"))), lambda v: (v["id"] % 7 + 1).cast("string"))
-    # a chord is a few notes; at most six hours of one user's events here
-    u = d.groupBy("k", "g").agg(arr.alias("n"))
-    return u.select("k", "g", N.unit_text(F.col("n"), F.col("k") % 9 / 4.0).alias("text"))
+    out = A.chord_text(d, ["k", "g"], ["x", "id"], (F.col("id") % 7 + 1).cast("string"), F.col("k") % 9 / 4.0)
+    return out.drop("part")
 
 
 @query("slot_layout", f"""WITH {EV}, s AS (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY x, id) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM ev)
