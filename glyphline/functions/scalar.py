@@ -144,7 +144,7 @@ def meter_beats(num, den) -> Column:
 
 def strip(text) -> Column:
     """Without white space (not just blanks) at either end."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    return F.btrim(_c(text), F.lit(" \t\n\r\f\v"))
 
 
 def split_measures(text) -> Column:
@@ -160,21 +160,21 @@ def tokenize_events(measure) -> Column:
 def split_event(event) -> Column:
     """struct(notes, duration). Only ``/digits`` at the end counts as a duration."""
     e = _c(event)
-    closed = F.instr(e, "]") > 0
-    after = F.regexp_extract(e, r"^[^\]]*\](.*)$", 1)
-    plain = F.regexp_extract(e, r"(/\d+)$", 1)
-    dur = F.when(closed, F.when(F.startswith(after, F.lit("/")), after).otherwise("")).otherwise(plain)
-    body = F.when(closed, F.regexp_extract(e, r"^([^\]]*\])", 1)).otherwise(F.regexp_replace(e, r"/\d+$", ""))
-    body = strip(F.regexp_replace(body, r"^[\[\]]+|[\[\]]+$", ""))
+    close = F.instr(e, "]")
+    after = F.substring(e, close + 1, F.length(e))
+    plain = F.when(F.contains(e, F.lit("/")), F.regexp_extract(e, r"/\d+$", 0)).otherwise("")
+    dur = F.when(close > 0, F.when(F.startswith(after, F.lit("/")), after).otherwise("")).otherwise(plain)
+    body = F.when(close > 0, F.substring(e, F.lit(1), close)).otherwise(F.substring(e, F.lit(1), F.length(e) - F.length(plain)))
+    body = strip(F.btrim(body, F.lit("[]")))
     notes = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
     return F.struct(notes.alias("notes"), dur.alias("duration"))
 
 
 def normalize_measure(text) -> Column:
     """Label clean-up: a one-and-a-half-beat remark becomes a dot, other remarks go."""
-    s = F.regexp_replace(_c(text), r"\(1\.5拍\)", ".")
-    s = F.regexp_replace(s, r"\(\d+\.?\d*拍\)", "")
-    return strip(F.regexp_replace(s, r"\([^)]*\)", ""))
+    s = F.replace(_c(text), F.lit("(1.5拍)"), F.lit("."))
+    # other remarks in beats are remarks like any other; most text has none
+    return strip(F.when(F.contains(s, F.lit("(")), F.regexp_replace(s, r"\([^)]*\)", "")).otherwise(s))
 
 
 def blank_measures(n) -> Column:

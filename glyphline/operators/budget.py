@@ -153,17 +153,17 @@ def surplus_reduce(df, keys, x, tie, dur, capacity, rest_beats, edge) -> DataFra
     # the single changes look at the same durations: at most one of them happens
     is_ = lambda v: F.col(dur) == v
     d = S.scan(d, keys, order, __pd=S.lag(dur), __nd=S.lead(dur), __px=S.lag(x), __nx=S.lead(x))
-    d = _n(d, keys, order, __n16=is_(0.25), __n4=is_(1.0))
-    d = _ranked(d, keys, is_(1.0), [F.col("__gap")], order, "__q4")
-    d = _ranked(d, keys, is_(0.25), [-F.col("__gap")], order, "__q16")
-    d = _ranked(d, keys, is_(0.5), [F.col("__gap")], order, "__q8")
-    d = _ranked(d, keys, is_(0.75), [F.col("__gap")], order, "__qd")
+    d = _n(d, keys, order, __n16=is_(0.25), __n4=is_(1.0), __nd8=is_(0.75), __n8=is_(0.5))
+    # rank among the notes of the same duration, by narrowest and by widest gap
+    d = S.scan(d, [*keys, dur], ["__gap", *order], __narrow=S.row_number())
+    d = S.scan(d.withColumn("__neg", -F.col("__gap")), [*keys, dur], ["__neg", *order], __wide=S.row_number())
+    first_of = lambda v, rank: is_(v) & (F.col(rank) == 1)
     # neighbours of the only sixteenth, the nearer one first, the left one on ties
     beside = is_(0.5) & ((F.col("__pd") == 0.25) | (F.col("__nd") == 0.25)) & (F.col("__n16") == 1)
     apart = F.when(F.col("__nd") == 0.25, F.col("__nx") - F.col(x)).otherwise(F.col(x) - F.col("__px"))
     d = _ranked(d, keys, beside, [apart], order, "__qn")
     d = _ranked(d, keys, is_(0.5) & (F.col("__pd") == 0.75), [], order, "__qc")
-    d = _n(d, keys, order, __can_d=F.col("__qn") == 1, __can_e=F.col("__qc") == 1, __nd8=is_(0.75), __n8=is_(0.5))
+    d = _n(d, keys, order, __can_d=F.col("__qn") == 1, __can_e=F.col("__qc") == 1)
     left = F.col("__on") & F.col("surplus").between(0.2, 0.3)
     rule = (
         F.when(~left, 0).when((F.col("__n4") > 0) & (F.col("__n16") > 0), 3).when(F.col("__can_d") > 0, 4)
@@ -172,8 +172,8 @@ def surplus_reduce(df, keys, x, tie, dur, capacity, rest_beats, edge) -> DataFra
     d = d.withColumn("__rule", rule)
     r = F.col("__rule")
     new = (
-        F.when((r == 3) & ((F.col("__q4") == 1) | (F.col("__q16") == 1)), 0.5).when((r == 4) & (F.col("__qn") == 1), 0.25)
-        .when((r == 5) & (F.col("__qc") == 1), 0.25).when((r == 6) & (F.col("__q8") == 1), 0.25).when((r == 7) & (F.col("__qd") == 1), 0.5)
+        F.when((r == 3) & (first_of(1.0, "__narrow") | first_of(0.25, "__wide")), 0.5).when((r == 4) & (F.col("__qn") == 1), 0.25)
+        .when((r == 5) & (F.col("__qc") == 1), 0.25).when((r == 6) & first_of(0.5, "__narrow"), 0.25).when((r == 7) & first_of(0.75, "__narrow"), 0.5)
         .otherwise(F.col(dur)))
     d = d.withColumns({dur: new, "surplus": F.col("surplus") - F.when(r > 0, 0.25).otherwise(0.0)})
     return d.select(*df.columns, "surplus")

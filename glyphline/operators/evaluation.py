@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..core import scan as S
 from ..functions import scalar as N
-from . import joins as J
 from .aggregates import rollup_totals
 
 SECTION = ["doc", "clef", "line"]
@@ -16,11 +16,16 @@ def zip_measures(truth: DataFrame, found: DataFrame, sections: DataFrame | None
 
     Missing measures are empty text.
     """
-    have = found.select(*SECTION).distinct()
-    want = (truth if sections is None else sections).select(*SECTION).distinct()
-    t = truth.join(have, SECTION, "left_semi").withColumnRenamed("text", "gt")
-    f = found.join(want, SECTION, "left_semi").withColumnRenamed("text", "out")
-    z = J.positional_zip(t, f, SECTION, "measure_no", ["gt"], ["out"])
+    side = lambda df, gt, out, want: df.select(
+        *SECTION, F.col("measure_no").cast("long").alias("measure_no"), gt.alias("gt"), out.alias("out"), F.lit(want).alias("__want"))
+    none = F.lit(None).cast("string")
+    rows = side(truth, F.col("text"), none, 1).unionByName(side(found, none, F.col("text"), 0))
+    if sections is not None:
+        rows = rows.unionByName(side(sections.withColumn("measure_no", F.lit(None)), none, none, 1))
+    # both sides meet in one shuffle on the section, and each is read once
+    d = S.scan(rows, SECTION, ["measure_no", "__want"], __t=S.total("max", "__want"), __f=S.total("count", "out"))
+    d = d.filter((F.col("__t") == 1) & (F.col("__f") > 0) & F.col("measure_no").isNotNull())
+    z = d.groupBy(*SECTION, "measure_no").agg(F.max("gt").alias("gt"), F.max("out").alias("out"))
     return z.withColumns({"gt": F.coalesce("gt", F.lit("")), "out": F.coalesce("out", F.lit(""))})
 
 

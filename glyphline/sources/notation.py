@@ -44,7 +44,8 @@ def _measures(d: DataFrame, clean=N.strip) -> DataFrame:
 
 def truth_lines(lines: DataFrame) -> DataFrame:
     """Lines with their section (clef, section); lines of dropped sections have none."""
-    t = N.strip(F.col("line"))
+    d = lines.withColumn("t", N.strip(F.col("line")))
+    t = F.col("t")
     clef = F.when(F.contains(t, F.lit(TREBLE)), "treble").when(F.contains(t, F.lit(BASS)), "bass")
     grand = F.coalesce(_number(t, r"line\s*=\s*(\d+)"), F.lit(1))
     numbered, chinese = _number(t, TRUTH_LINE), _number(t, HEADER)
@@ -54,7 +55,7 @@ def truth_lines(lines: DataFrame) -> DataFrame:
         F.when(clef.isNotNull(), key(clef, grand))
         .when(numbered.isNotNull(), F.when(F.contains(F.lower(t), F.lit("undone")), none).otherwise(key(F.lit("solo"), numbered)))
         .when(chinese.isNotNull(), key(F.lit("solo"), chinese)))
-    d = lines.withColumns({"t": t, "__head": head})
+    d = d.withColumn("__head", head)
     d = S.scan(d, ["doc"], ["n"], __sec=S.last_value("__head"))
     return d.select("doc", "n", "t", F.col("__head").isNotNull().alias("is_head"), "__sec.clef", "__sec.section")
 
@@ -80,7 +81,8 @@ def truth_sections(lines: DataFrame) -> DataFrame:
 def read_output(lines: DataFrame) -> DataFrame:
     """Measures of a generated file. The clef stays until the next section head; a line of
     ``=`` ends the sections, so the dump after it is ignored."""
-    t = N.strip(F.col("line"))
+    lines = lines.withColumn("t", N.strip(F.col("line")))
+    t = F.col("t")
     number = F.coalesce(_number(t, OUTPUT_HEADER), _number(t, OUTPUT_HEADER, 2))
     reset = F.startswith(t, F.lit("="))
     has_bar = F.contains(t, F.lit("|"))
