@@ -207,19 +207,26 @@ def provenance_tag(df, before, after, name="source") -> DataFrame:
     return df.withColumn(name, F.when(_c(before) == _c(after), "beam").otherwise("beam_rescue"))
 
 
+@probe_once
+def evidence_leads(df, keys, order, dur, capacity, rest_beats, name="leads") -> DataFrame:
+    """Mark measures whose evidence is to be trusted over spacing: those longer than 2.5
+    beats, those that already sum up, and those with a dotted eighth."""
+    v = N.snap(dur)
+    d = S.scan(df, keys, order, __t=S.total("sum", v), __dot=S.total("max", (F.abs(v - 0.75) < 0.01).cast("int")))
+    fits = F.abs(F.col("__t") + _c(rest_beats) - _c(capacity)) < 0.1
+    return d.withColumn(name, (_c(capacity) > 2.5) | fits | (F.col("__dot") == 1)).drop("__t", "__dot")
+
+
 @probe_once
 def measure_budget(df, keys, x, tie, dur, capacity, rest_beats, edge, evidence: Column) -> DataFrame:
-    """Measures whose evidence is to be trusted, reconciled by all rules in turn.
+    """Measures of two notes or more where evidence leads, reconciled by all rules in turn.
 
-    Evidence leads when the measure is longer than 2.5 beats, when it already sums up, or
-    when a dotted eighth was found. Adds ``source``; other measures are left out.
+    Adds ``source``; other measures are left out.
     """
     order = [x, tie]
-    d = df.withColumn(dur, N.snap(dur)).withColumn("__orig", F.col(dur))
-    d = S.scan(d, keys, order, __t=S.total("sum", dur), __n=S.total("count", F.lit(1)),
-               __dot=S.total("max", (F.abs(F.col(dur) - 0.75) < 0.01).cast("int")))
-    lead = (_c(capacity) > 2.5) | (F.abs(F.col("__t") + _c(rest_beats) - _c(capacity)) < 0.1) | (F.col("__dot") == 1)
-    d = d.filter((F.col("__n") >= 2) & lead).drop("__t", "__n", "__dot")
+    d = evidence_leads(df, keys, order, dur, capacity, rest_beats, "__lead")
+    d = S.scan(d.filter("__lead").drop("__lead"), keys, order, __n=S.total("count", F.lit(1))).filter(F.col("__n") >= 2).drop("__n")
+    d = d.withColumn(dur, N.snap(dur)).withColumn("__orig", F.col(dur))
     d = uniform_upgrade(d, keys, order, dur, capacity, rest_beats, evidence)
     d = deficit_alloc(d, keys, x, tie, dur, capacity, rest_beats, edge)
     d = surplus_reduce(d, keys, x, tie, dur, capacity, rest_beats, edge)

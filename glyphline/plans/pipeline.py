@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core import scan as S
 from ..functions import scalar as N
+from ..core.skew import probed
 from ..operators import aggregates as A
+from ..operators import budget as R
 from ..operators import confidence as C
 from ..operators import dedupe as D
 from ..operators import filters as P
 from ..operators import groups as G
 from ..operators import joins as J
 from ..operators import sequences as Q
+from ..operators import sets as U
+from ..session import checkpoint
 from .registry import ev
 
 
@@ -44,6 +48,79 @@ def page_pitches(notes: DataFrame, systems: DataFrame, pages: DataFrame) -> Data
     return n.withColumns({"degree": F.col("p.degree"), "octave": F.col("p.octave"), "pitch": N.pitch_text("p.degree", "p.octave")}).drop("p", "dist")
 
 
+def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_beats=2.0, slack=0.05, fill=True) -> DataFrame:
+    """Events of every measure with reconciled durations.
+
+    All positions are in units of the page's line spacing, so one set of distances serves
+    pages of any size. ``keys`` name a staff.
+    ``units``: keys, unit_id, x, dur, score, ys ARRAY, evidence. ``rests``: keys, rest_id,
+    x, duration. ``barlines``: keys, x. ``anchors``: keys, x, bpm. ``first_staff`` is a
+    Column on the keys telling where a pickup measure may stand.
+    Result: keys, measure_idx, event_id, x, type, duration, source; an event id is twice the
+    unit id, twice the rest id plus one, or null for events put in.
+    """
+    mk = [*keys, "measure_idx"]
+    with probed(units, keys):
+        kept = R.clean_then_dedupe(rests, units, keys, "x", "rest_id", 1.0).select(*keys, "rest_id")
+        r = rests.join(kept, [*keys, "rest_id"], "left_semi")
+        ev = U.typed_union({
+            "note_unit": units.withColumn("event_id", F.col("unit_id") * 2),
+            "rest": r.withColumnRenamed("duration", "dur").withColumn("event_id", F.col("rest_id") * 2 + 1)})
+        ev = ev.withColumns({"x": F.col("x").cast("double"), "ys": F.coalesce("ys", F.array().cast("array<double>"))}).drop("unit_id", "rest_id")
+        bars = barlines.select(*keys, F.col("x").cast("double").alias("bx")).distinct()
+        n_bars = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars"), F.min("bx").alias("first_bar"))
+        ev = J.segment_by_boundary(ev, bars, keys, "x", "bx", "event_id")
+        ev = J.neighbours(ev, bars, keys, "x", "bx", "event_id").withColumn("edge", F.col("__next.at")).drop("__prev", "__next")
+        ev = Q.tail_merge(ev.join(n_bars, keys), keys, "measure_idx", "n_bars", "x", "event_id", 1.0, F.col("type") == "rest", "ys")
+        starts = ev.groupBy(*mk).agg(F.min("x").alias("x"))
+        caps = J.asof_backward(starts, anchors, keys, "x", "x", "bpm", "measure_idx", default_beats, slack).select(*mk, F.col("bpm").alias("cap"))
+        # the stages below read their input several times: each is written once
+        ev = checkpoint(ev.join(caps, mk))
+        caps = ev.select(*mk, "cap").distinct()
+        rest = F.col("type") == "rest"
+        ev = S.scan(ev, mk, ["x", "event_id"], rb=S.total("sum", F.when(rest, F.coalesce("dur", F.lit(1.0))).otherwise(0.0)),
+                    n=S.total("sum", (~rest).cast("long")))
+        notes = ev.filter(~rest).withColumn("duration", F.col("dur"))
+        first = first_staff & (F.col("measure_idx") == 0)
+        p = R.pickup_group(notes.drop("type"), mk, "first_bar", "x", first, ["x", "event_id"])
+        out = ["event_id", "x", "type", "duration", "source", "score"]
+        pick = p.filter("pickup").withColumn("source", F.lit("pickup")).select(*mk, *out)
+        notes = p.filter("NOT pickup")
+        notes = checkpoint(R.evidence_leads(notes, mk, ["x", "event_id"], "dur", "cap", "rb"))
+        one = R.single_fill(notes.filter("n = 1"), mk, ["x", "event_id"], "dur", "cap", "rb", F.col("evidence")).select(*mk, *out)
+        led = R.measure_budget(notes.filter("leads AND n >= 2").drop("duration"), mk, "x", "event_id", "dur", "cap", "rb", "edge", F.col("evidence"))
+        led = led.withColumnRenamed("dur", "duration").select(*mk, *out)
+        free = notes.filter("NOT leads AND n >= 2").drop("duration", "source").withColumn("rem", F.greatest(F.lit(0.25), F.col("cap") - F.col("rb")))
+        free = R.proportional_alloc(free, mk, "x", "event_id", "rem", "edge", F.col("dur") >= 2.0, "dur").select(*mk, *out)
+        notes = pick.unionByName(one).unionByName(led).unionByName(free)
+        notes = checkpoint(notes.join(caps, mk))
+        # one put-in rest per pickup measure has no id; ids stay unique inside a measure
+        notes = notes.withColumn("rid", F.coalesce("event_id", F.lit(-1).cast("long")))
+        suspect = F.abs(F.coalesce("score", F.lit(1.0)) - 0.80) < 0.02
+        ok = R.overflow_prune(notes, mk, ["x", "rid"], "rid", "duration", suspect & (F.col("type") == "note_unit"), "cap")
+        notes = notes.join(ok, [*mk, "rid"], "left_semi").drop("rid")
+        lone = ev.filter(rest).select(*mk, "event_id", "x", "type", F.coalesce("dur", F.lit(1.0)).alias("duration"), F.lit("rest_detected").alias("source"),
+                                      F.lit(None).cast("double").alias("score"), "cap", "edge")
+        d = notes.withColumn("edge", F.lit(None).cast("double")).unionByName(lone)
+        # pickup rests are part of the measure's beats, not rests to adjust
+        is_rest = (F.col("type") == "rest") & F.col("event_id").isNotNull()
+        d = R.dominant_drop(d, mk, ["x", "event_id"], "duration", is_rest)
+        d = checkpoint(d.withColumn("fixed", ~is_rest))
+        adj = checkpoint(R.rest_adjust(d, mk, "x", "event_id", ~F.col("fixed"), "duration", "cap", "edge", 1.0))
+        # measures without room keep their rests as detected
+        full = d.filter(~F.col("fixed")).join(adj.select(*mk).distinct(), mk, "left_anti")
+        events = d.filter("fixed").select(*mk, *out).unionByName(
+            adj.select(*mk, "event_id", "x", F.lit("rest").alias("type"), "duration", "source", F.lit(None).cast("double").alias("score"))).unionByName(
+            full.select(*mk, *out))
+        if fill:
+            m = events.groupBy(*mk).agg(F.sum("duration").alias("beats"), F.max("x").alias("hi")).join(caps, mk)
+            m = m.withColumns({"gap": F.col("cap") - F.col("beats"), "anchor": F.col("hi") + slack})
+            f = R.gap_fill(m, mk, "beats", "gap", "anchor", F.lit(1e9), "cap", F.lit(False), 1.0)
+            events = events.unionByName(f.select(*mk, F.lit(None).cast("long").alias("event_id"), (F.col("x") + (slack - 1) * F.col("i")).alias("x"),
+                                                 F.lit("rest").alias("type"), "duration", F.lit("fill_to_measure").alias("source"), F.lit(None).cast("double").alias("score")))
+    return events
+
+
 def measures_to_text(members: DataFrame, rests: DataFrame, keysigs: DataFrame) -> DataFrame:
     """Measures as text.
 

@@ -178,3 +178,22 @@ def test_measure_text(spark):
     keys = spark.createDataFrame([("d", "b", [6])], "doc string, sign string, degrees array<int>")
     # the sharp carries on to the chord but not past the gap; the key signature flattens 6
     assert P.measures_to_text(members, rests, keys).first()["text"] == "#4/2 [b6, #4] 0- 4"
+
+
+def test_staff_measures(spark):
+    """Four measures of three beats: one right, one short of a rest, one whole, one filled."""
+    u = [(1, 10.0, 1.0), (2, 20.0, 1.0), (3, 30.0, 1.0), (4, 45.0, 1.0), (5, 55.0, 0.5), (6, 75.0, 3.5), (7, 112.0, 0.5), (8, 115.0, 0.5)]
+    units = spark.createDataFrame([(1, i, x, d, 1.0, [float(i * 10)], True) for i, x, d in u], "k long, unit_id long, x double, dur double, score double, ys array<double>, evidence boolean")
+    # the second rest sits on a note and goes, the third is swallowed by the long note
+    rests = spark.createDataFrame([(1, 1, 62.0, 1.0), (1, 2, 20.5, 1.0), (1, 3, 95.0, 1.0)], "k long, rest_id long, x double, duration double")
+    bars = spark.createDataFrame([(1, 40.0), (1, 70.0), (1, 105.0), (1, 125.0)], "k long, x double")
+    anchors = spark.createDataFrame([(1, 0.0, 3.0)], "k long, x double, bpm double")
+    rows = P.staff_measures(units, rests, bars, anchors, ["k"], F.lit(False)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["measure_idx"], r["x"])):
+        got.setdefault(r["measure_idx"], []).append((r["type"], r["duration"], r["source"]))
+    assert got[0] == [("note_unit", 1.0, "beam")] * 3
+    # 1.5 beats of notes and a rest of one: a rest of a half is missing before it
+    assert [e[1] for e in got[1]] == [1.0, 0.5, 0.5, 1.0] and got[1][2][2] == "gap_insert"
+    assert got[2] == [("note_unit", 3.5, "whole")]
+    assert sum(e[1] for e in got[3]) == 3.0 and got[3][-1][2] in ("fill_to_measure", "beam_rescue")
