@@ -218,7 +218,7 @@ def class_replace(regular: DataFrame, hollow: DataFrame, keys, x, y, score, row_
     merged = component_map(both, keys, x, row_id, dy * 1.5,
                            [F.col("side").asc(), F.when(F.col("side") == 1, -F.col(score)).asc(), F.col(row_id).asc()],
                            [x, y, score, "side"], solve)
-    return nms_center(merged, keys, x, y, score, row_id, dy)
+    return nms_center(merged, keys, x, y, score, row_id, dy).drop("side")
 
 
 def argmax_group(df, keys, value, order, cols: list[str]) -> DataFrame:

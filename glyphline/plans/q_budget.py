@@ -159,12 +159,30 @@ def nearest_n_window(spark, sf):
     return R.nearest_n_window(ev(spark, sf, "view", "click"), mk, ["k"], "x", "id", "mx", "n", "mid")
 
 
-@query("choose_interpretation")
+_HALVES = ", ".join(f"""h{i} AS (SELECT * REPLACE (CASE WHEN base * 2.0 / 3.0 * nt + (na - nt) * 0.25 + rb > cap + 0.1 AND base > 0.125 THEN base * 0.5 ELSE base END AS base) FROM h{i - 1})""" for i in range(1, 8))
+
+
+@query("choose_interpretation", f"""WITH {ML}, mk AS (SELECT o_orderkey AS k, o_totalprice / 5000 AS mx FROM orders WHERE o_orderkey % 2 = 0),
+ nt AS (SELECT ml.*, mx, CASE WHEN id % 3 = 0 THEN [dur, 0.5] ELSE [dur] END AS ds FROM ml JOIN mk ON mk.k = ml.k), rd AS (SELECT nt.*, r AS rd FROM nt, range(2) t(r)),
+ pl AS (SELECT *, row_number() OVER (PARTITION BY k, rd ORDER BY x, id) AS pos, count(*) OVER (PARTITION BY k, rd) AS sz FROM rd WHERE rd = 1 OR id % 3 <> 0),
+ an AS (SELECT k, rd, mx, pos, sz FROM pl QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY abs(x - mx), pos) = 1),
+ st AS (SELECT *, unnest(CASE WHEN sz <= 3 THEN [1::BIGINT] ELSE range(greatest(1, pos - 2), least(pos, sz - 2) + 1) END) AS s FROM an),
+ sc AS (SELECT st.k AS k, st.rd AS rd, s, sum(x) / 3 AS c, any_value(st.mx) AS mx FROM st JOIN pl ON pl.k = st.k AND pl.rd = st.rd AND pl.pos >= s AND pl.pos < s + 3 GROUP BY st.k, st.rd, s),
+ bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY abs(c - mx), s) = 1),
+ ids AS (SELECT pl.k AS k, pl.rd AS rd, pl.id AS id FROM bs JOIN pl ON pl.k = bs.k AND pl.rd = bs.rd AND pl.pos >= s AND pl.pos < s + 3),
+ al AS (SELECT rd.*, ids.id IS NOT NULL AS inn FROM rd LEFT JOIN ids ON ids.k = rd.k AND ids.rd = rd.rd AND ids.id = rd.id WHERE (rd.k, rd.rd) IN (SELECT (k, rd) FROM ids)),
+ mb AS (SELECT k, rd, x, id, unnest(ds) AS v, unnest(range(len(ds))) AS p FROM al WHERE inn),
+ md AS (SELECT k, rd, v AS base FROM (SELECT k, rd, v, count(*) AS c, min((x, id, p)) AS f FROM mb GROUP BY k, rd, v) QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY c DESC, f) = 1),
+ h0 AS (SELECT al.k AS k, al.rd AS rd, any_value(md.base) AS base, count(*) FILTER (inn) AS nt, count(*) AS na, any_value(rb) AS rb, any_value(cap) AS cap FROM al JOIN md ON md.k = al.k AND md.rd = al.rd GROUP BY al.k, al.rd),
+ {_HALVES}, t1 AS (SELECT *, base * 2.0 / 3.0 AS td FROM h7), t2 AS (SELECT *, CASE WHEN na > nt THEN {snap_sql('greatest(0.25, cap - td * nt - rb) / (na - nt)')} END AS ld FROM t1),
+ w AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(td * nt + coalesce(ld * (na - nt), 0) + rb - cap), rd) = 1)
+ SELECT al.k AS k, al.id AS id, round(CASE WHEN inn THEN td ELSE ld END, 9) AS duration, CASE WHEN inn THEN 'tuplet' ELSE 'tuplet_leftover' END AS source FROM al JOIN w ON w.k = al.k AND w.rd = al.rd""")
 def choose_interpretation(spark, sf):
     d = notes(spark, sf)
     d = d.withColumn("idurs", F.when(F.col("id") % 3 == 0, F.array("dur", F.lit(0.5))).otherwise(F.array("dur")))
     mk = table(spark, sf, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("mid"), (F.col("o_totalprice") / 5000).alias("mx"), F.lit(3).alias("n"))
-    return R.choose_interpretation(d, mk, ["k"], "x", "id", "idurs", "rb", "cap", "mx", "n", "mid")
+    out = R.choose_interpretation(d, mk, ["k"], "x", "id", "idurs", "rb", "cap", "mx", "n", "mid")
+    return out.withColumn("duration", F.round("duration", 9))
 
 
 @query("overflow_prune", f"""WITH RECURSIVE {ML}, s AS (SELECT *, id % 2 = 0 AS sus, sum(dur) OVER (PARTITION BY k) AS t, count(*) OVER (PARTITION BY k) AS n, count(*) FILTER (id % 2 = 0) OVER (PARTITION BY k) AS ns, row_number() OVER (PARTITION BY k ORDER BY x, id) AS rn FROM ml),
@@ -180,7 +198,24 @@ def dominant_drop(spark, sf):
     return R.dominant_drop(notes(spark, sf), ["k"], ["x", "id"], F.col("dur") * 4, F.col("id") % 3 == 0).select("k", "id")
 
 
-@query("rest_adjust")
+_FIT = f"list_filter({STEPS_SQL}::DOUBLE[], lambda sv: sv > d AND sv <= d + now + 0.01)"
+
+
+@query("rest_adjust", f"""WITH RECURSIVE {ML}, e AS (SELECT k, id, x, dur AS d, id % 2 = 0 AS r, cap + 1 AS cap, edge FROM ml),
+ g0 AS (SELECT k, coalesce(sum(d) FILTER (NOT r), 0) AS nb, sum(d) FILTER (r) AS rb, count(*) FILTER (r) AS n, count(*) FILTER (NOT r) AS nn, min(x) FILTER (r) AS fx, any_value(cap) AS cap, any_value(edge) AS edge FROM e GROUP BY k),
+ g1 AS (SELECT *, cap - nb AS rem, cap - nb - rb AS gap, (SELECT max(x) FROM e WHERE e.k = g0.k AND NOT r AND e.x < fx) AS px FROM g0 WHERE n > 0 AND cap - nb > 0),
+ g2 AS (SELECT *, {snap_sql('gap')} AS sg FROM g1), g AS (SELECT *, coalesce(abs(gap - sg) < 0.01 AND nn > 0 AND fx - px > 5, false) AS put FROM g2),
+ ins AS (SELECT k, -1::BIGINT AS id, floor((px + fx) / 2) AS x, sg AS d FROM g WHERE put), rs AS (SELECT e.k AS k, id, x, d FROM e JOIN g ON g.k = e.k WHERE r UNION ALL SELECT * FROM ins),
+ sp AS (SELECT k, x FROM e UNION ALL SELECT k, x FROM ins),
+ q AS (SELECT rs.*, rem, edge, n + put::INT AS n, rb + CASE WHEN put THEN sg ELSE 0 END AS total, coalesce(coalesce((SELECT min(x) FROM sp WHERE sp.k = rs.k AND sp.x > rs.x + 1), edge) - rs.x, 0) AS span FROM rs JOIN g ON g.k = rs.k),
+ o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, -span, x, id) AS rn FROM q),
+ t AS (SELECT k, 0::BIGINT AS rn, any_value(CASE WHEN rem - total > 0 AND rem - total <= 3.5 THEN rem - total ELSE 0 END)::DOUBLE AS now, NULL::BIGINT AS id, NULL::DOUBLE AS trial FROM o GROUP BY k UNION ALL
+ SELECT k, rn, CASE WHEN fit IS NULL THEN now ELSE now - (fit - d) END, id, coalesce(fit, d) FROM (SELECT o.k AS k, o.rn AS rn, o.id AS id, o.d AS d, now, CASE WHEN now > 0.01 THEN {_FIT}[-1] END AS fit FROM t JOIN o ON o.k = t.k AND o.rn = t.rn + 1)),
+ u AS (SELECT o.*, trial, sum(trial) OVER (PARTITION BY o.k) AS tt, row_number() OVER (PARTITION BY o.k ORDER BY x, o.id) AS pos FROM o JOIN t ON t.k = o.k AND t.id = o.id),
+ v AS (SELECT *, abs(tt - rem) < abs(total - rem) AS better, {snap_sql('rem / n')} AS per FROM u), v2 AS (SELECT *, abs(per * n - rem) < abs(CASE WHEN better THEN tt ELSE total END - rem) AS eq FROM v),
+ y AS (SELECT *, better OR (n > 1 AND abs(CASE WHEN eq THEN per * n WHEN better THEN tt ELSE total END - rem) < 0.01) AS tidy, CASE WHEN eq THEN per WHEN better THEN trial ELSE d END AS val FROM v2),
+ z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY val, pos) AS srt FROM y)
+ SELECT a.k AS k, CASE WHEN a.id >= 0 THEN a.id END AS id, a.x AS x, CASE WHEN a.tidy THEN b.val ELSE a.val END AS duration, CASE WHEN a.id < 0 THEN 'gap_insert' ELSE 'rest_detected' END AS source FROM z a JOIN z b ON a.k = b.k AND a.pos = b.srt""")
 def rest_adjust(spark, sf):
     d = notes(spark, sf)
     return R.rest_adjust(d, ["k"], "x", "id", F.col("id") % 2 == 0, "dur", F.col("cap") + 1, "edge", 2.0)

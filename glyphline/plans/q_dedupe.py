@@ -89,13 +89,42 @@ def sweep_average(spark, sf):
     return D.sweep_average(d, ["k"], "x", "id", 10.0, whole=True)
 
 
-@query("pair_dedupe")
+# one row at a time: the rows in reach it may drop, and the first that drops it instead
+@query("pair_dedupe", f"""WITH RECURSIVE {EV}, l AS (SELECT k, list(struct_pack(id := id, x := x, y := y, s := id % 20 / 20.0::DOUBLE) ORDER BY x, id) AS r FROM ev GROUP BY k),
+ g AS (SELECT k, r, 0 AS i, list_transform(r, lambda e: true) AS f FROM l UNION ALL
+ SELECT k, r, i + 1, CASE WHEN NOT f[i + 1] THEN f ELSE list_transform(range(1, len(r) + 1), lambda j: CASE WHEN j = i + 1 THEN killer IS NULL WHEN list_contains(cand, j) AND (killer IS NULL OR j < killer) THEN false ELSE f[j] END) END
+ FROM (SELECT *, list_filter(cand, lambda j: r[j].s > r[i + 1].s)[1] AS killer FROM (SELECT *, list_filter(range(i + 2, len(r) + 1), lambda j: f[j] AND r[j].x - r[i + 1].x <= 9.0
+ AND NOT (abs(r[j].s - r[i + 1].s) < 0.01 AND abs(r[j].y - r[i + 1].y) > 4.5)) AS cand FROM g WHERE i < len(r))))
+ SELECT k, r[j].id AS id FROM (SELECT k, r, f, unnest(range(1, len(r) + 1)) AS j FROM g WHERE i = len(r)) WHERE f[j]""")
 def pair_dedupe(spark, sf):
     d = ev(spark, sf).withColumn("score", F.col("id") % 20 / 20.0)
     return D.pair_dedupe(d, ["k"], "x", "y", "score", "id", 9.0)
 
 
-@query("class_replace")
+def _greedy_cte(name, rows, order, conflict):
+    """CTEs giving ``name`` (k, e): rows ``e`` of (id, x, y, s) that survive greedy suppression."""
+    t = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, s DOUBLE)"
+    return f"""{name}_s AS (SELECT k, struct_pack(id := id, x := x, y := y, s := s) AS t, row_number() OVER (PARTITION BY k ORDER BY {order}) AS rn FROM ({rows})),
+ {name}_g AS (SELECT DISTINCT k, 0::BIGINT AS rn, []::{t}[] AS kept FROM {name}_s UNION ALL
+ SELECT g.k, n.rn, CASE WHEN len(list_filter(kept, lambda q: {conflict.format(t='n.t')})) > 0 THEN kept ELSE list_append(kept, n.t) END FROM {name}_g g JOIN {name}_s n ON n.k = g.k AND n.rn = g.rn + 1),
+ {name} AS (SELECT k, unnest(arg_max(kept, rn)) AS e FROM {name}_g GROUP BY k)"""
+
+
+_BOX10 = "abs(q.x - {t}.x) < 10.0 AND abs(q.y - {t}.y) < 10.0"
+_BOX13 = "abs(q.x - {t}.x) < 13.0 AND abs(q.y - {t}.y) < 13.0"
+
+
+@query("class_replace", f"""WITH RECURSIVE {EV}, c AS (SELECT *, id % 40 / 40.0::DOUBLE AS s0 FROM ev),
+ {_greedy_cte('h', "SELECT k, id, x, y, greatest(0.8, s0) AS s FROM c WHERE typ = 'click'", 's DESC, id', _BOX13)},
+ hs AS (SELECT k, e, row_number() OVER (PARTITION BY k ORDER BY e.s DESC, e.id) AS rn FROM h),
+ rg AS (SELECT k, list(struct_pack(id := id, x := x, y := y, s := s0) ORDER BY id) FILTER (typ IN ('view', 'error')) AS slots FROM c GROUP BY k),
+ m AS (SELECT k, 0::BIGINT AS rn, coalesce(slots, []) AS slots, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, s DOUBLE)[] AS extra FROM rg UNION ALL
+ SELECT k, rn, CASE WHEN ix IS NOT NULL AND slots[ix].s < 0.95 THEN list_transform(range(1, len(slots) + 1), lambda j: CASE WHEN j = ix THEN e ELSE slots[j] END) ELSE slots END,
+ CASE WHEN ix IS NULL THEN list_append(extra, e) ELSE extra END FROM
+ (SELECT m.k AS k, hs.rn AS rn, slots, extra, e, list_filter(range(1, len(slots) + 1), lambda j: abs(e.x - slots[j].x) < 15.0 AND abs(e.y - slots[j].y) < 15.0)[1] AS ix FROM m JOIN hs ON hs.k = m.k AND hs.rn = m.rn + 1)),
+ fin AS (SELECT k, unnest(list_concat(arg_max(slots, rn), arg_max(extra, rn))) AS e FROM m GROUP BY k),
+ {_greedy_cte('o', 'SELECT k, e.id AS id, e.x AS x, e.y AS y, e.s AS s FROM fin', 's DESC, id', _BOX10)}
+ SELECT k, e.id AS id, e.x AS x, e.y AS y, e.s AS s FROM o""")
 def class_replace(spark, sf):
     s = F.col("id") % 40 / 40.0
     reg, hol = ev(spark, sf, "view", "error").withColumn("s", s), ev(spark, sf, "click").withColumn("s", F.greatest(F.lit(0.8), s))
@@ -176,17 +205,37 @@ def _stems(spark, sf):
     return ev(spark, sf).select("k", "id", "x", (F.col("x") + i % 3).alias("sx"), F.when(i % 3 == 0, "up").when(i % 3 == 1, "down").alias("stem"), "y", (i % 9).alias("length"))
 
 
-@query("seed_cluster")
+def _seed_ctes(single):
+    """CTEs giving ``sc`` (k, id, seed_id): rows in order meet the groups still open, oldest first."""
+    skip = "(st IS NOT NULL AND q.st IS NOT NULL AND st <> q.st)" if single else "false"
+    near = f"q.o AND NOT {skip} AND (abs(sx - q.sx) < 5.0 OR abs(x - q.x) < 9.0) AND list_min(list_transform(q.ys, lambda v: abs(v - y))) <= 40.0"
+    g = "STRUCT(id BIGINT, x DOUBLE, sx DOUBLE, st VARCHAR, ys DOUBLE[], o BOOLEAN)"
+    return f"""{EV}, r AS (SELECT k, id, x, y, x + id % 3 AS sx, CASE id % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END AS st, row_number() OVER (PARTITION BY k ORDER BY x, id) AS rn FROM ev),
+ a AS (SELECT DISTINCT k, 0::BIGINT AS rn, []::{g}[] AS gs, NULL::BIGINT AS id, NULL::BIGINT AS seed_id FROM r UNION ALL
+ SELECT k, rn, CASE WHEN ix IS NULL THEN list_append(closed, struct_pack(id := id, x := x, sx := sx, st := st, ys := [y], o := true)) ELSE closed END, id, CASE WHEN ix IS NULL THEN id ELSE gs[ix].id END FROM
+ (SELECT *, list_transform(range(1, len(gs) + 1), lambda j: CASE WHEN j = ix THEN struct_pack(id := gs[j].id, x := gs[j].x, sx := gs[j].sx, st := gs[j].st, ys := list_append(gs[j].ys, y), o := gs[j].o)
+  WHEN (ix IS NULL OR j < ix) AND NOT {skip.replace('q.', 'gs[j].')} AND x - gs[j].x >= 9.0 THEN struct_pack(id := gs[j].id, x := gs[j].x, sx := gs[j].sx, st := gs[j].st, ys := gs[j].ys, o := false) ELSE gs[j] END) AS closed FROM
+ (SELECT r.*, gs, list_filter(range(1, len(gs) + 1), lambda j: {near.replace('q.', 'gs[j].')})[1] AS ix FROM a JOIN r ON r.k = a.k AND r.rn = a.rn + 1))),
+ sc AS (SELECT k, id, seed_id FROM a WHERE id IS NOT NULL)"""
+
+
+@query("seed_cluster", f"WITH RECURSIVE {_seed_ctes(False)} SELECT * FROM sc")
 def seed_cluster(spark, sf):
     return G.seed_cluster(_stems(spark, sf), ["k"], "x", "sx", "stem", "y", "id", 10.0)
 
 
-@query("seed_cluster_single")
+@query("seed_cluster_single", f"WITH RECURSIVE {_seed_ctes(True)} SELECT * FROM sc")
 def seed_cluster_single(spark, sf):
     return G.seed_cluster(_stems(spark, sf), ["k"], "x", "sx", "stem", "y", "id", 10.0, single_staff=True)
 
 
-@query("orphan_merge")
+@query("orphan_merge", f"""WITH RECURSIVE {_seed_ctes(False)}, gm AS (SELECT sc.k AS k, seed_id, list(struct_pack(id := id, x := x, y := y) ORDER BY x, id) AS m FROM sc JOIN ev USING (id) GROUP BY sc.k, seed_id),
+ gl AS (SELECT k, list(struct_pack(seed := seed_id, m := m) ORDER BY m[1].x, seed_id) AS gs FROM gm GROUP BY k),
+ w AS (SELECT k, 0 AS i, gs FROM gl UNION ALL SELECT k, i + 1, CASE WHEN b IS NULL THEN gs ELSE list_transform(range(1, len(gs) + 1), lambda j: CASE WHEN j = i + 1 THEN struct_pack(seed := gs[j].seed, m := []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[])
+ WHEN j = b.j THEN struct_pack(seed := gs[j].seed, m := list_concat(gs[j].m, gs[i + 1].m)) ELSE gs[j] END) END FROM
+ (SELECT *, CASE WHEN len(gs[i + 1].m) = 1 THEN list_sort(list_filter(list_transform(list_filter(range(1, len(gs) + 1), lambda j: j <> i + 1 AND len(gs[j].m) >= 2 AND abs(gs[i + 1].m[1].x - list_avg(list_transform(gs[j].m, lambda v: v.x))) < 9.0),
+ lambda j: struct_pack(d := list_min(list_transform(gs[j].m, lambda v: abs(v.y - gs[i + 1].m[1].y))), j := j)), lambda q: q.d <= 40.0))[1] END AS b FROM w WHERE i < len(gs))),
+ z AS (SELECT k, unnest(gs) AS g FROM w WHERE i = len(gs)), y AS (SELECT k, g.seed AS seed_id, unnest(g.m) AS e FROM z) SELECT k, e.id AS id, seed_id FROM y""")
 def orphan_merge(spark, sf):
     return G.orphan_merge(_clusters(spark, sf), ["k"], "seed_id", "x", "y", "stem", "id", 10.0)
 
