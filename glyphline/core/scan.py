@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .skew import SEG, Split, find_split, same_keys
+from ..session import checkpoint
+from .skew import SEG, Split, find_split, inside_operator, same_keys
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,10 @@ def scan(df: DataFrame, keys: list[str], order: list[str], split: Split | None |
         split = find_split(df, keys, order)
     if split is None:
         return df.select("*", *[_window_expr(s, keys, order).alias(n) for n, s in specs.items()])
-    return _split_scan(split.tag(df), keys, order, specs)
+    out = _split_scan(split.tag(df), keys, order, specs)
+    # the next scan of a multi-scan operator samples its own order from this result:
+    # without a cut every one of them would run all the scans before it again
+    return checkpoint(out) if inside_operator() else out
 
 
 def _split_scan(rows: DataFrame, keys, order, specs) -> DataFrame:

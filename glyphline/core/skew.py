@@ -59,7 +59,11 @@ def use_limits(**changes):
 
 def too_small_to_probe(df: DataFrame) -> bool:
     """True when the optimizer's size estimate of the plan is under ``probe_bytes``."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:
+        # estimates multiply over joins and can pass what Python reads as a number
+        return False
     return size < _limits.probe_bytes
 
 
@@ -140,6 +144,11 @@ def probed(df: DataFrame, keys: list[str]):
         _probes.pop()
 
 
+def inside_operator() -> bool:
+    """True inside an operator made of several scans."""
+    return bool(_probes)
+
+
 def probe_once(fn):
     """Decorator of operators ``fn(df, keys, ...)`` made of several scans."""
 

@@ -149,7 +149,24 @@ def _units(spark, sf):
     return ev(spark, sf).select("k", F.col("id").alias("unit_id"), "x", F.when(two, F.array(note(0), note(1))).otherwise(F.array(note(0))).alias("notes"))
 
 
-@query("overlap_propagate")
+# one small step at a time: held note h of unit i looks at unit j, else the next held note or unit
+_HELD = """CASE WHEN {i} > len(us) THEN [] ELSE (SELECT CASE WHEN len(ns) >= 2 AND u > 0 AND dn > 0 THEN list_transform(list_filter(ns, lambda e: e.s = mi AND e.d > bs), lambda e: struct_pack(p := e.p, s := mi, fin := st + least(e.d, 2 * bs))) ELSE [] END FROM
+ (SELECT *, list_min(list_transform(list_filter(ns, lambda e: e.s IS DISTINCT FROM mi), lambda e: e.d)) AS bs FROM (SELECT *, CASE WHEN u <= dn THEN 'up' ELSE 'down' END AS mi FROM
+ (SELECT us[{i}].ns AS ns, us[{i}].st AS st, len(list_filter(us[{i}].ns, lambda e: e.s = 'up')) AS u, len(list_filter(us[{i}].ns, lambda e: e.s = 'down')) AS dn)))) END"""
+
+
+@query("overlap_propagate", f"""WITH RECURSIVE {EV}, nt AS (SELECT k, id, x, list_transform(range(0, CASE WHEN typ IN ('click', 'view') THEN 2 ELSE 1 END), lambda j: struct_pack(p := ((id * 7 + j) % 7 + 1)::VARCHAR,
+ d := 0.25 * (1 + (id + j * 3) % 4)::DOUBLE, s := CASE (id + j) % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END)) AS ns FROM ev),
+ ut AS (SELECT *, coalesce(sum(list_min(list_transform(ns, lambda e: e.d))) OVER (PARTITION BY k ORDER BY x, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM nt),
+ ul AS (SELECT k, list(struct_pack(id := id, x := x, st := st, ns := ns) ORDER BY x, id) AS us FROM ut GROUP BY k),
+ w AS (SELECT k, 0 AS step, us, 1 AS i, {_HELD.format(i='1')} AS hs, 1 AS h, 2 AS j FROM ul UNION ALL
+ SELECT k, step + 1, CASE WHEN go AND len(list_filter(us[j].ns, lambda e: e.p = hs[h].p)) = 0 THEN list_transform(range(1, len(us) + 1), lambda q: CASE WHEN q = j THEN struct_pack(id := us[q].id, x := us[q].x, st := us[q].st,
+  ns := list_append(us[q].ns, struct_pack(p := hs[h].p, d := list_min(list_transform(us[q].ns, lambda e: e.d)), s := hs[h].s))) ELSE us[q] END) ELSE us END,
+ CASE WHEN nxt THEN i + 1 ELSE i END, CASE WHEN nxt THEN {_HELD.format(i='(i + 1)')} ELSE hs END, CASE WHEN nxt THEN 1 WHEN go THEN h ELSE h + 1 END, CASE WHEN nxt THEN i + 2 WHEN go THEN j + 1 ELSE i + 1 END
+ FROM (SELECT *, NOT go AND h >= len(hs) AS nxt FROM (SELECT *, coalesce(h <= len(hs) AND j <= len(us) AND us[j].st < hs[h].fin AND len(list_filter(range(1, len(us) + 1), lambda q: q <> i AND abs(us[q].x - us[j].x) < 0.75
+  AND (len(list_filter(us[q].ns, lambda e: e.s = hs[h].s)) > 0 OR (len(us[q].ns) >= 2 AND len(list_filter(us[q].ns, lambda e: e.s IS NULL)) > 0)))) = 0, false) AS go FROM w WHERE i <= len(us)))),
+ z AS (SELECT k, unnest(arg_max(us, step)) AS u FROM w GROUP BY k)
+ SELECT k, u.id AS unit_id, len(u.ns) AS n_notes, array_to_string(list_transform(u.ns, lambda e: e.p), ' ') AS pitches FROM z""")
 def overlap_propagate(spark, sf):
     out = J.overlap_propagate(_units(spark, sf), ["k"], 0.5)
     return out.select("k", "unit_id", F.size("notes").alias("n_notes"), F.array_join(F.transform("notes", lambda n: n["pitch"]), " ").alias("pitches"))

@@ -7,17 +7,14 @@ from conftest import SF
 from glyphline.core import scan as S
 from glyphline.core.skew import find_split, use_limits
 from glyphline.plans.check import compare
-from glyphline.plans.queries import QUERIES
 
 TINY = dict(probe_bytes=0, min_rows=20, shares=10**6, component_rows=3)
 
 WITH_SQL = [
     "asof_backward", "gap_cluster", "pattern_rewrite", "carry_first", "gap_expiring_fill", "upper_median", "true_median", "greedy_pair",
     "line_pack", "nms_center", "nms_overlap", "sweep_keep_best", "sweep_average", "densest_window", "renumber_global", "ordered_concat",
+    "overlap_propagate", "pair_dedupe", "seed_cluster", "seed_cluster_single", "orphan_merge",
 ]
-WITHOUT_SQL = ["overlap_propagate", "pair_dedupe", "seed_cluster", "seed_cluster_single", "orphan_merge"]
-
-
 @pytest.mark.parametrize("name", WITH_SQL)
 def test_split_plan_equals_sql(spark, duck, name):
     with use_limits(**TINY):
@@ -25,15 +22,6 @@ def test_split_plan_equals_sql(spark, duck, name):
     assert verdict == "ok", detail
 
 
-@pytest.mark.parametrize("name", WITHOUT_SQL)
-def test_split_plan_equals_plain_plan(spark, name):
-    rows = lambda df: sorted(map(str, df.collect()))
-    plain = rows(QUERIES[name](spark, SF))
-    with use_limits(**TINY):
-        split = rows(QUERIES[name](spark, SF))
-    assert split == plain
-
-
 def _one_big_group(spark, n=4000):
     d = spark.range(n).withColumn("k", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1))
     # many equal positions: only the id tells rows apart
