@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -31,21 +32,25 @@ def local_session(cpus: int | str = "*", app: str = "glyphline") -> SparkSession
 
 
 def checkpoint(df):
-    """Cut lineage through the checkpoint folder the cluster names.
+    """Cut lineage through a table written to the folder the cluster names.
 
-    The folder is read from ``spark.checkpoint.dir``. Only a local-mode session with
-    none set gets a scratch folder; a cluster without one is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    A written table also gives the optimizer true sizes, where estimates carried along a
+    long chain of joins multiply without end. The folder is read from
+    ``spark.checkpoint.dir``. Only a local-mode session with none set gets a scratch
+    folder; a cluster without one is an error, because a machine-local folder would not
+    survive the loss of an executor.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-")
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
