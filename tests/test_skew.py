@@ -66,3 +66,18 @@ def test_small_inputs_start_no_job(spark):
     spark.sparkContext.setJobGroup("probe", "probe")
     S.scan(_one_big_group(spark), ["k"], ["x", "id"], rn=S.row_number())
     assert len(tracker.getJobIdsForGroup("probe")) == 0
+
+
+def test_budget_rule_on_split_groups(spark):
+    from glyphline.operators import budget as R
+    from test_bruteforce import SCHEMA, measures
+
+    df = spark.createDataFrame(measures(21, 25), SCHEMA)
+
+    def run():
+        out = R.deficit_alloc(df, ["k"], "x", "id", "dur", "cap", "rb", "edge")
+        return sorted(map(tuple, out.select("k", "id", "dur").collect()))
+
+    plain = run()
+    with use_limits(probe_bytes=0, min_rows=5, shares=10**6):
+        assert run() == plain
