@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .common import table
+from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -34,3 +36,15 @@ def op8(spark, sf):
     import public_tokenizers
 
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_decontaminate")
+def op10(spark, sf):
+    found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest_of_items().alias("items_sha256"), "contaminated")
+
+
+@query("op9_mixing", mixing.SQL)
+def op9(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
