@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, pii
 from .common import table
 from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
@@ -48,3 +48,8 @@ def op10(spark, sf):
 def op9(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_pii")
+def op5(spark, sf):
+    return pii.report(table(spark, sf, "documents"))
