@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii
+from . import mixing, pii, quality
 from .common import table
 from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
@@ -53,3 +53,8 @@ def op9(spark, sf):
 @query("op5_pii")
 def op5(spark, sf):
     return pii.report(table(spark, sf, "documents"))
+
+
+@query("op3_quality", quality.SQL)
+def op3(spark, sf):
+    return quality.quality(table(spark, sf, "documents"))
