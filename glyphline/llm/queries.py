@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, pii, quality
-from .common import table
+from . import mixing, pii, quality, substring_dedup
+from .common import hex_sha256, table
 from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -58,3 +58,9 @@ def op5(spark, sf):
 @query("op3_quality", quality.SQL)
 def op3(spark, sf):
     return quality.quality(table(spark, sf, "documents"))
+
+
+@query("op7_substring_dedup", substring_dedup.SQL)
+def op7(spark, sf):
+    found = substring_dedup.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept_text")).alias("kept_sha256"))
