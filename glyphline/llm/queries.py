@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, pii, quality, substring_dedup
+from . import langid, mixing, pii, quality, substring_dedup
 from .common import hex_sha256, table
 from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
@@ -64,3 +64,8 @@ def op3(spark, sf):
 def op7(spark, sf):
     found = substring_dedup.remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query("op4_langid")
+def op4(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
