@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, pii, quality, substring_dedup
+from . import chat_format, langid, mixing, pii, quality, substring_dedup
 from .common import hex_sha256, table
 from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
@@ -69,3 +69,9 @@ def op7(spark, sf):
 @query("op4_langid")
 def op4(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
+
+
+@query("op6_chat_format", chat_format.SQL)
+def op6(spark, sf):
+    turns = chat_format.with_probe(table(spark, sf, "conversations"))
+    return chat_format.digests(chat_format.format_chats(turns))
