@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, langid, mixing, pii, quality, substring_dedup
+from . import chat_format, langid, mixing, pii, quality, substring_dedup, url_filter
 from .common import hex_sha256, table
 from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
@@ -75,3 +75,8 @@ def op4(spark, sf):
 def op6(spark, sf):
     turns = chat_format.with_probe(table(spark, sf, "conversations"))
     return chat_format.digests(chat_format.format_chats(turns))
+
+
+@query("op2_url_filter")
+def op2(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"))
