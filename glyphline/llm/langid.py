@@ -289,3 +289,12 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     """
     net = train(sample(docs, id, text, lang, **bounds))
     return predict(docs.select(id, text), net, text).select(id, held_out(id).alias("held_out"), "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.3, **bounds) -> DataFrame:
+    """The rows of ``docs`` with a language: not ``und`` and a score of ``least`` or more. Columns stay as they are."""
+    net = train(sample(docs, id, text, lang, **bounds))
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    found = predict(held, net, f"c{docs.columns.index(text)}")
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

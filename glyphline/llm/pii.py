@@ -203,7 +203,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     seed = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def widen(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
         both = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind")))
         meets = F.when(F.size(acc) > 0, last["end"] > s["start"]).otherwise(F.lit(False))
@@ -216,7 +216,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(at)))
         plain = F.zip_with(starts, ends, lambda a, b: F.substring(F.col(at), a + 1, b - a))
         marks = F.concat(F.transform(spans, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
-        return F.array_join(F.zip_with(plain, marks, F.concat), "")
+        return F.array_join(F.zip_with(plain, marks, lambda a, b: F.concat(a, b)), "")
 
     out = F.when(F.size("spans") > 0, let(merged, rebuilt)).otherwise(F.col(at))
     return found.withColumn(at, out).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import checkpoint, ship_package
-from .common import text_of
+from .common import free_name, text_of
 
 # 64 bits in seven blocks; two fingerprints at four or fewer differing bits agree in three
 # blocks at least. A choice of three blocks (27 or 28 bits) is one table.
@@ -138,8 +138,8 @@ def _groups(batches):
         yield rest, np.array([0, len(rest[0])])
 
 
-def _solve_buckets(most: int):
-    """Links within buckets, from rows (key, fp) sorted by key. Buckets over TILE only report their size."""
+def _solve_buckets(most: int, tile: int):
+    """Links within buckets, from rows (key, fp) sorted by key. Buckets over ``tile`` only report their size."""
 
     def run(batches):
         for (key, fp), edges in _groups(batches):
@@ -155,7 +155,7 @@ def _solve_buckets(most: int):
                 near = i[np.bitwise_count(bits[i] ^ bits[i + step]) <= most]
                 out_a.append(fp[near])
                 out_b.append(fp[near + step])
-            for g in np.flatnonzero((size > 8) & (size <= TILE)):
+            for g in np.flatnonzero((size > 8) & (size <= tile)):
                 part = slice(edges[g], edges[g + 1])
                 i, j = _links(bits[part], None, most)
                 out_a.append(fp[part][i])
@@ -166,7 +166,7 @@ def _solve_buckets(most: int):
                 pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 n = pair.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(n, pa.int64())], ["a", "b", "large"])
-            for g in np.flatnonzero(size > TILE):
+            for g in np.flatnonzero(size > max(tile, 8)):
                 yield pa.RecordBatch.from_arrays([pa.array([int(key[edges[g]])]), pa.array([int(size[g])]), pa.array([1])], ["a", "b", "large"])
 
     return run
@@ -198,19 +198,19 @@ def _spread(keys: DataFrame, solve, schema: str) -> DataFrame:
     return keys.repartition(F.col(first)).sortWithinPartitions(first).mapInArrow(solve, schema)
 
 
-def links(fps: DataFrame, most: int = 4) -> DataFrame:
+def links(fps: DataFrame, most: int = 4, tile: int = TILE) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that connect whatever pairs at ``most`` bits connect.
 
     Every such pair meets in a bucket. A bucket's pairs are compared inside the task but only a spanning
-    set leaves it, so rows stay in proportion to the fingerprints. Buckets over TILE are cut
+    set leaves it, so rows stay in proportion to the fingerprints. Buckets over ``tile`` are cut
     into parts and every pair of parts is a task of its own.
     """
     if len(BLOCKS) - MATCH < most:
         raise ValueError(f"{len(BLOCKS)} blocks, {MATCH} of them equal, find at most {len(BLOCKS) - MATCH} differing bits")
     keyed = fps.select(F.explode(_bucket_keys(F.col("fp"))).alias("key"), "fp")
-    found = checkpoint(_spread(keyed, _solve_buckets(most), "a bigint, b bigint, large bigint"))
+    found = checkpoint(_spread(keyed, _solve_buckets(most, tile), "a bigint, b bigint, large bigint"))
     pairs = found.filter(F.col("large").isNull()).select("a", "b")
-    large = found.filter(F.col("large").isNotNull()).select(F.col("a").alias("key"), F.ceil(F.col("b") / TILE).alias("parts"))
+    large = found.filter(F.col("large").isNotNull()).select(F.col("a").alias("key"), F.ceil(F.col("b") / tile).alias("parts"))
     if large.isEmpty():
         return pairs
     hot = keyed.join(large, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
@@ -273,12 +273,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group.
+    """One row of each component of ``docs``: the one with the smallest id, then text hash. Columns stay as they are.
 
-    Of rows that repeat such an id, the one with the smallest text hash stays; a null id stands for itself.
+    Rows count as different if id or text differ, also where the id is null; of repeated rows one stays.
     """
-    found = near_duplicates(docs, id, text, **how)
-    keep = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__kept")).distinct()
-    stay = docs.join(checkpoint(keep), F.col(id).eqNullSafe(F.col("__kept")), "left_semi")
-    once = W.partitionBy(id).orderBy(F.xxhash64(text))
-    return stay.withColumn("__turn", F.row_number().over(once)).filter(F.col("__turn") == 1).drop("__turn")
+    key = free_name(docs, "key")
+    rows = docs.withColumn(key, F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.xxhash64(text).alias("hash")))
+    found = near_duplicates(rows, key, text, **how)
+    keep = checkpoint(found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct())
+    stay = rows.join(keep, F.col(key) == F.col("kept_key"), "left_semi")
+    turn = free_name(rows, "turn")
+    once = W.partitionBy(key).orderBy(F.lit(0))
+    return stay.withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1).drop(key, turn)
