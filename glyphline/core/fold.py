@@ -10,11 +10,11 @@ with exactly the sequential result, and takes few rounds for rules that forget q
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import checkpoint, ship_package
 from .skew import SEG, find_split, same_keys
@@ -37,15 +37,27 @@ class Rule:
         return []
 
 
-def _group_stream(batches: Iterator[pd.DataFrame], n_keys: int):
-    """Yield (key tuple, seg, rows, first, last) per contiguous run of one key."""
-    for pdf in batches:
-        cols = [pdf[c].tolist() for c in pdf.columns]
-        yield from zip(*cols)
+_NAN = float("nan")
 
 
-def _runner(rule: Rule, n_keys: int, names: list[str], starts: dict, flush: dict | None, states_only: bool):
-    """mapInPandas body. Input columns: keys, segment, then the rule's columns."""
+def _values(column: pa.Array, key: bool) -> list:
+    """Python values: integers stay exact and nulls stay None, but for missing numbers a rule computes with."""
+    out = column.to_pylist()
+    if not pa.types.is_floating(column.type):
+        return out
+    if key:  # one object, so that NaN equals NaN as it does in a grouping
+        return [_NAN if v is not None and v != v else v for v in out]
+    return [_NAN if v is None else v for v in out]
+
+
+def _runner(rule: Rule, n_keys: int, schema: T.StructType, starts: dict, flush: dict | None, states_only: bool):
+    """mapInArrow body. Input columns: keys, segment, then the rule's columns."""
+    fields = list(to_arrow_schema(schema))
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        # a number a rule leaves as NaN is a missing one
+        cols = [pa.array(c, f.type, from_pandas=i >= n_keys and pa.types.is_floating(f.type)) for i, (c, f) in enumerate(zip(zip(*rows), fields))]
+        return pa.RecordBatch.from_arrays(cols, schema.names)
 
     def run(batches):
         current, state = None, None
@@ -60,22 +72,23 @@ def _runner(rule: Rule, n_keys: int, names: list[str], starts: dict, flush: dict
             elif flush is None or flush.get(current[:-1]) == current[-1] or current[-1] < 0:
                 out.extend((*current[:-1], *r) for r in rule.finish(state))
 
-        for row in _group_stream(batches, n_keys):
-            gid = row[: n_keys + 1]
-            if gid != current:
-                close()
-                current = gid
-                state = starts.get(gid, rule.start)
-            state, emitted = rule.step(state, row[n_keys + 1 :])
-            if emitted and not states_only:
-                out.extend((*gid[:-1], *r) for r in emitted)
-            if len(out) >= 50_000:
-                yield pd.DataFrame(out, columns=names, dtype=object)
-                out = []
+        for b in batches:
+            for row in zip(*[_values(c, i < n_keys) for i, c in enumerate(b.columns)]):
+                gid = row[: n_keys + 1]
+                if gid != current:
+                    close()
+                    current = gid
+                    state = starts.get(gid, rule.start)
+                state, emitted = rule.step(state, row[n_keys + 1 :])
+                if emitted and not states_only:
+                    out.extend((*gid[:-1], *r) for r in emitted)
+                if len(out) >= 50_000:
+                    yield table(out)
+                    out = []
         close()
         res = done if states_only else out
         if res:
-            yield pd.DataFrame(res, columns=names, dtype=object)
+            yield table(res)
 
     return run
 
@@ -93,9 +106,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule
     laid = tagged.repartition(*part).sortWithinPartitions(*part, *order)
     key_fields = [df.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + list(T._parse_datatype_string(out).fields))
-    names = out_schema.names
     if split is None:
-        return laid.select(*lanes).mapInPandas(_runner(rule, len(keys), names, {}, None, False), out_schema)
+        return laid.select(*lanes).mapInArrow(_runner(rule, len(keys), out_schema, {}, None, False), out_schema)
 
     tagged = checkpoint(tagged)
     starts: dict = {}
@@ -108,12 +120,12 @@ def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule
     spark = df.sparkSession
     while todo:
         # the work list holds at most one row per segment of the split table
-        pending = spark.createDataFrame(sorted(todo), T.StructType([T.StructField(f"__w_{f.name}", f.dataType) for f in state_schema.fields[:-1]]))
+        pending = spark.createDataFrame(sorted(todo, key=str), T.StructType([T.StructField(f"__w_{f.name}", f.dataType) for f in state_schema.fields[:-1]]))
         cond = same_keys([F.col(c) for c in part], [F.col(f"__w_{c}") for c in part])
         work = tagged.join(F.broadcast(pending), cond, "left_semi")
         laid = work.repartition(*part).sortWithinPartitions(*part, *order)
-        found = laid.select(*lanes).mapInPandas(
-            _runner(rule, len(keys), state_schema.names, dict(starts), None, True), state_schema
+        found = laid.select(*lanes).mapInArrow(
+            _runner(rule, len(keys), state_schema, dict(starts), None, True), state_schema
         ).collect()
         for r in found:
             ends[tuple(r)[:-1]] = pickle.loads(bytes(r["__state"]))
@@ -131,4 +143,4 @@ def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule
     laid = tagged.repartition(*part).sortWithinPartitions(*part, *order)
     # a group's pending rows belong to its last segment that has any row
     final = {k: max([s for s in range(last + 1) if (*k, s) in ends], default=-1) for k, last in split.last.items()}
-    return laid.select(*lanes).mapInPandas(_runner(rule, len(keys), names, starts, final, False), out_schema)
+    return laid.select(*lanes).mapInArrow(_runner(rule, len(keys), out_schema, starts, final, False), out_schema)

@@ -13,12 +13,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import checkpoint, ship_package
 from . import scan as S
-from .skew import find_split, limits, too_small_to_probe
+from .skew import find_split, limits, same_keys, too_small_to_probe
 
 BLOCK = 2_000
 
@@ -46,36 +47,52 @@ def greedy_pick(conflict: Callable) -> Callable:
     return pick
 
 
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value differs from the one before it; null equals null and NaN equals NaN."""
+    now, before = column.slice(1), column.slice(0, len(column) - 1)
+    try:
+        differ = pc.fill_null(pc.not_equal(now, before), False)
+    except pa.ArrowNotImplementedError:
+        values = column.to_pylist()
+        return np.array([x != y for x, y in zip(values[1:], values)], dtype=bool)
+    out = np.asarray(differ) | (np.asarray(pc.is_null(now)) != np.asarray(pc.is_null(before)))
+    if pa.types.is_floating(column.type):
+        out &= ~(np.asarray(pc.fill_null(pc.is_nan(now), False)) & np.asarray(pc.fill_null(pc.is_nan(before), False)))
+    return out
+
+
 def _solver(n_keys: int, n_num: int, pick: Callable, names: list[str]):
-    """mapInPandas body over rows sorted by (keys, comp, priority).
+    """mapInArrow body over rows sorted by (keys, comp, priority).
 
-    Columns: keys, comp, numeric columns for ``pick``, then the payload. One component is
-    held at a time; components are bounded by the caller.
+    Columns: keys, comp, numeric columns for ``pick``, then the payload, which is handed on
+    as it came. One component is held at a time; components are bounded by the caller.
     """
 
     def run(batches):
         rest = None
-        for pdf in batches:
-            if rest is not None and len(rest):
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            gid = pdf.iloc[:, : n_keys + 1]
-            edge = (gid != gid.shift()) & ~(gid.isna() & gid.shift().isna())
-            starts = np.flatnonzero(edge.any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0))
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if rest is not None and rest.num_rows:
+                t = pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            edge = np.ones(t.num_rows, dtype=bool)
+            if t.num_rows > 1:
+                edge[1:] = np.logical_or.reduce([_changes(t.column(i)) for i in range(n_keys + 1)])
+            starts = np.flatnonzero(edge)
             # the last component may go on in the next batch
-            cut = starts[-1] if len(starts) else 0
-            head, rest = pdf.iloc[:cut], pdf.iloc[cut:]
-            if len(head):
-                yield emit(head, starts[:-1])
-        if rest is not None and len(rest):
-            yield emit(rest.reset_index(drop=True), np.array([0]))
-
-    def emit(pdf, starts):
-        nums = [pdf.iloc[:, n_keys + 1 + i].to_numpy() for i in range(n_num)]
-        ends = np.append(starts[1:], len(pdf))
+            cut = int(starts[-1])
+            head, rest = t.slice(0, cut), t.slice(cut)
+            if head.num_rows:
+                yield from emit(head, starts[:-1])
+        if rest is not None and rest.num_rows:
+            yield from emit(rest, np.array([0]))
+
+    def emit(t, starts):
+        nums = [t.column(n_keys + 1 + i).to_numpy() for i in range(n_num)]
+        ends = np.append(starts[1:], t.num_rows)
         rows = [np.array([a]) if b - a == 1 else a + pick(*[c[a:b] for c in nums]) for a, b in zip(starts, ends)]
-        got = pdf.iloc[np.concatenate(rows)]
-        got.columns = names
-        return got
+        yield from t.take(pa.array(np.concatenate(rows))).rename_columns(names).to_batches()
 
     return run
 
@@ -86,7 +103,7 @@ def _solve_df(df: DataFrame, keys, priority: list[Column], nums: list[str], pick
     cols = [*part, *[F.col(c).alias(f"__n{i}") for i, c in enumerate(nums)], *payload]
     laid = df.repartition(*part).sortWithinPartitions(*[F.col(c) for c in part], *priority)
     laid = laid.select(*cols)
-    return laid.mapInPandas(_solver(len(keys), len(nums), pick, laid.columns), laid.schema).select(*part, *payload)
+    return laid.mapInArrow(_solver(len(keys), len(nums), pick, laid.columns), laid.schema).select(*part, *payload)
 
 
 def component_map(df, keys, x, tie, reach, priority, nums, pick) -> DataFrame:
@@ -127,10 +144,11 @@ def suppress(
     sizes = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limits().component_rows)
     if sizes.isEmpty():
         return _solve_df(tagged, keys, priority, nums, pick, payload).select(*names)
-    big = sizes.drop("__n")
-    small = tagged.join(big, part, "left_anti")
+    big = sizes.select(*[F.col(c).alias(f"__b_{c}") for c in part])
+    in_big = same_keys([F.col(c) for c in part], [F.col(f"__b_{c}") for c in part])
+    small = tagged.join(big, in_big, "left_anti")
     done = _solve_df(small, keys, priority, nums, pick, payload)
-    left = checkpoint(tagged.join(big, part, "left_semi"))
+    left = checkpoint(tagged.join(big, in_big, "left_semi"))
     kept = []
     width = F.greatest(F.lit(reach).cast("double"), F.lit(1e-9)) if end is None else None
     while not left.isEmpty():

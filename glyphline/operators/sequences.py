@@ -244,10 +244,12 @@ def tail_merge(df, keys, seg, last_seg, x, row_id, dy, is_rest: Column, ys: str)
     t = tail.withColumn("__c", F.floor(F.col(x) / reach))
     alike = (F.size("__ys") == F.size("__oys")) & F.forall(
         F.zip_with("__ys", "__oys", lambda a, b: F.coalesce(F.abs(a - b) <= dy * 0.25, F.lit(False))), lambda v: v)
-    cond = [t[k] == old[k] for k in keys] + [t["__c"] == old["__c"], F.abs(t[x] - old["__ox"]) <= reach, alike]
+    cond = [t[k].eqNullSafe(old[k]) for k in keys] + [t["__c"] == old["__c"], F.abs(t[x] - old["__ox"]) <= reach, alike]
     fresh = t.join(old, cond, "left_anti").drop("__c")
     kept = fold(fresh, keys, [x, row_id], [row_id, x, "__ys"], _TailDedupe(dy), f"{row_id} long")
-    moved = fresh.join(kept, [*keys, row_id], "left_semi").withColumn(seg, F.col(seg) - 1)
+    kept = kept.select(*[F.col(c).alias(f"__k_{c}") for c in [*keys, row_id]])
+    mine = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*keys, row_id]]
+    moved = fresh.join(kept, mine, "left_semi").withColumn(seg, F.col(seg) - 1)
     return body.unionByName(moved).drop("__ys")
 
 
