@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
 from ..core.fold import Rule, fold
-from ..core.skew import probe_once, probed
+from ..core.skew import probe_once, probed, same_keys
 from ..functions import scalar as N
 from . import aggregates as A
 from . import joins as J
@@ -264,32 +264,32 @@ def nearest_n_window(pool, markers, keys, x, row_id, mx, n, marker_id) -> DataFr
     """Rows under a marker: the ``n`` consecutive rows, holding the row nearest to the
     marker, whose centre is nearest to it. A pool of ``n`` rows or fewer is taken whole.
 
-    Each row brings along the rows it can share a window with, so a marker needs only its
-    nearest row. The largest ``n`` is read from the markers.
+    A marker finds its nearest row by a merge scan and the up to 2n - 1 rows it can share a window with by their
+    positions in the group.
     """
-    reach = (markers.agg(F.max(n)).first()[0] or 1) - 1
-    me = F.struct(F.col(x).cast("double").alias("x"), F.col(row_id).alias("id"))
-    p = pool.select(*keys, F.col(x).cast("double").alias("px"), F.col(row_id).alias("pid"), me.alias("me"))
-    around = {f"__b{i}": S.lag("me", i) for i in range(reach, 0, -1)} | {f"__f{i}": S.lead("me", i) for i in range(1, reach + 1)}
-    p = S.scan(p, keys, ["px", "pid"], pos=S.row_number(), size=S.total("count", F.lit(1)), __same=S.lag("px"), **around)
-    before = F.array_compact(F.array(*[F.col(f"__b{i}") for i in range(reach, 0, -1)])) if reach else F.array()
-    after = F.array_compact(F.array(*[F.col(f"__f{i}") for i in range(1, reach + 1)])) if reach else F.array()
+    p = pool.select(*keys, F.col(x).cast("double").alias("px"), F.col(row_id).alias("pid"))
+    p = S.scan(p, keys, ["px", "pid"], pos=S.row_number(), size=S.total("count", F.lit(1)), __same=S.lag("px"))
     # of rows at one place the first stands for it
-    at = p.filter(F.col("__same").isNull() | (F.col("__same") < F.col("px"))).select(
-        *keys, "px", "pos", "size", (F.concat(before, F.array("me"), after) if reach else F.array("me")).alias("near"),
-        (F.size(before) if reach else F.lit(0)).alias("here"))
+    at = p.filter(F.col("__same").isNull() | (F.col("__same") < F.col("px"))).select(*keys, "px", "pos", "size")
     m = markers.select(*keys, F.col(mx).cast("double").alias("mx"), F.col(n).alias("mn"), F.col(marker_id).alias("mid"))
-    m = J.neighbours(m, at, keys, "mx", "px", "mid", ["size", "near", "here"])
+    m = J.neighbours(m, at, keys, "mx", "px", "mid", ["size", "pos"])
     dp, dn = F.col("mx") - F.col("__prev.at"), F.col("__next.at") - F.col("mx")
     left = F.col("__prev").isNotNull() & (F.col("__next").isNull() | (dp <= dn))
     m = m.withColumn("a", F.when(left, F.col("__prev")).otherwise(F.col("__next"))).filter(F.col("a").isNotNull())
-    m = m.select(*keys, "mid", "mx", "mn", "a.*")
-    # starts as offsets into ``near``, whose element ``here`` is the nearest row
-    first = F.greatest(F.lit(0), F.col("here") - F.col("mn") + 1)
-    last = F.least(F.col("here"), F.size("near") - F.col("mn"))
-    centre = lambda s: F.aggregate(F.slice("near", s + 1, F.col("mn")), F.lit(0.0), lambda t, v: t + v["x"]) / F.col("mn")
+    m = m.select(*keys, "mid", "mx", "mn", F.col("a.pos").alias("here"), F.col("a.size").alias("size"))
+    low, high = F.greatest(F.lit(1), F.col("here") - F.col("mn") + 1), F.least(F.col("size"), F.col("here") + F.col("mn") - 1)
+    m = m.withColumns({"low": F.when(F.col("size") <= F.col("mn"), 1).otherwise(low), "high": F.when(F.col("size") <= F.col("mn"), F.col("size")).otherwise(high)})
+    m = m.withColumn("at", F.explode(F.sequence("low", "high")))
+    near = p.select(*[F.col(k).alias(f"__p_{k}") for k in keys], F.col("pos").alias("at_"), "px", "pid")
+    m = m.join(near, same_keys([F.col(k) for k in keys], [F.col(f"__p_{k}") for k in keys]) & (F.col("at") == F.col("at_")))
+    near = F.sort_array(F.collect_list(F.struct("at", F.col("px").alias("x"), F.col("pid").alias("id"))))
+    m = m.groupBy(*keys, "mid", "mx", "mn", "here", "size", "low").agg(near.alias("near"))
+    # starts as offsets into ``near``, whose element ``here - low`` is the nearest row
+    first = F.greatest(F.lit(0), F.col("here") - F.col("low") - F.col("mn") + 1)
+    last = F.least(F.col("here") - F.col("low"), F.size("near") - F.col("mn"))
+    centre = lambda s: F.aggregate(F.slice("near", s.cast("int") + 1, F.col("mn")), F.lit(0.0), lambda t, v: t + v["x"]) / F.col("mn")
     best = F.array_min(F.transform(F.sequence(first, last), lambda s: F.struct(F.abs(centre(s) - F.col("mx")).alias("d"), s.alias("s"))))["s"]
-    rows = F.when(F.col("size") <= F.col("mn"), F.col("near")).otherwise(F.slice("near", best + 1, F.col("mn")))
+    rows = F.when(F.col("size") <= F.col("mn"), F.col("near")).otherwise(F.slice("near", best.cast("int") + 1, F.col("mn")))
     return m.select(*keys, F.col("mid").alias(marker_id), F.explode(rows).alias("r")).select(*keys, marker_id, F.col("r.id").alias(row_id))
 
 
@@ -315,19 +315,18 @@ def _choose(notes, markers, keys, x, row_id, idurs, rest_beats, capacity, mx, n,
     a = d.join(ids.withColumn("__in", F.lit(1)), [*rk, row_id], "left")
     # commonest duration of the covered members: one row per member, none for the others
     members = F.when(F.col("__in") == 1, F.col(idurs)).otherwise(F.array(F.lit(None).cast("double")))
-    a = a.select("*", F.posexplode(members).alias("__p", "__v"))
+    a = a.select("*", F.posexplode_outer(members).alias("__p", "__v")).withColumn("__p", F.coalesce("__p", F.lit(0)))
     order = [x, row_id, "__p"]
     a = S.scan(a, [*rk, "__v"], order, __c=S.total("count", "__v"), __f=S.total("min", F.struct(*order)))
     pick = F.when(F.col("__v").isNotNull(), F.struct((-F.col("__c")).alias("c"), F.col("__f").alias("f"), F.col("__v").alias("v")))
     a = S.scan(a, rk, order, __b=S.total("min", pick)).filter(F.col("__p") == 0)
     a = S.scan(a, rk, [x, row_id], nt=S.total("sum", F.coalesce("__in", F.lit(0))), na=S.total("count", F.lit(1)))
-    a = a.filter(F.col("__b").isNotNull())
+    a = a.filter(F.col("nt") > 0).withColumn("__b", F.coalesce(F.col("__b.v"), F.lit(0.25)))
+    # the first halving that fits or is an eighth of a beat at most
     over = lambda b: (b * 2.0 / 3.0 * F.col("nt") + (F.col("na") - F.col("nt")) * 0.25 + _c(rest_beats) > _c(capacity) + 0.1) & (b > 0.125)
-    # halving 4 beats six times already gets below the limit
-    half = F.col("__b.v")
-    for _ in range(6):
-        a = a.withColumn("base", F.when(over(half), half * 0.5).otherwise(half))
-        half = F.col("base")
+    halvings = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("__b") * 8)).cast("int"))), lambda i: F.col("__b") / F.pow(F.lit(2.0), i))
+    a = a.withColumn("base", F.filter(halvings, lambda b: ~over(b))[0])
     a = a.withColumn("td", F.col("base") * 2.0 / 3.0)
     others = F.col("na") - F.col("nt")
     left = F.greatest(F.lit(0.25), _c(capacity) - F.col("td") * F.col("nt") - _c(rest_beats))

@@ -197,23 +197,20 @@ def class_replace(regular: DataFrame, hollow: DataFrame, keys, x, y, score, row_
     both = regular.select(*cols, F.lit(0).alias("side")).unionByName(h.select(*cols, F.lit(1).alias("side")))
 
     def solve(cx, cy, cs, side):
-        """Position in the input that each output row takes, from rows ordered regular
-        first by id and hollow rows by score."""
-        n = int((side == 0).sum())
-        slot = list(range(n))
-        extra = []
-        for i in range(n, len(cx)):
-            placed = False
-            for j in range(n):
-                s = slot[j]
-                if abs(cx[i] - cx[s]) < dy * 1.5 and abs(cy[i] - cy[s]) < dy * 1.5:
-                    if cs[s] < HOLLOW_KEEP:
-                        slot[j] = i
-                    placed = True
-                    break
-            if not placed:
-                extra.append(i)
-        return np.array(slot + extra, dtype=int)
+        """Input positions of the output rows; regular rows come first by id, then hollow ones by score.
+
+        Every regular row is a place with the row that holds it now; each hollow row meets all places at once.
+        """
+        places = np.flatnonzero(side == 0)
+        px, py, ps, added = cx[places], cy[places], cs[places], []
+        for h in np.flatnonzero(side == 1):
+            near = np.flatnonzero(np.maximum(np.abs(px - cx[h]), np.abs(py - cy[h])) < dy * 1.5)
+            if not len(near):
+                added.append(h)
+            elif ps[near[0]] < HOLLOW_KEEP:
+                at = near[0]
+                places[at], px[at], py[at], ps[at] = h, cx[h], cy[h], cs[h]
+        return np.concatenate([places, np.array(added, dtype=int)])
 
     merged = component_map(both, keys, x, row_id, dy * 1.5,
                            [F.col("side").asc(), F.when(F.col("side") == 1, -F.col(score)).asc(), F.col(row_id).asc()],

@@ -159,10 +159,11 @@ def nearest_n_window(spark, sf):
     return R.nearest_n_window(ev(spark, sf, "view", "click"), mk, ["k"], "x", "id", "mx", "n", "mid")
 
 
-_HALVES = ", ".join(f"""h{i} AS (SELECT * REPLACE (CASE WHEN base * 2.0 / 3.0 * nt + (na - nt) * 0.25 + rb > cap + 0.1 AND base > 0.125 THEN base * 0.5 ELSE base END AS base) FROM h{i - 1})""" for i in range(1, 8))
+# the first of base, base / 2, base / 4, … that fits
+_HALVES = """h7 AS (SELECT * REPLACE (base / pow(2, list_filter(range(0, 64), lambda i: NOT (base / pow(2, i) * 2.0 / 3.0 * nt + (na - nt) * 0.25 + rb > cap + 0.1 AND base / pow(2, i) > 0.125))[1]) AS base) FROM h0)"""
 
 
-@query("choose_interpretation", f"""WITH {ML}, mk AS (SELECT o_orderkey AS k, o_totalprice / 5000 AS mx FROM orders WHERE o_orderkey % 2 = 0),
+@query("choose_interpretation", f"""WITH {ML}, mk AS (SELECT o_orderkey AS k, o_totalprice / 5000 AS mx FROM orders),
  nt AS (SELECT ml.*, mx, CASE WHEN id % 3 = 0 THEN [dur, 0.5] ELSE [dur] END AS ds FROM ml JOIN mk ON mk.k = ml.k), rd AS (SELECT nt.*, r AS rd FROM nt, range(2) t(r)),
  pl AS (SELECT *, row_number() OVER (PARTITION BY k, rd ORDER BY x, id) AS pos, count(*) OVER (PARTITION BY k, rd) AS sz FROM rd WHERE rd = 1 OR id % 3 <> 0),
  an AS (SELECT k, rd, mx, pos, sz FROM pl QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY abs(x - mx), pos) = 1),
@@ -180,7 +181,7 @@ _HALVES = ", ".join(f"""h{i} AS (SELECT * REPLACE (CASE WHEN base * 2.0 / 3.0 *
 def choose_interpretation(spark, sf):
     d = notes(spark, sf)
     d = d.withColumn("idurs", F.when(F.col("id") % 3 == 0, F.array("dur", F.lit(0.5))).otherwise(F.array("dur")))
-    mk = table(spark, sf, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("mid"), (F.col("o_totalprice") / 5000).alias("mx"), F.lit(3).alias("n"))
+    mk = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("mid"), (F.col("o_totalprice") / 5000).alias("mx"), F.lit(3).alias("n"))
     out = R.choose_interpretation(d, mk, ["k"], "x", "id", "idurs", "rb", "cap", "mx", "n", "mid")
     return out.withColumn("duration", F.round("duration", 9))
 

@@ -1,6 +1,9 @@
-"""Operators without SQL, and budget rules, against plain loops over small groups."""
+"""Operators on random small groups: what their results must satisfy, and cases with known answers.
 
-from collections import Counter, defaultdict
+The plain and the split plan must give the same rows. The exact rows are held against recursive SQL in test_oracles.
+"""
+
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -16,10 +19,6 @@ from glyphline.operators import joins as J
 TINY = dict(probe_bytes=0, min_rows=12, shares=10**6, component_rows=3)
 
 
-def snap(v):
-    return min(STEPS, key=lambda d: abs(d - v))
-
-
 def random_rows(seed, groups=12, size=40, span=60.0):
     rng = np.random.default_rng(seed)
     rows, i = [], 0
@@ -30,13 +29,6 @@ def random_rows(seed, groups=12, size=40, span=60.0):
     return rows
 
 
-def by_group(rows):
-    out = defaultdict(list)
-    for r in rows:
-        out[r[0]].append(r)
-    return {k: sorted(v, key=lambda r: (r[2], r[1])) for k, v in out.items()}
-
-
 def both_ways(build):
     """The plain plan's rows, after checking the split plan gives the same."""
     plain = sorted(map(tuple, build().collect()), key=str)
@@ -49,159 +41,132 @@ def both_ways(build):
 def test_pair_dedupe(spark, seed):
     rows = random_rows(seed)
     df = spark.createDataFrame(rows, "k long, id long, x double, y double, s double")
-    got = both_ways(lambda: D.pair_dedupe(df, ["k"], "x", "y", "s", "id", 2.0))
-    want = []
-    for k, g in by_group(rows).items():
-        keep = [True] * len(g)
-        for i in range(len(g)):
-            for j in range(i + 1, len(g)):
-                if not keep[i] or g[j][2] - g[i][2] > 2.0:
-                    break
-                if not keep[j] or (abs(g[i][4] - g[j][4]) < 0.01 and abs(g[i][3] - g[j][3]) > 1.0):
-                    continue
-                if g[i][4] >= g[j][4]:
-                    keep[j] = False
-                else:
-                    keep[i] = False
-        want += [(k, r[1]) for r, f in zip(g, keep) if f]
-    assert got == sorted(want, key=str)
+    kept = {i for _, i in both_ways(lambda: D.pair_dedupe(df, ["k"], "x", "y", "s", "id", 2.0))}
+
+    def conflict(a, b):
+        two_voices = abs(a[4] - b[4]) < 0.01 and abs(a[3] - b[3]) > 1.0
+        return a[0] == b[0] and a[1] != b[1] and abs(a[2] - b[2]) <= 2.0 and not two_voices
+
+    for a in rows:
+        rivals = [b for b in rows if conflict(a, b)]
+        if a[1] in kept:
+            assert not any(b[1] in kept for b in rivals)
+        else:  # something at least as good stood in the way
+            assert any(b[4] >= a[4] for b in rivals)
+
+
+def test_pair_dedupe_known(spark):
+    rows = [(1, 1, 0.0, 0.0, 0.5), (1, 2, 1.0, 0.0, 0.9), (1, 3, 2.5, 0.0, 0.9), (1, 4, 9.0, 0.0, 0.1), (1, 5, 9.5, 5.0, 0.1), (1, 6, 20.0, 0.0, 0.3)]
+    df = spark.createDataFrame(rows, "k long, id long, x double, y double, s double")
+    assert sorted(r.id for r in D.pair_dedupe(df, ["k"], "x", "y", "s", "id", 2.0).collect()) == [2, 4, 5, 6]
 
 
 @pytest.mark.parametrize("seed,single", [(3, False), (4, True), (5, False)])
-def test_seed_cluster_and_orphans(spark, seed, single):
+def test_seed_clusters_hang_together(spark, seed, single):
     rng = np.random.default_rng(seed)
     rows = [(*r, float(r[2] + rng.integers(0, 3)), [None, "up", "down"][rng.integers(0, 3)]) for r in random_rows(seed)]
     df = spark.createDataFrame(rows, "k long, id long, x double, y double, s double, sx double, stem string")
-    dy = 2.0
-    got = both_ways(lambda: G.seed_cluster(df, ["k"], "x", "sx", "stem", "y", "id", dy, single))
-    merged_got = both_ways(lambda: G.orphan_merge(
-        df.join(G.seed_cluster(df, ["k"], "x", "sx", "stem", "y", "id", dy, single), ["k", "id"]), ["k"], "seed_id", "x", "y", "stem", "id", dy, single))
-    want, merged_want = [], []
-    for k, g in by_group(rows).items():
-        free, groups = list(g), []
-        while free:
-            seed_row = free.pop(0)
-            group, rest, open_ = [seed_row], [], True
-            for r in free:
-                if not open_:
-                    rest.append(r)
-                    continue
-                if single and r[6] and seed_row[6] and r[6] != seed_row[6]:
-                    rest.append(r)
-                    continue
-                close = abs(r[5] - seed_row[5]) < dy * 0.5 or abs(r[2] - seed_row[2]) < dy * 0.9
-                if close and min(abs(r[3] - m[3]) for m in group) <= dy * 4:
-                    group.append(r)
-                else:
-                    rest.append(r)
-                    open_ = r[2] - seed_row[2] < dy * 0.9
-            groups.append(group)
-            free = rest
-        want += [(k, r[1], m[0][1]) for m in groups for r in m]
-        alive = [list(m) for m in groups]
-        seeds = [m[0][1] for m in groups]
-        for i, m in enumerate(alive):
-            if len(m) != 1:
+    dy, row = 2.0, {r[1]: r for r in rows}
+    cluster = lambda: G.seed_cluster(df, ["k"], "x", "sx", "stem", "y", "id", dy, single)
+    got = both_ways(cluster)
+    assert sorted(i for _, i, _ in got) == sorted(row)
+    members = defaultdict(list)
+    for _, i, s in got:
+        members[s].append(row[i])
+    for s, own in members.items():
+        seed_row = row[s]
+        assert min(own, key=lambda r: (r[2], r[1])) == seed_row
+        for r in own:
+            if r is seed_row:
                 continue
-            n, best, dist = m[0], None, float("inf")
-            for j, o in enumerate(alive):
-                if j == i or o is None or len(o) < 2 or abs(n[2] - np.mean([v[2] for v in o])) >= dy * 0.9:
-                    continue
-                stems = {v[6] for v in o}
-                if single and n[6] is not None and n[6] not in stems and None not in stems:
-                    continue
-                d = min(abs(n[3] - v[3]) for v in o)
-                if d <= dy * 4 and d < dist:
-                    best, dist = j, d
-            if best is not None:
-                alive[best].append(n)
-                alive[i] = []
-        merged_want += [(k, r[1], seeds[i]) for i, m in enumerate(alive) for r in m]
-    assert got == sorted(want, key=str)
-    assert merged_got == sorted(merged_want, key=str)
+            assert r[0] == seed_row[0]
+            assert abs(r[5] - seed_row[5]) < dy * 0.5 or abs(r[2] - seed_row[2]) < dy * 0.9
+            assert any(abs(r[3] - o[3]) <= dy * 4 for o in own if o is not r)
+            assert not single or None in (r[6], seed_row[6]) or r[6] == seed_row[6]
+
+    merged = both_ways(lambda: G.orphan_merge(df.join(cluster(), ["k", "id"]), ["k"], "seed_id", "x", "y", "stem", "id", dy, single))
+    home = {i: s for _, i, s in merged}
+    moved = {i for _, i, s in got if home[i] != s}
+    assert sorted(home) == sorted(row) and moved
+    for s, own in members.items():
+        if len(own) > 1:  # groups of several stay together
+            assert {home[r[1]] for r in own} == {s}
+    for i in moved:
+        assert len(members[i]) == 1  # only rows alone move, next to a member not too far in y
+        others = [row[j] for j, s in home.items() if s == home[i] and j != i]
+        assert others and any(abs(row[i][3] - o[3]) <= dy * 4 for o in others)
+
+
+def test_orphan_takes_the_nearest_group(spark):
+    """Two groups within reach in x: the one with a member nearer in y gets the lone row; one out of reach gets none."""
+    rows = [(1, 1, 1, 10.0, 0.0, "up"), (1, 1, 2, 10.0, 2.0, "up"), (1, 3, 3, 10.5, 20.0, "up"), (1, 3, 4, 10.5, 22.0, "up"), (1, 5, 5, 11.0, 16.0, "up"), (1, 6, 6, 30.0, 16.0, "up")]
+    df = spark.createDataFrame(rows, "k long, seed_id long, id long, x double, y double, stem string")
+    got = {r.id: r.seed_id for r in G.orphan_merge(df, ["k"], "seed_id", "x", "y", "stem", "id", 2.0).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6}
+
+
+NOTES = "k long, unit_id long, x double, notes array<struct<pitch:string,dur:double,stem:string>>"
+
+
+def test_overlap_propagate_known(spark):
+    """A unit of two voices: its longer lower note sounds on in the unit that starts before it ends."""
+    rows = [
+        (1, 1, 284.0, [("3", 0.25, "down"), ("1'", 0.5, "up")]),
+        (1, 2, 370.0, [("2", 0.25, "down")]),
+        (1, 3, 450.0, [("5", 0.25, "down")]),
+        (2, 1, 0.0, [("3", 0.25, "down"), ("1'", 0.5, "up")]),
+        (2, 2, 90.0, [("2", 0.25, "up")]),  # has the voice already
+        (3, 1, 0.0, [("3", 0.5, "down"), ("1'", 0.25, "up")]),  # as many up as down: up is the minor voice and not longer
+        (3, 2, 90.0, [("2", 0.25, "down")]),
+    ]
+    got = {(k, u): [tuple(n) for n in notes] for k, u, _, _, notes in J.overlap_propagate(spark.createDataFrame(rows, NOTES), ["k"], 12.0).collect()}
+    want = {(r[0], r[1]): r[3] for r in rows}
+    want[1, 2] = [("2", 0.25, "down"), ("1'", 0.25, "up")]
+    assert got == want
 
 
 @pytest.mark.parametrize("seed", [6, 7])
-def test_overlap_propagate(spark, seed):
+def test_overlap_propagate_only_adds(spark, seed):
     rng = np.random.default_rng(seed)
     rows = []
     for k, i, x, *_ in random_rows(seed, size=25, span=25.0):
         n = int(rng.integers(1, 4))
         rows.append((k, i, x, [(str(rng.integers(1, 8)), float(rng.choice([0.25, 0.5, 1.0])), [None, "up", "down", "up"][rng.integers(0, 4)]) for _ in range(n)]))
-    df = spark.createDataFrame(rows, "k long, unit_id long, x double, notes array<struct<pitch:string,dur:double,stem:string>>")
-    dy = 0.5
-    out = lambda: J.overlap_propagate(df, ["k"], dy).select("k", "unit_id", F.to_json("notes").alias("n"))
-    got = both_ways(out)
-    import json
-
-    want = []
-    for k, g in by_group(rows).items():
-        units = [[r[1], r[2], list(r[3])] for r in g]
-        starts, t = [], 0.0
-        for u in units:
-            starts.append(t)
-            t += min(n[1] for n in u[2])
-        for i, u in enumerate(units):
-            stems = [n[2] for n in u[2]]
-            if len(u[2]) < 2 or "up" not in stems or "down" not in stems:
-                continue
-            minor = "up" if stems.count("up") <= stems.count("down") else "down"
-            for note in list(u[2]):
-                if note[2] != minor:
-                    continue
-                low = min(n[1] for n in u[2] if n[2] != minor)
-                if note[1] <= low:
-                    continue
-                end = starts[i] + min(note[1], low * 2)
-                for j in range(i + 1, len(units)):
-                    if starts[j] >= end:
-                        break
-                    near = [v for h, v in enumerate(units) if h != i and abs(v[1] - units[j][1]) < dy * 1.5]
-                    if any(minor in [n[2] for n in v[2]] or (None in [n[2] for n in v[2]] and len(v[2]) >= 2) for v in near):
-                        break
-                    if note[0] not in [n[0] for n in units[j][2]]:
-                        units[j][2].append((note[0], min(n[1] for n in units[j][2]), note[2]))
-        for uid, _, notes in units:
-            js = [{k_: v for k_, v in zip(("pitch", "dur", "stem"), n) if v is not None} for n in notes]
-            want.append((k, uid, js))
-    parsed = sorted([(k, u, json.loads(n)) for k, u, n in got], key=str)
-    assert parsed == sorted(want, key=str)
-    assert sum(len(w[2]) for w in want) > sum(len(r[3]) for r in rows)
+    df = spark.createDataFrame(rows, NOTES)
+    both_ways(lambda: J.overlap_propagate(df, ["k"], 0.5).select("k", "unit_id", F.to_json("notes").alias("n")))
+    before, added = {(r[0], r[1]): r for r in rows}, 0
+    for r in J.overlap_propagate(df, ["k"], 0.5).collect():
+        k, unit, x, _, old = r.k, r.unit_id, r.x, None, before[r.k, r.unit_id][3]
+        assert [tuple(n) for n in r.notes[: len(old)]] == old
+        for n in r.notes[len(old) :]:
+            added += 1
+            assert n.dur == min(o[1] for o in old)  # lasts as long as the unit
+            assert any(q[0] == k and (q[2], q[1]) < (x, unit) and any((m[0], m[2]) == (n.pitch, n.stem) for m in q[3]) for q in rows)
+        assert len({n.pitch for n in r.notes[len(old) :]} | {o[0] for o in old}) == len({o[0] for o in old}) + len(r.notes) - len(old)
+    assert added
 
 
 @pytest.mark.parametrize("seed", [8, 9])
-def test_class_replace(spark, seed):
+def test_class_replace_keeps_apart(spark, seed):
     rows = random_rows(seed, groups=8, size=30, span=40)
-    rng = np.random.default_rng(seed)
-    side = rng.integers(0, 2, len(rows))
+    side = np.random.default_rng(seed).integers(0, 2, len(rows))
     df = spark.createDataFrame([(*r, int(s)) for r, s in zip(rows, side)], "k long, id long, x double, y double, s double, side int")
     dy = 3.0
-    build = lambda: D.class_replace(df.filter("side = 0"), df.filter("side = 1"), ["k"], "x", "y", "s", "id", dy).select("k", "id")
-    got = sorted(map(tuple, build().collect()), key=str)
-
-    def dedupe(rs, r):
-        kept = []
-        for a in sorted(rs, key=lambda t: (-t[4], t[1])):
-            if all(abs(a[2] - b[2]) >= r or abs(a[3] - b[3]) >= r for b in kept):
-                kept.append(a)
-        return kept
-
-    want = []
-    marked = defaultdict(lambda: ([], []))
-    for r, s in zip(rows, side):
-        marked[r[0]][s].append(r)
-    for k, (reg, hol) in marked.items():
-        reg, extra = sorted(reg, key=lambda r: r[1]), []
-        for h in dedupe(hol, dy * 1.3):
-            for i, r in enumerate(reg):
-                if abs(h[2] - r[2]) < dy * 1.5 and abs(h[3] - r[3]) < dy * 1.5:
-                    if r[4] < 0.95:
-                        reg[i] = h
-                    break
-            else:
-                extra.append(h)
-        want += [(k, r[1]) for r in dedupe(reg + extra, dy)]
-    assert got == sorted(want, key=str)
+    build = lambda: D.class_replace(df.filter("side = 0"), df.filter("side = 1"), ["k"], "x", "y", "s", "id", dy).select("k", "id")
+    kept = {i for _, i in both_ways(build)}
+    close = lambda a, b, r: a[0] == b[0] and abs(a[2] - b[2]) < r and abs(a[3] - b[3]) < r
+    for a, s in zip(rows, side):
+        if a[1] in kept:
+            assert not any(close(a, b, dy) for b in rows if b[1] in kept and b is not a)
+        elif s == 0:  # a regular row goes for a better one near, or for a hollow one in its place
+            assert any(close(a, b, dy * 1.5) and (b[4] >= a[4] or side[b[1]] == 1) for b in rows if b is not a)
+
+
+def test_class_replace_known(spark):
+    one = [(1, 1, 0.0, 0.0, 0.96), (1, 2, 20.0, 0.0, 0.7), (1, 3, 40.0, 0.0, 0.7)]
+    two = [(1, 11, 1.0, 1.0, 0.99), (1, 12, 21.0, 0.0, 0.5), (1, 13, 60.0, 0.0, 0.5)]
+    mk = lambda r: spark.createDataFrame(r, "k long, id long, x double, y double, s double")
+    assert sorted(r.id for r in D.class_replace(mk(one), mk(two), ["k"], "x", "y", "s", "id", 3.0).collect()) == [1, 3, 12, 13]
 
 
 def measures(seed, n=60):
@@ -218,183 +183,87 @@ def measures(seed, n=60):
 SCHEMA = "k long, id long, x double, dur double, cap double, rb double, edge double, flag boolean"
 
 
-def gaps_of(g, last):
-    xs = [r[2] for r in g]
-    gaps = [b - a for a, b in zip(xs, xs[1:])]
-    edge = g[0][6]
-    return gaps + [edge - xs[-1] if edge is not None and edge > xs[-1] else ((gaps[-1] if gaps else 0) if last == "known" else 0)]
-
-
-def reduce_by_loops(g):
-    """The deficit, surplus and swap rules as sequential loops."""
-    n, cap, rb = len(g), g[0][4], g[0][5]
-    d = [r[3] for r in g]
-    xs = [r[2] for r in g]
-    if sum(d) + rb < cap - 0.1 and n >= 3:
-        left, gaps = cap - rb - sum(d), gaps_of(g, "known")
-        med = sorted(gaps)[n // 2]
-        for i in range(n):
-            if gaps[i] > med * 1.25 and left >= 0.4:
-                new = min(d[i] * 2, 4.0)
-                left -= new - d[i]
-                d[i] = new
-        if left >= 0.2:
-            for i in sorted([i for i in range(n) if d[i] <= 0.25], key=lambda i: -gaps[i]):
-                if left < 0.2:
-                    break
-                left -= min(d[i] * 2, 1.0) - d[i]
-                d[i] = min(d[i] * 2, 1.0)
-        if 0.4 <= left <= 0.6:
-            c = sorted([i for i in range(n) if d[i] == 0.5], key=lambda i: -gaps[i])
-            if c:
-                d[c[0]] = 1.0
-    after_deficit = list(d)
-    gaps, s = gaps_of(g, "zero"), sum(d) + rb - cap
-    pick = lambda v: [i for i in range(n) if d[i] == v]
-    if s >= 0.2 and n >= 3:
-        if s >= 0.45 and len(pick(0.25)) >= 2:
-            for i in sorted(pick(0.5), key=lambda i: gaps[i]):
-                if s < 0.2:
-                    break
-                d[i], s = 0.25, s - 0.25
-        for i in sorted(pick(1.0), key=lambda i: gaps[i]):
-            if s < 0.4:
-                break
-            d[i], s = 0.5, s - 0.5
-        small = lambda: 0.2 <= s <= 0.3
-        if small() and pick(1.0) and pick(0.25):
-            a, b = min(pick(1.0), key=lambda i: gaps[i]), max(pick(0.25), key=lambda i: gaps[i])
-            d[a], d[b], s = 0.5, 0.5, s - 0.25
-        if small() and len(pick(0.25)) == 1 and pick(0.5):
-            c = pick(0.25)[0]
-            nb = [i for i in (c - 1, c + 1) if 0 <= i < n and d[i] == 0.5]
-            if nb:
-                d[min(nb, key=lambda i: abs(xs[i] - xs[c]))], s = 0.25, s - 0.25
-        if small():
-            for i in pick(0.75):
-                if i + 1 < n and d[i + 1] == 0.5:
-                    d[i + 1], s = 0.25, s - 0.25
-                    break
-        if small() and pick(0.75) and len(pick(0.25)) >= 2 and pick(0.5):
-            d[min(pick(0.5), key=lambda i: gaps[i])], s = 0.25, s - 0.25
-        if small() and pick(0.75):
-            d[min(pick(0.75), key=lambda i: gaps[i])], s = 0.5, s - 0.25
-    after_surplus = list(d)
-    if abs(s) < 0.1 and n >= 3:
-        while True:
-            a = [i for i in pick(0.25) if not (i > 0 and abs(d[i - 1] - 0.75) < 0.01)]
-            b = pick(0.5)
-            if not a or not b:
-                break
-            i, j = max(a, key=lambda i: gaps[i]), min(b, key=lambda i: gaps[i])
-            if gaps[i] <= gaps[j] * 1.2:
-                break
-            d[i], d[j] = 0.5, 0.25
-    return after_deficit, after_surplus, s, d
-
-
 @pytest.mark.parametrize("seed", [11, 12, 13])
-def test_budget_rules(spark, seed):
+def test_budget_rules_come_closer(spark, seed):
     rows = measures(seed, 120)
     df = spark.createDataFrame(rows, SCHEMA)
     a = R.deficit_alloc(df, ["k"], "x", "id", "dur", "cap", "rb", "edge")
     b = R.surplus_reduce(a, ["k"], "x", "id", "dur", "cap", "rb", "edge")
     c = R.swap_fixpoint(b, ["k"], "x", "id", "dur", "surplus", "edge")
-    want = ([], [], [])
-    for k, g in by_group(rows).items():
-        one, two, _, three = reduce_by_loops(g)
-        for i, out in enumerate((one, two, three)):
-            want[i].extend((k, r[1], v) for r, v in zip(g, out))
-    for df_, w in zip((a, b, c), want):
-        assert sorted(map(tuple, df_.select("k", "id", "dur").collect())) == sorted(w)
+    steps = [{(r[0], r[1]): r[3] for r in rows}] + [{(r.k, r.id): r.dur for r in d.select("k", "id", "dur").collect()} for d in (a, b, c)]
+    changed = [0, 0, 0]
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))
+        cap, rb = own[0][4], own[0][5]
+        d0, d1, d2, d3 = ([s[k, r[1]] for r in own] for s in steps)
+        miss = lambda d: sum(d) + rb - cap
+        for i, (x, y) in enumerate(((d0, d1), (d1, d2), (d2, d3))):
+            changed[i] += x != y
+            assert len(own) >= 3 or x == y  # short measures stay
+            assert abs(miss(y)) <= abs(miss(x)) + 1e-9
+        assert all(y >= x for x, y in zip(d0, d1)) and (d0 == d1 or miss(d0) < -0.1)  # lengthens what lacks
+        assert d1 == d2 or miss(d1) >= 0.2  # shortens what is over
+        assert sorted(d2) == sorted(d3)  # swaps
+    assert all(changed)
+
+
+def test_swap_leaves_no_swap(spark):
+    """Quarters in wide gaps and halves in narrow ones change places until that no longer helps."""
+    xs, dur = [0.0, 4.0, 6.0, 20.0, 23.0, 40.0], [0.5, 0.5, 0.25, 0.5, 0.25, 0.25]
+    rows = [(1, i, x, d, 40.5, 0.0) for i, (x, d) in enumerate(zip(xs, dur))]
+    df = spark.createDataFrame(rows, "k long, id long, x double, dur double, edge double, surplus double")
+    got = {r.id: r.dur for r in R.swap_fixpoint(df, ["k"], "x", "id", "dur", "surplus", "edge").collect()}
+    gap = [b - a for a, b in zip(xs, xs[1:] + [40.5])]
+    assert sorted(got.values()) == sorted(dur) and got != dict(enumerate(dur))
+    wide = [gap[i] for i in got if got[i] == 0.25 and got.get(i - 1) != 0.75]
+    assert max(wide) <= 1.2 * min(gap[i] for i in got if got[i] == 0.5)
 
 
 @pytest.mark.parametrize("seed", [14, 15])
-def test_rest_adjust(spark, seed):
+def test_rest_adjust_comes_closer(spark, seed):
     rows = measures(seed, 150)
-    df = spark.createDataFrame(rows, SCHEMA)
-    out = R.rest_adjust(df, ["k"], "x", "id", F.col("flag"), "dur", "cap", "edge", 2.0)
-    got = sorted([(r["k"], r["x"], r["duration"], r["id"] is None) for r in out.collect()])
-    want, inserted = [], 0
-    for k, g in by_group(rows).items():
-        cap, edge = g[0][4], g[0][6]
-        events = [[r[2], r[3], r[7], False] for r in g]
-        rests = [e for e in events if e[2]]
-        rem = cap - sum(e[1] for e in events if not e[2])
-        if not rests or rem <= 0:
+    out = R.rest_adjust(spark.createDataFrame(rows, SCHEMA), ["k"], "x", "id", F.col("flag"), "dur", "cap", "edge", 2.0)
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.k].append(r)
+    inserted = 0
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        rests, room = [r for r in own if r[7]], own[0][4] - sum(r[3] for r in own if not r[7])
+        if not rests or room <= 0:
+            assert k not in got
             continue
-        gap = rem - sum(e[1] for e in rests)
-        before = [e[0] for e in events if not e[2] and e[0] < rests[0][0]]
-        if any(abs(gap - s) < 0.01 for s in STEPS) and before and rests[0][0] - before[-1] > 5.0:
-            events.append([float((before[-1] + rests[0][0]) // 2), snap(gap), True, True])
+        new = [r for r in got[k] if r.id is None]
+        assert {r.id for r in got[k]} - {None} == {r[1] for r in rests} and len(new) <= 1
+        if new:  # what was missing is a length a rest can have, between the last note and the first rest
             inserted += 1
-            events.sort(key=lambda e: e[0])
-            rests = [e for e in events if e[2]]
-        found = [e[1] for e in rests]
-        gap = rem - sum(found)
-        best = list(found)
-        if 0 < gap <= 3.5:
-            spans = []
-            for e in rests:
-                nxt = next((o[0] for o in events if o[0] > e[0] + 1), edge)
-                spans.append(nxt - e[0] if nxt else 0)
-            trial, left = list(found), gap
-            for i in sorted(range(len(rests)), key=lambda i: (found[i], -spans[i])):
-                if left <= 0.01:
-                    break
-                fit = [s for s in STEPS if trial[i] < s <= trial[i] + left + 0.01]
-                if fit:
-                    trial[i] = max(fit)
-                    left = rem - sum(trial)
-            if abs(sum(trial) - rem) < abs(sum(found) - rem):
-                best = trial
-        per = snap(rem / len(rests))
-        cur = list(found)
-        if abs(per * len(rests) - rem) < abs(sum(best) - rem):
-            cur = [per] * len(rests)
-        elif abs(sum(best) - rem) < abs(sum(found) - rem):
-            cur = sorted(best)
-        if len(rests) > 1 and abs(sum(cur) - rem) < 0.01:
-            cur.sort()
-        want += [(k, e[0], v, e[3]) for e, v in zip(rests, cur)]
-    assert inserted and got == sorted(want)
-
-
-@pytest.mark.parametrize("seed", [16, 17])
-def test_choose_interpretation(spark, seed):
-    rng = np.random.default_rng(seed)
-    rows = [(*r[:3], [r[3]] if r[7] else [r[3], 0.5, 0.5], r[4], r[5]) for r in measures(seed, 80)]
-    df = spark.createDataFrame(rows, "k long, id long, x double, idurs array<double>, cap double, rb double")
-    marks = [(int(k), 1000 + i, float(rng.integers(0, 100)), int(rng.choice([3, 6]))) for i, k in enumerate(rng.choice(80, 60))]
-    md = spark.createDataFrame(marks, "k long, mid long, mx double, n int")
+            assert any(abs(room - sum(r[3] for r in rests) - s) < 0.01 for s in STEPS)
+            assert max(r[2] for r in own if not r[7] and r[2] < rests[0][2]) < new[0].x < min(r[2] for r in rests)
+        total = sum(r.duration for r in got[k])
+        assert abs(total - room) <= abs(sum(r[3] for r in rests) - room) + 1e-9
+        assert all(any(abs(r.duration - s) < 1e-9 for s in (*STEPS, *(q[3] for q in rests))) for r in got[k])
+    assert inserted
+
+
+def chosen(spark, notes, marks, cap, rb=0.0):
+    df = spark.createDataFrame([(1, i, x, d, cap, rb) for i, (x, d) in enumerate(notes)], "k long, id long, x double, idurs array<double>, cap double, rb double")
+    md = spark.createDataFrame([(1, 100 + i, x, n) for i, (x, n) in enumerate(marks)], "k long, mid long, mx double, n int")
     out = R.choose_interpretation(df, md, ["k"], "x", "id", "idurs", "rb", "cap", "mx", "n", "mid")
-    got = sorted((r["k"], r["id"], round(r["duration"], 9), r["source"]) for r in out.collect())
-    want = []
-    groups = by_group(rows)
-    for k in sorted({m[0] for m in marks}):
-        g = groups[k]
-        cap, rb = g[0][4], g[0][5]
-        tries = []
-        for pool in ([r for r in g if len(r[3]) == 1], g):
-            ids = set()
-            for _, _, mx, n in [m for m in marks if m[0] == k]:
-                if len(pool) <= n:
-                    ids |= {r[1] for r in pool}
-                    continue
-                at = min(range(len(pool)), key=lambda i: abs(pool[i][2] - mx))
-                starts = range(max(0, at - n + 1), min(at + 1, len(pool) - n + 1))
-                s = min(starts, key=lambda s: abs(sum(r[2] for r in pool[s : s + n]) / n - mx))
-                ids |= {r[1] for r in pool[s : s + n]}
-            if not ids:
-                continue
-            inside = [r for r in g if r[1] in ids]
-            base = Counter(v for r in inside for v in r[3]).most_common(1)[0][0]
-            rest = len(g) - len(inside)
-            while base * 2 / 3 * len(inside) + rest * 0.25 + rb > cap + 0.1 and base > 0.125:
-                base *= 0.5
-            td = base * 2 / 3
-            ld = snap(max(0.25, cap - td * len(inside) - rb) / rest) if rest else 0
-            tries.append((abs(td * len(inside) + ld * rest + rb - cap), ids, td, ld))
-        _, ids, td, ld = min(tries, key=lambda t: t[0])
-        want += [(k, r[1], round(td if r[1] in ids else ld, 9), "tuplet" if r[1] in ids else "tuplet_leftover") for r in g]
-    assert got == sorted(want)
+    return [(round(r.duration, 9), r.source) for r in sorted(out.collect(), key=lambda r: r.id)]
+
+
+def test_choose_interpretation_known(spark):
+    third, sixth = round(1 / 3, 9), round(1 / 6, 9)
+    # a triplet of eighths fills a beat; the fourth note takes what is left
+    assert chosen(spark, [(1.0, [0.5]), (2.0, [0.5]), (3.0, [0.5]), (9.0, [0.5])], [(2.0, 3)], 2.0) == [(third, "tuplet")] * 3 + [(1.0, "tuplet_leftover")]
+    # halved until it fits
+    assert chosen(spark, [(1.0, [1.0]), (2.0, [1.0]), (3.0, [1.0])], [(2.0, 3)], 0.5) == [(sixth, "tuplet")] * 3
+    # however long the base is: 64 beats take eight halvings to fit into one
+    assert chosen(spark, [(1.0, [64.0]), (2.0, [64.0]), (3.0, [64.0])], [(2.0, 3)], 1.0) == [(third, "tuplet")] * 3
+    # a chord is left out where single notes alone fill the measure better
+    assert chosen(spark, [(1.0, [0.5]), (2.0, [0.5]), (3.0, [0.5]), (4.0, [0.5, 0.5])], [(3.0, 3)], 2.0)[3] == (1.0, "tuplet_leftover")
+    # covered notes without a duration of their own count from a quarter of a beat
+    assert chosen(spark, [(1.0, []), (2.0, []), (3.0, [])], [(2.0, 3)], 2.0) == [(sixth, "tuplet")] * 3
+    # a marker of many notes
+    many = [(float(i), [0.5]) for i in range(40)]
+    assert chosen(spark, many, [(10.0, 30)], 8.0)[:2] == [(round(1 / 6, 9), "tuplet")] * 2
