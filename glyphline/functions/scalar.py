@@ -142,9 +142,21 @@ def meter_beats(num, den) -> Column:
     return _c(num) * (F.lit(4.0) / _c(den))
 
 
+# All characters of white space, the wide blank of Chinese text included
+WHITE = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = "[" + WHITE + "]+"
+# digits other than ASCII that headings are written with
+WIDE_DIGITS = "".join(map(chr, range(0xFF10, 0xFF1A)))
+
+
 def strip(text) -> Column:
-    """Without white space (not just blanks) at either end."""
-    return F.btrim(_c(text), F.lit(" \t\n\r\f\v"))
+    """Without white space (of any kind) at either end."""
+    return F.btrim(_c(text), F.lit(WHITE))
+
+
+def whole_number(digits) -> Column:
+    """The number a string of ASCII or full-width digits spells, null if it spells none."""
+    return F.translate(_c(digits), WIDE_DIGITS, "0123456789").try_cast("int")
 
 
 def split_measures(text) -> Column:
@@ -162,11 +174,11 @@ def split_event(event) -> Column:
     e = _c(event)
     close = F.instr(e, "]")
     after = F.substring(e, close + 1, F.length(e))
-    plain = F.when(F.contains(e, F.lit("/")), F.regexp_extract(e, r"/\d+$", 0)).otherwise("")
+    plain = F.when(F.contains(e, F.lit("/")), F.regexp_extract(e, r"(?U)/\d+$", 0)).otherwise("")
     dur = F.when(close > 0, F.when(F.startswith(after, F.lit("/")), after).otherwise("")).otherwise(plain)
     body = F.when(close > 0, F.substring(e, F.lit(1), close)).otherwise(F.substring(e, F.lit(1), F.length(e) - F.length(plain)))
     body = strip(F.btrim(body, F.lit("[]")))
-    notes = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
+    notes = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES))
     return F.struct(notes.alias("notes"), dur.alias("duration"))
 
 

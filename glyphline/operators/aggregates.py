@@ -10,7 +10,6 @@ from ..core.skew import find_split, probe_once
 from ..functions import scalar as N
 
 LOW_CONFIDENCE = 0.75
-PART_ROWS = 10_000
 
 
 def _c(c) -> Column:
@@ -87,30 +86,28 @@ def weakest_member(df, keys, conf, spread=0.15) -> DataFrame:
     return df.groupBy(*keys).agg(lo.alias("conf"), ((F.count(conf) >= 2) & (hi - lo > spread)).alias("spread_flag"))
 
 
-def ordered_concat(df, keys, order, text, sep=" ", part_rows: int = PART_ROWS, name="text") -> DataFrame:
-    """Texts joined in order, in parts of at most ``part_rows`` rows.
+def ordered_lines(df, keys, order, text, name="text") -> DataFrame:
+    """Texts of a group as rows (keys, position, text): an ordered set of lines for groups of any size."""
+    return S.scan(df, keys, order, position=S.row_number()).select(*keys, "position", _c(text).alias(name))
 
-    Groups of ordinary size give one part (0); a larger group gives several, which a
-    reader or writer appends in order.
-    """
-    r = S.scan(df, keys, order, __r=S.row_number())
-    r = r.withColumn("part", F.floor((F.col("__r") - 1) / part_rows))
-    items = F.array_sort(F.collect_list(F.struct("__r", _c(text).alias("t"))))
-    return r.groupBy(*keys, "part").agg(F.array_join(F.transform(items, lambda i: i["t"]), sep).alias(name))
-
-
-def chord_text(df, keys, order, text, duration, part_rows: int = PART_ROWS, name="text") -> DataFrame:
-    """A single note as it is, several in brackets, then the duration suffix. Like
-    ``ordered_concat`` it gives one part (0) unless a chord is larger than any real one."""
-    r = S.scan(df, keys, order, __r=S.row_number(), __n=S.total("count", F.lit(1)))
-    r = r.withColumn("part", F.floor((F.col("__r") - 1) / part_rows))
-    items = F.array_sort(F.collect_list(F.struct("__r", _c(text).alias("t"))))
-    g = r.groupBy(*keys, "part").agg(F.array_join(F.transform(items, lambda i: i["t"]), " ").alias("__t"), F.max("__r").alias("__to"),
-                                     F.first("__n").alias("__n"), F.first(_c(duration)).alias("__d"))
+
+def _in_order(order, text) -> Column:
+    """Array of a group's texts in order."""
+    items = F.sort_array(F.collect_list(F.struct(*[_c(o).alias(f"o{i}") for i, o in enumerate(order)], _c(text).alias("t"))))
+    return F.transform(items, lambda i: i["t"])
+
+
+def ordered_concat(df, keys, order, text, sep=" ", name="text") -> DataFrame:
+    """Texts joined in order, one row per group, for groups that their key keeps small (a chord, a
+    measure, a user's path). Groups without such a bound are rows: ``ordered_lines``."""
+    return df.groupBy(*keys).agg(F.array_join(_in_order(order, text), sep).alias(name))
+
+
+def chord_text(df, keys, order, text, duration, name="text") -> DataFrame:
+    """A single note as it is, several in brackets, then the duration suffix."""
+    g = df.groupBy(*keys).agg(F.array_join(_in_order(order, text), " ").alias("__t"), F.count(F.lit(1)).alias("__n"), F.first(_c(duration)).alias("__d"))
     many = F.col("__n") > 1
-    head = F.when(many & (F.col("part") == 0), "[").otherwise("")
-    tail = F.when(F.col("__to") == F.col("__n"), F.concat(F.when(many, "]").otherwise(""), N.duration_suffix("__d"))).otherwise("")
-    return g.select(*keys, "part", F.concat(head, F.col("__t"), tail).alias(name))
+    return g.select(*keys, F.concat(F.when(many, "[").otherwise(""), "__t", F.when(many, "]").otherwise(""), N.duration_suffix("__d")).alias(name))
 
 
 def count_by_type(df, keys, typ, values: list[str]) -> DataFrame:

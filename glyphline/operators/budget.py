@@ -398,24 +398,17 @@ def rest_adjust(df, keys, x, row_id, is_rest: Column, dur, capacity, edge, dy) -
     gap = F.col("rem") - F.col("rb")
     put = _yes((F.abs(gap - N.snap(gap)) < 0.01) & (F.col("nn") > 0) & (F.col("fx") - F.col("px") > dy * 2.5))
     d = d.withColumn("extra", F.when(put, N.snap(gap)))
-    # every event stops the span of a rest; every rest looks for the first stop past x + 1
-    row = lambda side, at, rx, rid, du: F.struct(F.lit(side).alias("side"), at.alias("at"), rx.alias("rx"), rid.alias("id"), du.alias("du"))
-    here = F.col("x")
+    # the rests and the inserted one
+    rest = lambda rx, rid, du: F.struct(rx.alias("rx"), rid.alias("id"), du.alias("du"))
     mid = F.floor((F.col("px") + F.col("fx")) / 2).cast("double")
-    minus = F.lit(-1).cast("long")
     adds = F.col("extra").isNotNull() & (F.struct("x", "rid") == F.col("one"))
-    rows = F.array_compact(F.array(
-        row(0, here, here, F.col("rid"), F.col("d")), F.when(r, row(1, here + 1, here, F.col("rid"), F.col("d"))),
-        F.when(adds, row(0, mid, mid, minus, F.col("extra"))), F.when(adds, row(1, mid + 1, mid, minus, F.col("extra")))))
-    d = d.select(*keys, "edge", "rem", (F.col("n") + F.col("extra").isNotNull().cast("long")).alias("n"),
-                 (F.col("rb") + F.coalesce("extra", F.lit(0.0))).alias("total"), F.explode(rows).alias("e")).select(
-        *keys, "edge", "rem", "n", "total", "e.*")
-    d = S.scan(d, keys, ["at", "side", "id"], nx=S.next_value(F.when(F.col("side") == 0, F.col("at")), inclusive=False)).filter("side = 1")
+    rows = F.array_compact(F.array(F.when(r, rest(F.col("x"), F.col("rid"), F.col("d"))), F.when(adds, rest(mid, F.lit(-1).cast("long"), F.col("extra")))))
+    d = d.select(*keys, "rem", (F.col("n") + F.col("extra").isNotNull().cast("long")).alias("n"),
+                 (F.col("rb") + F.coalesce("extra", F.lit(0.0))).alias("total"), F.explode(rows).alias("e")).select(*keys, "rem", "n", "total", "e.*")
+    # which of several rests of one length is lengthened does not matter: lengthened values are dealt out in order of size
     gap = F.col("rem") - F.col("total")
-    d = d.withColumns({"neg": -F.coalesce(F.coalesce("nx", "edge") - F.col("rx"), F.lit(0.0)),
-                       "gap": F.when((gap > 0) & (gap <= 3.5), gap).otherwise(0.0)})
-    lane = ["du", "gap", "id", "rx", "rem", "total", "n"]
-    d = fold(d, keys, ["du", "neg", "rx", "id"], lane, _RestUpgrade(),
+    d = d.withColumn("gap", F.when((gap > 0) & (gap <= 3.5), gap).otherwise(0.0))
+    d = fold(d, keys, ["du", "rx", "id"], ["du", "gap", "id", "rx", "rem", "total", "n"], _RestUpgrade(),
              "trial double, du double, id long, rx double, rem double, total double, n long")
     d = S.scan(d, keys, ["rx", "id"], tt=S.total("sum", "trial"), pos=S.row_number())
     miss = lambda c: F.abs(c - F.col("rem"))

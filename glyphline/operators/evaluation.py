@@ -22,11 +22,14 @@ def zip_measures(truth: DataFrame, found: DataFrame, sections: DataFrame | None
     rows = side(truth, F.col("text"), none, 1).unionByName(side(found, none, F.col("text"), 0))
     if sections is not None:
         rows = rows.unionByName(side(sections.withColumn("measure_no", F.lit(None)), none, none, 1))
-    # both sides meet in one shuffle on the section, and each is read once
-    d = S.scan(rows, SECTION, ["measure_no", "__want"], __t=S.total("max", "__want"), __f=S.total("count", "out"))
+    # both sides meet in one shuffle on the section, and each is read once; the output's measure
+    # comes just before the truth's of that number
+    d = S.scan(rows, SECTION, ["measure_no", "__want"], __t=S.total("max", "__want"), __f=S.total("count", "out"),
+               __next=S.lead(F.struct("measure_no", "gt")), __before=S.lag("measure_no"))
     d = d.filter((F.col("__t") == 1) & (F.col("__f") > 0) & F.col("measure_no").isNotNull())
-    z = d.groupBy(*SECTION, "measure_no").agg(F.max("gt").alias("gt"), F.max("out").alias("out"))
-    return z.withColumns({"gt": F.coalesce("gt", F.lit("")), "out": F.coalesce("out", F.lit(""))})
+    d = d.filter((F.col("__want") == 0) | ~F.col("__before").eqNullSafe(F.col("measure_no")))
+    gt = F.coalesce("gt", F.when(F.col("__next.measure_no") == F.col("measure_no"), F.col("__next.gt")), F.lit(""))
+    return d.select(*SECTION, "measure_no", gt.alias("gt"), F.coalesce("out", F.lit("")).alias("out"))
 
 
 def event_scores(z: DataFrame) -> DataFrame:
@@ -36,9 +39,10 @@ def event_scores(z: DataFrame) -> DataFrame:
     first row of a measure carries the measure's own comparison.
     """
     pairs = F.arrays_zip(N.tokenize_events("gt").alias("g"), N.tokenize_events("out").alias("o"))
-    d = z.select(*SECTION, "gt", "out", F.posexplode_outer(pairs).alias("i", "p"))
+    # texts are compared once and stay behind
+    d = z.select(*SECTION, (F.col("gt") == F.col("out")).alias("same"), F.posexplode_outer(pairs).alias("i", "p"))
     g, o = F.coalesce("p.g", F.lit("")), F.coalesce("p.o", F.lit(""))
-    d = d.select(*SECTION, (F.coalesce("i", F.lit(0)) == 0).alias("first"), (F.col("gt") == F.col("out")).alias("same"), F.col("i").isNotNull().alias("real"),
+    d = d.select(*SECTION, (F.coalesce("i", F.lit(0)) == 0).alias("first"), "same", F.col("i").isNotNull().alias("real"),
                  g.alias("g"), o.alias("o"))
     d = d.withColumns({"gs": N.split_event("g"), "os": N.split_event("o")})
     # only positions both sides have can be right, and those past an end compare to null

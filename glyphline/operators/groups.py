@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
 from ..core.fold import Rule, fold
-from ..core.skew import probe_once
+from ..core.skew import probe_once, same_keys
 
 INF = float("inf")
 
@@ -128,10 +128,7 @@ def orphan_merge(df, keys, seed_id, x, y, stem, row_id, dy, single_staff=False)
 
 
 def group_summary(df, keys, group, x, y, stem_x, stem, length, row_id) -> DataFrame:
-    """Mean x, stem of the longest-stemmed member, members from low to high.
-
-    A chord has few members; ``members`` lists them in parts so that no list is unbounded.
-    """
+    """Mean x, stem of the longest-stemmed member, members from low to high: one row per chord."""
     from .aggregates import ordered_concat
 
     has = _c(stem).isNotNull()
@@ -140,7 +137,9 @@ def group_summary(df, keys, group, x, y, stem_x, stem, length, row_id) -> DataFr
     a = a.select(*keys, group, "x", "n", F.col("b.stem").alias("stem"), F.coalesce(F.col("b.sx"), F.floor("mean_stem")).alias("stem_x"))
     d = df.withColumn("__low", -F.col(y))
     m = ordered_concat(d, [*keys, group], ["__low", row_id], F.col(row_id).cast("string"), " ", name="members")
-    return a.join(m, [*keys, group])
+    same = same_keys([F.col(k) for k in [*keys, group]], [F.col(f"__m_{k}") for k in [*keys, group]])
+    m = m.select(*[F.col(k).alias(f"__m_{k}") for k in [*keys, group]], "members")
+    return a.join(m, same).select(*a.columns, "members")
 
 
 def layout_class(df, keys, order, top, bottom, name="layout") -> DataFrame:

@@ -76,7 +76,7 @@ def weakest_member(spark, sf):
     return A.weakest_member(table(spark, sf, "lineitem"), ["l_orderkey"], "l_discount", 0.055)
 
 
-@query("ordered_concat", f"WITH {EV} SELECT k, 0::BIGINT AS part, string_agg(typ, '>' ORDER BY x, id) AS path FROM ev GROUP BY k")
+@query("ordered_concat", f"WITH {EV} SELECT k, string_agg(typ, '>' ORDER BY x, id) AS path FROM ev GROUP BY k")
 def ordered_concat(spark, sf):
     return A.ordered_concat(ev(spark, sf), ["k"], ["x", "id"], "typ", ">", name="path")
 

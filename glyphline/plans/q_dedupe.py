@@ -245,7 +245,7 @@ def orphan_merge(spark, sf):
  SELECT k, g, round(x, 4) AS x, n, b[1] AS stem, round(CAST(coalesce(b[2], ms) AS DOUBLE), 4) AS stem_x, members FROM a""")
 def group_summary(spark, sf):
     d = _stems(spark, sf).withColumn("g", F.floor(F.col("x") / 12))
-    out = G.group_summary(d, ["k"], "g", "x", "y", "sx", "stem", "length", "id").drop("part")
+    out = G.group_summary(d, ["k"], "g", "x", "y", "sx", "stem", "length", "id")
     return out.withColumns({"x": F.round("x", 4), "stem_x": F.round(F.col("stem_x").cast("double"), 4)})
 
 

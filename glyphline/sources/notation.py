@@ -18,9 +18,9 @@ TREBLE, BASS, LINE = "高音", "低音", "行"
 TITLE = "简谱翻译结果"
 RULE = "=" * 60
 HASHES = "#" * 60
-TRUTH_LINE = r"(?i)^line\s+(\d+)\s*:"
-HEADER = r"^---\s*第\s*(\d+)\s*行\s*---"
-OUTPUT_HEADER = r"第\s*(\d+)\s*行|System\s+(\d+)"
+TRUTH_LINE = r"(?iU)^line\s+(\d+)\s*:"
+HEADER = r"(?U)^---\s*第\s*(\d+)\s*行\s*---"
+OUTPUT_HEADER = r"(?U)第\s*(\d+)\s*行|System\s+(\d+)"
 BLANK = r"^\|?空([一二两三四])拍\|?$"
 
 
@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
+    return N.whole_number(F.regexp_extract(text, pattern, group))
 
 
 def _measures(d: DataFrame, clean=N.strip) -> DataFrame:
@@ -47,7 +47,7 @@ def truth_lines(lines: DataFrame) -> DataFrame:
     d = lines.withColumn("t", N.strip(F.col("line")))
     t = F.col("t")
     clef = F.when(F.contains(t, F.lit(TREBLE)), "treble").when(F.contains(t, F.lit(BASS)), "bass")
-    grand = F.coalesce(_number(t, r"line\s*=\s*(\d+)"), F.lit(1))
+    grand = F.coalesce(_number(t, r"(?U)line\s*=\s*(\d+)"), F.lit(1))
     numbered, chinese = _number(t, TRUTH_LINE), _number(t, HEADER)
     none = F.struct(F.lit(None).cast("string").alias("clef"), F.lit(None).cast("int").alias("section"))
     key = lambda c, v: F.struct(c.alias("clef"), v.alias("section"))

@@ -197,3 +197,18 @@ def test_staff_measures(spark):
     assert [e[1] for e in got[1]] == [1.0, 0.5, 0.5, 1.0] and got[1][2][2] == "gap_insert"
     assert got[2] == [("note_unit", 3.5, "whole")]
     assert sum(e[1] for e in got[3]) == 3.0 and got[3][-1][2] in ("fill_to_measure", "beam_rescue")
+
+
+def test_wide_space_and_digits(spark):
+    """Wide blanks around lines, bars and heads, and full-width digits in heads, read like their ASCII kin."""
+    from glyphline.functions import scalar as N
+    from glyphline.sources import notation as T
+
+    lines = ["---　第　２　行　---", "　|1 2|　3　|", "line　3　:", "|4　|", " --- 第4行 --- ", "|5|"]
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(lines)], "doc string, n int, line string")
+    got = sorted((r.line, r.measure_no, r.text) for r in T.read_truth(df).collect())
+    assert got == [(2, 1, "1 2"), (2, 2, "3"), (3, 1, "4"), (4, 1, "5")]
+    out = sorted((r.line, r.text) for r in T.read_output(df.filter("n < 2")).collect())
+    assert out == [(2, "1 2"), (2, "3")]
+    row = spark.range(1).select(N.split_event(F.lit("[1　3]/２")).alias("e"), N.strip(F.lit("　  a　b　")).alias("s")).first()
+    assert row.e.notes == ["1", "3"] and row.s == "a　b"
