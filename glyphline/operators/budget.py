@@ -234,12 +234,56 @@ def measure_budget(df, keys, x, tie, dur, capacity, rest_beats, edge, evidence:
     return provenance_tag(d, "__orig", dur).drop("__orig", "surplus")
 
 
+# Lengths without a dot, in quarters of a beat, and what a length no beam speaks for costs
+PLAIN_QUARTERS = (1, 2, 4, 8)
+UNSUPPORTED = 0.05
+
+
+def dotted_decompose(df, keys, order, raw, idurs, remaining, name="plain") -> DataFrame:
+    """Plain lengths of 0.25 to 2 beats that sum to ``remaining`` and lie closest to ``raw``: rows with ``name``.
+
+    A length costs its squared distance to the row's raw length, plus UNSUPPORTED where the row's own lengths ``idurs``
+    are known and lack it. The cost is a sum over rows, so the best choice is built from the last row to
+    the first with one best tail for every sum of quarters: rows times quarters steps. Of equal choices the one shorter in
+    front wins. Measures that no choice fits are left out; every row takes a quarter at least, which bounds the
+    measures that are collected.
+    """
+    quarters = F.round(_c(remaining) * 4).cast("int")
+    fits = F.abs(quarters / 4.0 - _c(remaining)) < 0.01
+    own = F.coalesce(_c(idurs), F.array().cast("array<double>"))
+    d = df.filter(fits).select(*keys, *order, _c(raw).cast("double").alias("__raw"), quarters.alias("__q"), own.alias("own"), F.struct(*order).alias("__id"))
+    sized = S.scan(d, keys, order, __many=S.total("count", F.lit(1))).filter(F.col("__many") <= F.col("__q"))
+    notes = F.sort_array(F.collect_list(F.struct("__id", "__raw", "own")))
+    m = sized.groupBy(*keys, "__q").agg(notes.alias("__notes"))
+    none = F.lit(None).cast("struct<cost:double,path:array<double>>")
+    start = F.transform(F.sequence(F.lit(0), F.col("__q")), lambda s: F.when(s == 0, F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<double>").alias("path"))).otherwise(none))
+
+    def choose(tails, note):
+        def best(s):
+            options = []
+            for v in PLAIN_QUARTERS:
+                beats = F.lit(v / 4.0)
+                tail = F.when(s >= v, F.get(tails, s - v)).otherwise(none)
+                cost = tail["cost"] + F.pow(beats - note["__raw"], 2) + F.when((F.size(note["own"]) > 0) & ~F.array_contains(note["own"], beats), UNSUPPORTED).otherwise(0.0)
+                options.append(F.when(tail.isNotNull(), F.struct(cost.alias("cost"), F.concat(F.array(beats), tail["path"]).alias("path"))))
+            return F.array_min(F.array(*options))
+
+        return F.transform(F.sequence(F.lit(0), F.size(tails) - 1), best)
+
+    path = F.element_at(F.aggregate(F.reverse("__notes"), start, choose), -1)["path"]
+    m = m.withColumn("__path", path).filter(F.col("__path").isNotNull())
+    rows = F.arrays_zip(F.transform("__notes", lambda n: n["__id"]).alias("id"), F.col("__path").alias("v"))
+    return m.select(*keys, F.explode(rows).alias("__r")).select(*keys, "__r.id.*", F.col("__r.v").alias(name))
+
+
 @probe_once
-def proportional_alloc(df, keys, x, tie, remaining, edge, hollow: Column | None = None, idur=None) -> DataFrame:
+def proportional_alloc(df, keys, x, tie, remaining, edge, hollow: Column | None = None, idur=None, idurs=None) -> DataFrame:
     """Share ``remaining`` by gap, snap, and put what is left over on the widest gap.
 
     Measures without gaps share equally, except that hollow notes keep their own duration;
-    a measure of hollow notes only keeps them all. Two notes or more.
+    a measure of hollow notes only keeps them all. Two notes or more. With ``idurs``, the array of a
+    row's own durations, a measure whose shares fit but are dotted somewhere is put into plain
+    lengths (``dotted_decompose``).
     """
     order = [x, tie]
     d = gap_with_boundary(df, keys, x, tie, edge, "near_median", "__gap")
@@ -257,7 +301,17 @@ def proportional_alloc(df, keys, x, tie, remaining, edge, hollow: Column | None
     keep = (F.col("__all") == 1) | (flat & (F.col("__h") == 1))
     dur = F.when(keep, own).when(flat, N.snap(_c(remaining) / F.col("__n"))).otherwise(shared)
     src = F.when(keep, "hollow").when(flat, "proportional_uniform").otherwise("proportional")
-    return d.withColumns({"duration": dur, "source": src}).select(*df.columns, "duration", "source")
+    if idurs is None:
+        return d.withColumns({"duration": dur, "source": src}).select(*df.columns, "duration", "source")
+    raw = F.try_divide(F.col("__gap"), F.col("__g")) * _c(remaining)
+    d = d.withColumns({"__dur": dur, "__src": src, "__raw": raw, "__rem": _c(remaining), "__own": _c(idurs)})
+    d = S.scan(d, keys, order, __sum=S.total("sum", "__dur"), __dots=S.total("max", (F.col("__dur").isin(0.75, 1.5, 3.0) & (F.col("__src") == "proportional")).cast("int")))
+    dotted = d.filter((F.col("__dots") == 1) & (F.abs(F.col("__sum") - F.col("__rem")) < 0.1))
+    plain = dotted_decompose(dotted, keys, order, "__raw", "__own", "__rem", "__plain")
+    plain = plain.select(*[F.col(c).alias(f"__p_{c}") for c in [*keys, *order]], "__plain")
+    d = d.join(plain, same_keys([F.col(c) for c in [*keys, *order]], [F.col(f"__p_{c}") for c in [*keys, *order]]), "left")
+    return d.withColumns({"duration": F.coalesce("__plain", "__dur"), "source": F.when(F.col("__plain").isNotNull(), "proportional_dotted_decomposed").otherwise(F.col("__src"))}).select(
+        *df.columns, "duration", "source")
 
 
 def nearest_n_window(pool, markers, keys, x, row_id, mx, n, marker_id) -> DataFrame:

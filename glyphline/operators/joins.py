@@ -107,10 +107,13 @@ def two_stage_assign(marks: DataFrame, notes: DataFrame, keys, dy: float, same_z
 
     ``marks``: keys, mark_id, mx, my, score. ``notes``: keys, note_id, nx, ny. A note is
     valid with -0.5 dy <= nx - mx <= 3.5 dy and |ny - my| <= 1.2 dy. Losers stay
-    unassigned. Notes at one place are one note (the first), so a cell holds no more
-    candidates than it has places.
+    unassigned. Notes at one place are one note (the first, with its further columns), so a
+    cell holds no more candidates than it has places. ``same_zone`` is a condition on further
+    columns of both sides, such as the staves they lie on.
     """
-    n = notes.groupBy(*keys, "nx", "ny").agg(F.min("note_id").alias("note_id"))
+    more = [c for c in notes.columns if c not in (*keys, "nx", "ny", "note_id")]
+    n = notes.groupBy(*keys, "nx", "ny").agg(F.min_by(F.struct("note_id", *more), "note_id").alias("__n"))
+    n = n.select(*keys, "nx", "ny", "__n.*")
     wide, tall = dy * 4.0, dy * 2.4
     n = n.withColumns({"__cx": F.floor((F.col("nx") + dy * 0.5) / wide), "__cy": F.floor(F.col("ny") / tall)})
     m = marks.withColumns({

@@ -91,7 +91,7 @@ def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_b
         led = R.measure_budget(notes.filter("leads AND n >= 2").drop("duration"), mk, "x", "event_id", "dur", "cap", "rb", "edge", F.col("evidence"))
         led = led.withColumnRenamed("dur", "duration").select(*mk, *out)
         free = notes.filter("NOT leads AND n >= 2").drop("duration", "source").withColumn("rem", F.greatest(F.lit(0.25), F.col("cap") - F.col("rb")))
-        free = R.proportional_alloc(free, mk, "x", "event_id", "rem", "edge", F.col("dur") >= 2.0, "dur").select(*mk, *out)
+        free = R.proportional_alloc(free, mk, "x", "event_id", "rem", "edge", F.col("dur") >= 2.0, "dur", F.array("dur")).select(*mk, *out)
         notes = pick.unionByName(one).unionByName(led).unionByName(free)
         notes = checkpoint(notes.join(caps, mk))
         # one put-in rest per pickup measure has no id; ids stay unique inside a measure
@@ -118,9 +118,26 @@ def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_b
             f = R.gap_fill(m, mk, "beats", "gap", "anchor", F.lit(1e9), "cap", F.lit(False), 1.0)
             events = events.unionByName(f.select(*mk, F.lit(None).cast("long").alias("event_id"), (F.col("x") + (slack - 1) * F.col("i")).alias("x"),
                                                  F.lit("rest").alias("type"), "duration", F.lit("fill_to_measure").alias("source"), F.lit(None).cast("double").alias("score")))
+            events = events.unionByName(empty_measures(events, bars, anchors, keys, default_beats, slack))
     return events
 
 
+def empty_measures(events, bars, anchors, keys, default_beats, slack) -> DataFrame:
+    """Rests for measures without an event between measures that have some; those at the end stay out.
+
+    ``bars``: keys, bx. A narrow one (under 3 line spacings a beat) stays empty.
+    """
+    mk = [*keys, "measure_idx"]
+    m = S.scan(bars, keys, ["bx"], measure_idx=S.row_number(), right=S.lead("bx"))
+    last = events.groupBy(*keys).agg(F.max("measure_idx").alias("last"))
+    m = m.join(last, keys).filter(F.col("measure_idx") < F.col("last")).join(events.select(*mk).distinct(), mk, "left_anti")
+    m = m.select(*mk, F.col("bx").alias("x"), (F.col("right") - F.col("bx")).alias("width"))
+    m = J.asof_backward(m, anchors, keys, "x", "x", "bpm", "measure_idx", default_beats, slack)
+    f = R.gap_fill(m, mk, F.lit(0.0), "bpm", "x", "width", "bpm", F.lit(True), 1.0)
+    return f.select(*mk, F.lit(None).cast("long").alias("event_id"), (F.col("x") + slack + (slack - 1) * F.col("i")).alias("x"), F.lit("rest").alias("type"),
+                    "duration", F.lit("fill_to_measure").alias("source"), F.lit(None).cast("double").alias("score"))
+
+
 def measures_to_text(members: DataFrame, rests: DataFrame, keysigs: DataFrame) -> DataFrame:
     """Measures as text.
 

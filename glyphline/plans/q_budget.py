@@ -145,6 +145,20 @@ def proportional_alloc(spark, sf):
     return R.proportional_alloc(d, ["k"], "x", "id", "rem", "edge", F.col("id") % 4 == 0, "dur").select("k", "id", "duration")
 
 
+# every choice of plain lengths, one note at a time, and the cheapest
+@query("dotted_decompose", f"""WITH RECURSIVE {ML}, e AS (SELECT k, id, x, dur, x / sum(x) OVER (PARTITION BY k) * cap AS raw, cap, count(*) OVER (PARTITION BY k) AS n FROM ml),
+ o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x, id) AS rn FROM e),
+ c AS (SELECT k, 0::BIGINT AS rn, 0.0::DOUBLE AS acc, 0.0::DOUBLE AS cost, []::DOUBLE[] AS path FROM o WHERE rn = 1 UNION ALL
+ SELECT c.k, o.rn, acc + v, cost + pow(v - raw, 2) + CASE WHEN v <> dur THEN 0.05 ELSE 0 END, list_append(path, v) FROM c JOIN o ON o.k = c.k AND o.rn = c.rn + 1, (SELECT unnest([0.25, 0.5, 1.0, 2.0]::DOUBLE[]) AS v)
+ WHERE acc + v + (n - o.rn) * 0.25 <= cap + 0.01),
+ b AS (SELECT * FROM c JOIN (SELECT k AS bk, n, cap FROM o WHERE rn = 1) ON bk = k AND c.rn = n AND abs(acc - cap) < 0.01 QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(cost, 9), path) = 1)
+ SELECT o.k AS k, o.id AS id, path[o.rn] AS plain FROM b JOIN o ON o.k = b.k""")
+def dotted_decompose(spark, sf):
+    d = notes(spark, sf)
+    d = S.scan(d, ["k"], ["x", "id"], sx=S.total("sum", "x")).withColumn("raw", F.col("x") / F.col("sx") * F.col("cap"))
+    return R.dotted_decompose(d, ["k"], ["x", "id"], "raw", F.array("dur"), "cap").select("k", "id", "plain")
+
+
 _NW = f"""{EV}, pl AS (SELECT k, id, x, row_number() OVER (PARTITION BY k ORDER BY x, id) AS pos, count(*) OVER (PARTITION BY k) AS sz FROM ev WHERE typ IN ('view', 'click')),
  mk AS (SELECT k, id AS mid, x AS mx, CASE WHEN id % 2 = 0 THEN 3 ELSE 6 END AS n FROM ev WHERE typ = 'signup'),
  an AS (SELECT mk.*, pos, sz FROM mk JOIN pl ON pl.k = mk.k QUALIFY row_number() OVER (PARTITION BY mid ORDER BY abs(x - mx), pos) = 1),

@@ -8,14 +8,17 @@ from ..operators import joins as J
 from .registry import EV, ev, query, table
 
 
-@query("nearest_assign", """WITH c AS (SELECT c_nationkey AS n, floor(avg(c_acctbal)) AS centre FROM customer GROUP BY 1),
- d AS (SELECT s_suppkey, n, centre, abs(s_acctbal - centre) AS dist FROM supplier, c),
+@query("nearest_assign", """WITH c AS (SELECT n_regionkey AS g, c_nationkey AS n, floor(avg(c_acctbal)) AS centre FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+ s AS (SELECT s_suppkey, s_acctbal, n_regionkey AS g FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+ d AS (SELECT s_suppkey, n, centre, abs(s_acctbal - centre) AS dist FROM s JOIN c ON c.g = s.g),
  r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY dist, n) AS rn FROM d)
  SELECT s_suppkey, n AS nation, round(dist, 4) AS dist FROM r WHERE rn = 1""")
 def nearest_assign(spark, sf):
-    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.floor(F.avg("c_acctbal")).alias("centre"))
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
-    out = J.nearest_assign(s, c, [], "s_acctbal", "centre", "nation", "s_suppkey")
+    region = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    c = table(spark, sf, "customer").join(region, F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.groupBy("region", F.col("c_nationkey").alias("nation")).agg(F.floor(F.avg("c_acctbal")).alias("centre"))
+    s = table(spark, sf, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey")).select("region", "s_suppkey", "s_acctbal")
+    out = J.nearest_assign(s, c, ["region"], "s_acctbal", "centre", "nation", "s_suppkey")
     return out.select("s_suppkey", "nation", F.round("dist", 4).alias("dist"))
 
 
@@ -72,6 +75,19 @@ def two_stage_assign(spark, sf):
     return J.two_stage_assign(m, n, ["k"], 20.0)
 
 
+@query("two_stage_zone", f"""WITH {EV}, c AS (SELECT m.k AS k, m.id AS mark_id, m.y AS score, n.id AS note_id,
+ sqrt((n.x - m.x) * (n.x - m.x) + abs(n.y - m.y) * abs(n.y - m.y)) AS d FROM ev m JOIN ev n ON m.k = n.k AND floor(m.y / 20) = floor(n.y / 20)
+ WHERE m.typ = 'error' AND n.typ = 'purchase' AND n.x - m.x BETWEEN -10.0 AND 70.0 AND abs(n.y - m.y) <= 24.0),
+ a AS (SELECT *, row_number() OVER (PARTITION BY mark_id ORDER BY d, note_id) AS rn FROM c),
+ b AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, mark_id) AS rw FROM a WHERE rn = 1)
+ SELECT k, note_id, mark_id, score FROM b WHERE rw = 1""")
+def two_stage_zone(spark, sf):
+    zone = F.floor(F.col("y") / 20)
+    m = ev(spark, sf, "error").select("k", F.col("id").alias("mark_id"), F.col("x").alias("mx"), F.col("y").alias("my"), F.col("y").alias("score"), zone.alias("mark_zone"))
+    n = ev(spark, sf, "purchase").select("k", F.col("id").alias("note_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), zone.alias("note_zone"))
+    return J.two_stage_assign(m, n, ["k"], 20.0, F.col("mark_zone") == F.col("note_zone"))
+
+
 @query("snap_best", f"""WITH {EV}, c AS (SELECT v.k AS k, v.id AS id, v.y AS y, p.x AS target, abs(p.x - v.x) AS d FROM ev v JOIN ev p ON p.k = v.k
  WHERE v.typ = 'click' AND p.typ = 'purchase'),
  a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, target) AS rn FROM c),

@@ -212,3 +212,24 @@ def test_wide_space_and_digits(spark):
     assert out == [(2, "1 2"), (2, "3")]
     row = spark.range(1).select(N.split_event(F.lit("[1　3]/２")).alias("e"), N.strip(F.lit("　  a　b　")).alias("s")).first()
     assert row.e.notes == ["1", "3"] and row.s == "a　b"
+
+
+def test_empty_measures_in_the_middle_are_filled(spark):
+    """Bars 20, 40, 60, 100 with notes in measures 0 and 2: the second gets rests, the empty last one stays out."""
+    units = spark.createDataFrame([(1, 1, 5.0, 2.0, 1.0, [0.0], True), (1, 2, 45.0, 2.0, 1.0, [0.0], True)],
+                                  "k long, unit_id long, x double, dur double, score double, ys array<double>, evidence boolean")
+    rests = spark.createDataFrame([], "k long, rest_id long, x double, duration double")
+    bars = spark.createDataFrame([(1, b) for b in (20.0, 40.0, 60.0, 100.0)], "k long, x double")
+    anchors = spark.createDataFrame([(1, 0.0, 2.0)], "k long, x double, bpm double")
+    rows = P.staff_measures(units, rests, bars, anchors, ["k"], F.lit(False)).collect()
+    got = sorted((r.measure_idx, r.x, r.type, r.duration, r.source) for r in rows)
+    assert [(r[0], r[2], r[3]) for r in got] == [(0, "note_unit", 2.0), (1, "rest", 1.0), (1, "rest", 1.0), (2, "note_unit", 2.0)]
+    assert all(20.0 < r[1] < 40.0 for r in got if r[0] == 1)
+
+
+def test_dotted_lengths_become_plain_ones(spark):
+    """Three beats shared evenly by four notes: 0.75 each is put as plain lengths their beams speak for."""
+    rows = [(1, i, 10.0 * i, 40.0, 3.0, [d]) for i, d in enumerate([1.0, 0.5, 1.0, 0.5])]
+    df = spark.createDataFrame(rows, "k long, id long, x double, edge double, rem double, own array<double>")
+    got = sorted((r.id, r.duration, r.source) for r in R.proportional_alloc(df, ["k"], "x", "id", "rem", "edge", idurs="own").collect())
+    assert [g[1] for g in got] == [1.0, 0.5, 1.0, 0.5] and {g[2] for g in got} == {"proportional_dotted_decomposed"}
