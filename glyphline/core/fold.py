@@ -36,6 +36,15 @@ class Rule:
     def finish(self, state) -> list[tuple]:
         return []
 
+    def parts(self, state) -> tuple[Any, Any]:
+        """(what only adds to all that follows, the state without it). A segment whose true start differs in the
+        first part alone is not folded again."""
+        return None, state
+
+    def after(self, added, end):
+        """The state after a segment that ended in ``end`` when started without ``added``."""
+        return end
+
 
 _NAN = float("nan")
 
@@ -110,7 +119,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule
         return laid.select(*lanes).mapInArrow(_runner(rule, len(keys), out_schema, {}, None, False), out_schema)
 
     tagged = checkpoint(tagged)
-    starts: dict = {}
+    starts: dict = {}  # without the parts that only add
+    true_starts: dict = {}
     ends: dict = {}
     todo = {(*k, s) for k, last in split.last.items() for s in range(last + 1)}
     state_schema = T.StructType(
@@ -134,13 +144,15 @@ def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule
             carried = rule.start
             for s in range(last + 1):
                 gid = (*k, s)
-                if starts.get(gid, rule.start) != carried:
-                    starts[gid] = carried
+                true_starts[gid] = carried
+                added, bare = rule.parts(carried)
+                if starts.get(gid, rule.start) != bare:
+                    starts[gid] = bare
                     if gid in ends:
                         todo.add(gid)
                 # an empty segment hands its start state on
-                carried = ends.get(gid, carried)
+                carried = rule.after(added, ends[gid]) if gid in ends else carried
     laid = tagged.repartition(*part).sortWithinPartitions(*part, *order)
     # a group's pending rows belong to its last segment that has any row
     final = {k: max([s for s in range(last + 1) if (*k, s) in ends], default=-1) for k, last in split.last.items()}
-    return laid.select(*lanes).mapInArrow(_runner(rule, len(keys), out_schema, starts, final, False), out_schema)
+    return laid.select(*lanes).mapInArrow(_runner(rule, len(keys), out_schema, true_starts, final, False), out_schema)

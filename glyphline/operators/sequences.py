@@ -286,6 +286,14 @@ class _Pack(Rule):
             used += self.sep + width
         return (line, used), [(rid, line)]
 
+    def parts(self, state):
+        # where a line breaks depends on the width used, not on the line's number
+        line, used = state
+        return (0, state) if used is None else (line, (0, used))
+
+    def after(self, added, end):
+        return added + end[0], end[1]
+
 
 def line_pack(df, keys, order, row_id, width, limit, sep) -> DataFrame:
     """Greedy line number of each part: a part that would overflow starts a new line."""

@@ -81,3 +81,20 @@ def test_budget_rule_on_split_groups(spark):
     plain = run()
     with use_limits(probe_bytes=0, min_rows=5, shares=10**6):
         assert run() == plain
+
+
+def test_line_numbers_do_not_travel_segment_by_segment(spark):
+    """One long group in 20 segments of some 30 lines: only the width used is folded again, and it is soon forgotten."""
+    from glyphline.operators import sequences as Q
+
+    parts = 20
+    df = spark.range(4000).select(F.lit(1).alias("k"), "id", (F.pmod(F.xxhash64("id"), F.lit(90)) / 10.0 + 1).alias("w"))
+    plain = sorted(map(tuple, Q.line_pack(df, ["k"], ["id"], "id", "w", 40.0, 0.5).collect()))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"pack-{parts}", "line packing")
+    with use_limits(probe_bytes=0, min_rows=10, shares=parts):
+        split = sorted(map(tuple, Q.line_pack(df, ["k"], ["id"], "id", "w", 40.0, 0.5).collect()))
+    jobs = len(tracker.getJobIdsForGroup(f"pack-{parts}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert split == plain and plain[-1][2] > 300
+    assert jobs <= 40, jobs
