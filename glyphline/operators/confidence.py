@@ -81,6 +81,36 @@ def flag_details(df, keys, pos, text, reasons="reasons") -> DataFrame:
     return df.filter("low").select(*keys, pos, _c(text).alias("text"), F.round("adjusted", 2).alias("conf"), why.alias("why"))
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    return F.round(value, digits).cast(f"decimal(18,{digits})").cast("string")
+
+
+def report_lines(df, staff: str, measure: str, pos: str, text, capacity, reasons="reasons") -> DataFrame:
+    """The report as lines (staff, measure, part, pos, text), in that order.
+
+    Per staff a head with its counts; per measure its events with ``[!]`` before the flagged ones, the reason
+    why its beats do not add up, and a line for each flagged event. ``df`` is what
+    ``adjusted_confidence`` gives; measures count from 0.
+    """
+    shown = F.concat(F.when(F.col("low"), "[!]").otherwise(""), _c(text))
+    items = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), shown.alias("t"))))
+    m = df.groupBy(staff, measure).agg(
+        F.array_join(F.transform(items, lambda i: i["t"]), " ").alias("t"), F.first("beats").alias("beats"), F.first("off").alias("off"), F.first(_c(capacity)).alias("cap"))
+    line = lambda part, t: F.struct(F.lit(part).alias("part"), t.alias("text"))
+    body = line(1, F.concat(F.lit("  M"), F.lpad((F.col(measure) + 1).cast("int").cast("string"), 2, "0"), F.lit(": |"), "t", F.lit("|")))
+    why = line(2, F.concat(F.lit("         measure: beat sum "), _fixed(F.col("beats"), 2), F.lit(" != "), F.col("cap").cast("double").cast("string")))
+    m = m.select(F.col(staff).alias("staff"), F.col(measure).cast("long").alias("measure"), F.explode(F.array_compact(F.array(body, F.when(F.col("off"), why)))).alias("l"))
+    m = m.select("staff", "measure", "l.part", F.lit(0).cast("long").alias("pos"), "l.text")
+    d = flag_details(df, [staff, measure], pos, text, reasons)
+    told = F.concat(F.lit("         pos "), F.col(pos).cast("string"), F.lit(' "'), "text", F.lit('" conf='), _fixed(F.col("conf"), 2), F.lit(": "), "why")
+    d = d.select(F.col(staff).alias("staff"), F.col(measure).cast("long").alias("measure"), F.lit(3).alias("part"), F.col(pos).cast("long").alias("pos"), told.alias("text"))
+    h = df.groupBy(F.col(staff).alias("staff")).agg(F.count(F.lit(1)).alias("n"), F.count_if("low").alias("low"))
+    head = F.concat(F.lit("--- "), F.col("staff").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" events, "), F.col("low").cast("string"),
+                    F.lit(" low-conf ("), _fixed(F.col("low") * 100.0 / F.col("n"), 1), F.lit("%) ---"))
+    h = h.select("staff", F.lit(-1).cast("long").alias("measure"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), head.alias("text"))
+    return h.unionByName(m).unionByName(d)
+
+
 def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
     """The summary and the flagged events as Parquet tables under ``path``."""
     summary.write.mode("overwrite").parquet(f"{path}/summary")

@@ -156,3 +156,17 @@ def measures_to_text(members: DataFrame, rests: DataFrame, keysigs: DataFrame) -
     u = u.select(*m, F.col("unit_x").cast("double").alias("x"), F.col("unit_id").alias("i"), F.col("text").alias("t"))
     r = rests.select(*m, F.col("x").cast("double").alias("x"), F.col("rest_id").alias("i"), N.rest_text("duration").alias("t"))
     return A.ordered_concat(u.unionByName(r), m, ["x", "i"], "t", " ")
+
+
+def measure_lines(measures: DataFrame, texts: DataFrame, skip_empty: bool = False) -> DataFrame:
+    """Lines of ``measures`` (doc, clef, line, measure_no, n): text between bars.
+
+    ``texts`` is what ``measures_to_text`` gives. A measure without events is ``0 0``; one that stands for ``n`` measures of
+    rest (null otherwise) ends in ``×n``. With ``skip_empty`` measures that read ``0 0`` are left out.
+    """
+    m = ["doc", "clef", "line", "measure_no"]
+    text = F.coalesce("text", F.lit("0 0"))
+    d = measures.join(texts.select(*m, "text"), m, "left").withColumn("text", F.concat(text, F.when(F.col("n").isNotNull(), F.concat(F.lit(" ×"), F.col("n").cast("string"))).otherwise("")))
+    if skip_empty:
+        d = d.filter(F.col("text") != "0 0")
+    return d.select(*m, F.concat(F.lit("|"), "text", F.lit("|")).alias("text"))

@@ -245,3 +245,13 @@ def flag_report(spark, sf):
 @query("flag_details", f"WITH {_ADJ} SELECT k, m, id, t AS text, round(adjusted, 2) AS conf, CASE WHEN why = '' THEN '(aggregate low)' ELSE why END AS why FROM adj WHERE adjusted < 0.75")
 def flag_details(spark, sf):
     return C.flag_details(_adjusted(spark, sf), ["k", "m"], "id", "t")
+
+
+@query("report_lines", f"""WITH {_ADJ}, d AS (SELECT *, adjusted < 0.75 AS low FROM adj),
+ f AS (SELECT k AS staff, m::BIGINT AS measure, string_agg(CASE WHEN low THEN '[!]' ELSE '' END || t, ' ' ORDER BY id) AS t, any_value(beats) AS beats, any_value(cap) AS cap FROM d GROUP BY k, m)
+ SELECT k AS staff, -1::BIGINT AS measure, 0 AS part, 0::BIGINT AS pos, '--- ' || k || ': ' || count(*) || ' events, ' || count(*) FILTER (low) || ' low-conf (' || round(count(*) FILTER (low) * 100.0::DOUBLE / count(*), 1)::DECIMAL(18, 1) || '%) ---' AS text FROM d GROUP BY k
+ UNION ALL SELECT staff, measure, 1, 0, '  M' || lpad((measure + 1)::VARCHAR, 2, '0') || ': |' || t || '|' FROM f
+ UNION ALL SELECT staff, measure, 2, 0, '         measure: beat sum ' || round(beats, 2)::DECIMAL(18, 2) || ' != ' || cap::DOUBLE FROM f WHERE abs(beats - cap) > 0.1
+ UNION ALL SELECT k, m, 3, id, '         pos ' || id || ' "' || t || '" conf=' || round(adjusted, 2)::DECIMAL(18, 2) || ': ' || CASE WHEN why = '' THEN '(aggregate low)' ELSE why END FROM d WHERE low""")
+def report_lines(spark, sf):
+    return C.report_lines(_adjusted(spark, sf), "k", "m", "id", "t", "bpm")

@@ -233,3 +233,22 @@ def test_dotted_lengths_become_plain_ones(spark):
     df = spark.createDataFrame(rows, "k long, id long, x double, edge double, rem double, own array<double>")
     got = sorted((r.id, r.duration, r.source) for r in R.proportional_alloc(df, ["k"], "x", "id", "rem", "edge", idurs="own").collect())
     assert [g[1] for g in got] == [1.0, 0.5, 1.0, 0.5] and {g[2] for g in got} == {"proportional_dotted_decomposed"}
+
+
+def test_measure_lines(spark):
+    m = spark.createDataFrame([("d", "solo", 1, i, n) for i, n in ((1, None), (2, None), (3, 8), (4, None))], "doc string, clef string, line int, measure_no int, n long")
+    t = spark.createDataFrame([("d", "solo", 1, 1, "1 2"), ("d", "solo", 1, 3, "0 0"), ("d", "solo", 1, 4, "0 0")], "doc string, clef string, line int, measure_no int, text string")
+    read = lambda d: [r.text for r in sorted(d.collect(), key=lambda r: r.measure_no)]
+    assert read(P.measure_lines(m, t)) == ["|1 2|", "|0 0|", "|0 0 ×8|", "|0 0|"]
+    assert read(P.measure_lines(m, t, skip_empty=True)) == ["|1 2|", "|0 0 ×8|"]
+
+
+def test_report(spark, tmp_path):
+    rows = [("treble", 0, 1, "1", 0.9, ["x"], 2.0, 2.0), ("treble", 0, 2, "2", 0.5, ["weak"], 2.0, 2.0), ("treble", 1, 1, "3/2", 0.8, [], 1.5, 2.0)]
+    d = spark.createDataFrame(rows, "s string, m int, pos int, t string, adjusted double, reasons array<string>, beats double, cap double")
+    d = d.withColumns({"off": F.abs(F.col("beats") - F.col("cap")) > 0.1, "low": F.col("adjusted") < 0.75})
+    lines = [r.text for r in sorted(C.report_lines(d, "s", "m", "pos", "t", "cap").collect(), key=lambda r: (r.staff, r.measure, r.part, r.pos))]
+    assert lines == ["--- treble: 3 events, 1 low-conf (33.3%) ---", "  M01: |1 [!]2|", '         pos 2 "2" conf=0.50: weak', "  M02: |3/2|", "         measure: beat sum 1.50 != 2.0"]
+    C.write_report(C.flag_summary(d, "s"), C.flag_details(d, ["s", "m"], "pos", "t"), str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r" / "details")).first().why == "weak"
+    assert {r.s: r.low for r in spark.read.parquet(str(tmp_path / "r" / "summary")).collect()} == {"treble": 1, None: 1}
