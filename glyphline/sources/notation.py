@@ -48,7 +48,9 @@ def truth_lines(lines: DataFrame) -> DataFrame:
     t = F.col("t")
     clef = F.when(F.contains(t, F.lit(TREBLE)), "treble").when(F.contains(t, F.lit(BASS)), "bass")
     grand = F.coalesce(_number(t, r"(?U)line\s*=\s*(\d+)"), F.lit(1))
-    numbered, chinese = _number(t, TRUTH_LINE), _number(t, HEADER)
+    # most lines are no heads: a look for the word is cheaper than the pattern
+    numbered = F.when(F.lower(F.substring(t, 1, 4)) == "line", _number(t, TRUTH_LINE))
+    chinese = F.when(F.contains(t, F.lit("第")), _number(t, HEADER))
     none = F.struct(F.lit(None).cast("string").alias("clef"), F.lit(None).cast("int").alias("section"))
     key = lambda c, v: F.struct(c.alias("clef"), v.alias("section"))
     head = (
@@ -83,7 +85,8 @@ def read_output(lines: DataFrame) -> DataFrame:
     ``=`` ends the sections, so the dump after it is ignored."""
     lines = lines.withColumn("t", N.strip(F.col("line")))
     t = F.col("t")
-    number = F.coalesce(_number(t, OUTPUT_HEADER), _number(t, OUTPUT_HEADER, 2))
+    may_be = F.contains(t, F.lit("第")) | F.contains(t, F.lit("System"))
+    number = F.when(may_be, F.coalesce(_number(t, OUTPUT_HEADER), _number(t, OUTPUT_HEADER, 2)))
     reset = F.startswith(t, F.lit("="))
     has_bar = F.contains(t, F.lit("|"))
     # labels in the order in which they are looked for
