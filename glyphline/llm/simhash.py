@@ -138,11 +138,11 @@ def _groups(batches):
         yield rest, np.array([0, len(rest[0])])
 
 
-def _solve_buckets(most: int, tile: int):
-    """Links within buckets, from rows (key, fp) sorted by key. Buckets over ``tile`` only report their size."""
+def _solve_buckets(most: int):
+    """Links within buckets, from rows (key, fp) sorted by key."""
 
     def run(batches):
-        for (key, fp), edges in _groups(batches):
+        for (_, fp), edges in _groups(batches):
             bits = fp.view(np.uint64)
             size = np.diff(edges)
             out_a, out_b = [], []
@@ -155,7 +155,7 @@ def _solve_buckets(most: int, tile: int):
                 near = i[np.bitwise_count(bits[i] ^ bits[i + step]) <= most]
                 out_a.append(fp[near])
                 out_b.append(fp[near + step])
-            for g in np.flatnonzero((size > 8) & (size <= tile)):
+            for g in np.flatnonzero(size > 8):
                 part = slice(edges[g], edges[g + 1])
                 i, j = _links(bits[part], None, most)
                 out_a.append(fp[part][i])
@@ -164,10 +164,7 @@ def _solve_buckets(most: int, tile: int):
             b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
             if len(a):
                 pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                n = pair.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(n, pa.int64())], ["a", "b", "large"])
-            for g in np.flatnonzero(size > max(tile, 8)):
-                yield pa.RecordBatch.from_arrays([pa.array([int(key[edges[g]])]), pa.array([int(size[g])]), pa.array([1])], ["a", "b", "large"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
     return run
 
@@ -202,17 +199,17 @@ def links(fps: DataFrame, most: int = 4, tile: int = TILE) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that connect whatever pairs at ``most`` bits connect.
 
     Every such pair meets in a bucket. A bucket's pairs are compared inside the task but only a spanning
-    set leaves it, so rows stay in proportion to the fingerprints. Buckets over ``tile`` are cut
-    into parts and every pair of parts is a task of its own.
+    set leaves it, so rows stay in proportion to the fingerprints. Buckets are counted first; those over ``tile``
+    never meet whole: they are cut into parts and every pair of parts is a task of its own.
     """
     if len(BLOCKS) - MATCH < most:
         raise ValueError(f"{len(BLOCKS)} blocks, {MATCH} of them equal, find at most {len(BLOCKS) - MATCH} differing bits")
     keyed = fps.select(F.explode(_bucket_keys(F.col("fp"))).alias("key"), "fp")
-    found = checkpoint(_spread(keyed, _solve_buckets(most, tile), "a bigint, b bigint, large bigint"))
-    pairs = found.filter(F.col("large").isNull()).select("a", "b")
-    large = found.filter(F.col("large").isNotNull()).select(F.col("a").alias("key"), F.ceil(F.col("b") / tile).alias("parts"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > tile)
+    large = checkpoint(sizes.select("key", F.ceil(F.col("size") / tile).alias("parts")))
     if large.isEmpty():
-        return pairs
+        return _spread(keyed, _solve_buckets(most), "a bigint, b bigint")
+    pairs = _spread(keyed.join(large, "key", "left_anti"), _solve_buckets(most), "a bigint, b bigint")
     hot = keyed.join(large, "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     tiles = hot.select("key", "fp", "part", other).select(

@@ -89,6 +89,21 @@ def test_dense_fingerprints(spark, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_no_task_gathers_a_bucket_above_the_tile(spark, monkeypatch):
+    """Small and large buckets; what meets by bucket key is a tile at most, and no link is lost."""
+    met, spread = [], S._spread
+
+    def counting(keys, solve, schema):
+        met.append((keys.columns[0], keys.groupBy(keys.columns[0]).count().agg({"count": "max"}).first()[0]))
+        return spread(keys, solve, schema)
+
+    monkeypatch.setattr(S, "_spread", counting)
+    fps = [(v << 20,) for v in range(200)] + [((0x5A5A << 40) + (1 << k),) for k in range(10)]
+    got = S.components(S.links(spark.createDataFrame(fps, "fp long"), tile=16)).collect()
+    assert [most for name, most in met if name == "key"] and all(most <= 16 for name, most in met if name == "key")
+    assert {r.node for r in got} == {f for (f,) in fps} and len({r.root for r in got}) == 2
+
+
 def test_long_path_is_one_component(spark):
     df = spark.createDataFrame([(i * 7 % 1000, (i + 1) * 7 % 1000) for i in range(400)] + [(5000, 5001), (9, 9)], "a long, b long")
     got = {r.node: r.root for r in S.components(df).collect()}
