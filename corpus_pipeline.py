@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, a mixed training set out. Each stage is one operator's work on all rows left to it."""
+"""The corpus pipeline: documents in, the manifest of a mixed training set out. Each stage is one operator's work on all rows left to it."""
 
 from __future__ import annotations
 
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    """All stages over ``documents``, each written as Parquet and read again by the next.
+
+    The result is a manifest to apply: every document left, once and with its whole text, also where ``taken`` is 0.
+    The training set has a copy for every entry of ``positions``, in their order; the last copy of a document has
+    what ``taken`` leaves for it, which may be less than the whole.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
