@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, langid, mixing, pii, quality, substring_dedup, url_filter
+from . import chat_format, langid, mixing, pii, quality, substring_dedup, url_filter, zone_clusters
 from .common import hex_sha256, table
 from .decontaminate import contamination, digest_of_items
 from .simhash import near_duplicates
@@ -80,3 +80,9 @@ def op6(spark, sf):
 @query("op2_url_filter")
 def op2(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"))
+
+
+@query("op11_zone_clusters", zone_clusters.SQL)
+def op11(spark, sf):
+    found = zone_clusters.cluster_vectors(table(spark, sf, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", zone_clusters.centroid_digest().alias("centroid_sha256"))
