@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, langid, mixing, pii, quality, substring_dedup, url_filter, zone_clusters
+from . import chat_format, collocations, langid, mixing, pii, quality, substring_dedup, url_filter, zone_clusters
 from .common import hex_sha256, table
 from .decontaminate import contamination, digest_of_items
+from .sentence_pieces import round_trip
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -86,3 +87,16 @@ def op2(spark, sf):
 def op11(spark, sf):
     found = zone_clusters.cluster_vectors(table(spark, sf, "embeddings"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", zone_clusters.centroid_digest().alias("centroid_sha256"))
+
+
+@query("op12_collocations", collocations.SQL)
+def op12(spark, sf):
+    found = collocations.best(collocations.collocations(table(spark, sf, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op13_sentence_pieces")
+def op13(spark, sf):
+    import public_tokenizers
+
+    return round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
