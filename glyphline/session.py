@@ -50,7 +50,23 @@ def checkpoint(df):
         sc.setCheckpointDir(folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables) -> None:
+    """Remove tables written by ``checkpoint``, or what is selected from them, that nothing will read again.
+
+    Only for tables superseded by later ones that have been written already: a lost task of a plan still to run
+    would look for them. What was not written by ``checkpoint`` is left alone.
+    """
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship_package(spark: SparkSession) -> None:
