@@ -16,6 +16,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNK_SURFACE = " ⁇ "
 
-TABLE_WORDS, TABLE_WORD_CHARS = 1 << 18, 64  # words whose codes are kept (and those of one chunk); longer ones are not
-LEARN_WORDS = 1 << 15
+TABLE_WORDS, TABLE_CODES = 1 << 18, 1 << 21  # of segments that stay known from chunk to chunk
+AT_ONCE_WORDS, AT_ONCE_CHARS = 1 << 15, 64
 _NEVER = (1 << 30) - 1
 CHUNK_CHARS = 1 << 20
 
@@ -174,7 +175,8 @@ class Model:
         # no merge goes from the end of a word into the next mark: a word and the marks before it are a segment
         self.segment = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if apart else None
         self.pairs = {p[i : i + 2] for p in self.number for i in range(len(p) - 1)}
-        self.table: dict[str, list[int]] = {}
+        self.table: dict[object, int] = {}  # segment to its row in `place` (start in `flat`, number of codes)
+        self.flat, self.place, self.used = np.zeros(0, np.int64), np.zeros((2, 0), np.int64), 0
         self._pairs = None
         self._decoding()
 
@@ -405,8 +407,8 @@ class Model:
             at[todo] = (at[todo] + 1) & (len(keys) - 1)
         return out, rank
 
-    def _merge_all(self, words: list[str]) -> list[list[int]]:
-        """Codes of many short words at once: in every round each word joins its best pair, the leftmost of equals."""
+    def _merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, how many each word has) of many short words: in every round each joins its best pair, the leftmost of equals."""
         number = self._pair_table()[0]
         point = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         each, where = np.unique(point, return_inverse=True)
@@ -459,22 +461,37 @@ class Model:
             inside = np.repeat(at[odd], size[odd]) + np.arange(len(raw)) - np.repeat(np.cumsum(size[odd]) - size[odd], size[odd])
             spread[inside] = byte[raw]
             code, word = spread, np.repeat(word, many)
-        flat, ends = code.tolist(), np.searchsorted(word, np.arange(len(words)), side="right").tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+        return code, np.bincount(word, minlength=len(words))
 
-    def _learn(self, segments: set[str]):
-        """Put the codes of short segments into the table, all at once."""
-        if len(self.table) > TABLE_WORDS:
+    def _learn(self, segments: set):
+        """Put the codes of segments into the table: short ones all at once, others one by one."""
+        if len(self.table) > TABLE_WORDS or self.used > TABLE_CODES:
             self.table.clear()
-        new = [s for s in segments if len(s) <= TABLE_WORD_CHARS and s not in self.table]
-        for a in range(0, len(new), LEARN_WORDS):
-            part = new[a : a + LEARN_WORDS]
-            self.table.update(zip(part, self._merge_all(part)))
+            self.used = 0
+            self.flat = self.flat[:TABLE_CODES]
+        new = [s for s in segments if s not in self.table]
+        at_once = [s for s in new if isinstance(s, str) and len(s) <= AT_ONCE_CHARS] if UNUSED not in self.types else []
+        for a in range(0, len(at_once), AT_ONCE_WORDS):
+            part = at_once[a : a + AT_ONCE_WORDS]
+            self._keep(part, *self._merge_all(part))
+        for s in new:
+            if s not in self.table:
+                code = self._segment_codes(s) if isinstance(s, str) else [self.number[s[0]] << 32 | len(s[0].encode())]
+                self._keep([s], np.array(code, np.int64), np.array([len(code)]))
+
+    def _keep(self, segments: list, codes: np.ndarray, sizes: np.ndarray):
+        need, rows = self.used + len(codes), len(self.table) + len(segments)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(need, 1 << 16), np.int64)])
+        if rows > self.place.shape[1]:
+            self.place = np.concatenate([self.place, np.zeros((2, max(rows, 1 << 12)), np.int64)], axis=1)
+        self.flat[self.used : need] = codes
+        own = slice(len(self.table), rows)
+        self.place[0, own], self.place[1, own] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.table.update(zip(segments, range(len(self.table), rows)))
+        self.used = need
 
     def _segment_codes(self, segment: str) -> list[int]:
-        known = self.table.get(segment)
-        if known is not None:
-            return known
         # a long segment falls apart where no piece has the two characters side by side
         codes: list[int] = []
         pairs, at = self.pairs, 0
@@ -490,23 +507,17 @@ class Model:
         return codes
 
     def _parts(self, normal: str) -> list:
-        """Segments in order; a fixed piece is its code."""
+        """Segments in order; a fixed piece is a tuple of its own."""
         cut = self.segment.findall if self.segment else lambda t: [t] if t else []
         if not self.fixed:
             return cut(normal)
         out, at = [], 0
         for m in self.fixed.finditer(normal):
             out += cut(normal[at : m.start()])
-            out.append(self.number[m.group()] << 32 | len(m.group().encode()))
+            out.append((m.group(),))
             at = m.end()
         return out + cut(normal[at:])
 
-    def _codes(self, parts: list) -> list[int]:
-        get, one = self.table.get, self._segment_codes
-        if self.fixed:
-            return [c for s in parts for c in ([s] if isinstance(s, int) else get(s) or one(s))]
-        return [c for s in parts for c in get(s) or one(s)]
-
     def encode_all(self, texts: list[str], bos: bool = True, eos: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, begins, ends) of every text: spans are bytes of the text in UTF-8, end exclusive.
 
@@ -514,26 +525,33 @@ class Model:
         """
         found = [self.normalise(t) for t in texts]
         parts = [self._parts(n) for n, _ in found]
-        if UNUSED not in self.types:
-            self._learn({s for p in parts for s in p if isinstance(s, str)} if self.fixed else set().union(*parts))
+        self._learn(set().union(*parts))
+        row = np.fromiter(map(self.table.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        begin_at, many = self.place[0, row], self.place[1, row]
+        last = np.cumsum(many)
+        code = self.flat[np.repeat(begin_at - (last - many), many) + np.arange(last[-1] if len(last) else 0)]
+        # where each text's pieces end
+        cut = np.concatenate(([0], last))[np.cumsum([len(p) for p in parts])].tolist()
+        ids, size = code >> 32, code & 0xFFFFFFFF
+        stop = np.cumsum(size)
+        start = stop - size
+        if self.fallback and len(ids):
+            start, stop = self._whole_characters(ids, start, stop)
         front, back = [self.bos] if bos else [], [self.eos] if eos else []
-        out = []
-        for text, (_, alignment), own in zip(texts, found, parts):
-            code = np.array(self._codes(own), np.int64)
-            ids, size = code >> 32, code & 0xFFFFFFFF
-            stop = np.cumsum(size)
-            start = stop - size
-            if self.fallback and len(ids):
-                start, stop = self._whole_characters(ids, start, stop)
-            elif len(ids):
-                # unknown pieces in a row are one
-                unk = ids == self.unk
-                head = np.flatnonzero(~np.concatenate(([False], unk[1:] & unk[:-1])))
-                last = np.append(head[1:], len(ids)) - 1
-                ids, start, stop = ids[head], start[head], stop[last]
-            begin, end = alignment.project(start), alignment.project(stop)
+        out, a = [], 0
+        for text, (_, alignment), z in zip(texts, found, cut):
+            own, b, e = ids[a:z], start[a:z], stop[a:z]
+            if len(own):
+                base = b[0]
+                if not self.fallback:
+                    # unknown pieces in a row are one
+                    unk = own == self.unk
+                    head = np.flatnonzero(~np.concatenate(([False], unk[1:] & unk[:-1])))
+                    own, b, e = own[head], b[head], e[np.append(head[1:], len(own)) - 1]
+                b, e = alignment.project(b - base), alignment.project(e - base)
             zeros, full = np.zeros(len(front), np.int64), np.full(len(back), len(text.encode()), np.int64)
-            out.append((np.concatenate([front, ids, back]).astype(np.int64), np.concatenate([zeros, begin, full]), np.concatenate([zeros, end, full])))
+            out.append((np.concatenate([front, own, back]).astype(np.int64), np.concatenate([zeros, b, full]), np.concatenate([zeros, e, full])))
+            a = z
         return out
 
     def encode(self, text: str, bos: bool = True, eos: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -683,7 +701,7 @@ def _decoded(file):
         model = _model(file)
         for b in batches:
             ids = b.column(b.schema.names.index("ids"))
-            texts = [model.decode(x.values.to_pylist()) if x.is_valid else None for x in ids]
+            texts = [model.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return run
