@@ -18,6 +18,8 @@ CROWDED = r"[#*$%&|<>!?^~=]"  # of these more than CROWD of all characters
 CROWD = 0.08
 STOP = r"[.!?…:;\"”»)'][\x20\x09\x0B-\x0D]*$"  # a short line without a stop at its end is a fragment
 SHORT = r"^[\x20\x09\x0B-\x0D]*(?:[^\x20\x09\x0B-\x0D]+[\x20\x09\x0B-\x0D]*){0,4}$"
+# the same lines, read without ever going back: a word is not split, so a line of any length takes one pass
+_SHORT_ONCE = r"^[\x20\x09\x0B-\x0D]*+(?:[^\x20\x09\x0B-\x0D]++[\x20\x09\x0B-\x0D]*+){0,4}+$"
 MAX_LOSS = 0.4
 
 
@@ -45,7 +47,7 @@ def repeated_words(ws: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line is boilerplate, navigation, crowded with marks, or a fragment without a stop. A blank line passes."""
     crowded = F.length(line) - F.length(F.regexp_replace(line, CROWDED, "")) > CROWD * F.length(line)
-    fragment = ~line.rlike(STOP) & line.rlike(SHORT) & line.rlike(r"[^\x20\x09-\x0D]")
+    fragment = ~line.rlike(STOP) & line.rlike(_SHORT_ONCE) & line.rlike(r"[^\x20\x09-\x0D]")
     return crowded | fragment | line.rlike(BOILERPLATE) | line.rlike(NAVIGATION)
 
 
@@ -68,8 +70,8 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", max_loss: f
     Base: under 50 words, or over half of the words in 3-word windows that repeat, fails. ``kept``
     also asks that the line rules leave enough of the text (``clean_lines``).
 
-    Null text: no words, fails. Null or repeated ids: rows of their own. An empty table gives an empty result. Further
-    columns are ignored.
+    Null text: no words, fails. Null or repeated ids and repeated rows: rows of their own. A text or line of any length is
+    read whole, in time that grows with it. An empty table gives an empty result. Further columns are ignored.
     """
     df = clean_lines(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", max_loss)
     t = text_of("text")

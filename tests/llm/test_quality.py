@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from glyphline.llm import quality as Q
 
@@ -43,5 +44,22 @@ def test_line_rules(spark):
     assert clean == {1: prose, 2: ""}
 
 
+def test_lines_of_one_long_word(spark):
+    """A word is never split, so such lines take time in proportion to their length."""
+    runs = ["字" * 200_000, "http://example.org/" + "a/" * 100_000, "x" * 1_000_000, " " * 300_000, "a " * 200_000, "|" * 200_000, "#" * 100_000]
+    texts = [f"{w} one two three four five" for w in runs] + [f"{w}. One" for w in runs] + [w * 2 for w in runs]
+    begun = time.time()
+    got = Q.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and time.time() - begun < 60
+    for r in got[: len(runs)]:
+        assert r.n_words == len(texts[r.doc_id].split())
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (1, None), (1, ""), (1, "x " * 60)]
+    got = Q.quality(spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, lost int, id string")).collect()
+    assert sorted((r.doc_id is None, r.n_words) for r in got) == [(False, 0), (False, 0), (False, 60), (True, 3), (True, 3)]
+
+
 def test_empty_table(spark):
     assert Q.quality(spark.createDataFrame([], "doc_id long, text string")).collect() == []
