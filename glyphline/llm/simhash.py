@@ -274,11 +274,10 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
 
     Rows count as different if id or text differ, also where the id is null; of repeated rows one stays.
     """
-    key = free_name(docs, "key")
+    key, kept, turn = free_name(docs, "key"), free_name(docs, "kept_key"), free_name(docs, "turn")
     rows = docs.withColumn(key, F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.xxhash64(text).alias("hash")))
     found = near_duplicates(rows, key, text, **how)
-    keep = checkpoint(found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct())
-    stay = rows.join(keep, F.col(key) == F.col("kept_key"), "left_semi")
-    turn = free_name(rows, "turn")
+    keep = checkpoint(found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(kept)).distinct())
+    stay = rows.join(keep, F.col(key) == F.col(kept), "left_semi")
     once = W.partitionBy(key).orderBy(F.lit(0))
     return stay.withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1).drop(key, turn)

@@ -11,6 +11,7 @@ import test_mixing as M  # noqa: E402
 import test_pii as I  # noqa: E402
 import test_simhash as H  # noqa: E402
 from conftest import SF  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 
 def test_stages_hold_against_brute_force(spark):
@@ -54,6 +55,21 @@ def test_stages_hold_against_brute_force(spark):
         assert abs(sum(r.taken for r in mixed if r.source == s) - goal[s]) <= 0.5
 
 
+def test_columns_named_like_the_operators_own(spark):
+    """Further columns of any of these names reach the end of each stage as they came, or make way for a result of that name."""
+    names = ["key", "kept_key", "turn", "fp", "low", "root", "node", "id", "least", "component_id", "c0", "c1", "hit_ranges", "hit_items", "place", "h", "m", "n", "digest", "tally"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"own {i}"))
+    docs = docs.cache()
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        own = [n for n in names if n in out.columns]
+        assert own == names, (name, set(names) - set(own))
+        for r in out.select(*names).distinct().collect():
+            assert list(r) == [f"own {i}" for i in range(len(names))], name
+
+
 def test_run_reads_the_given_tables(spark):
     got = P.run(spark, SF)
     assert {"doc_id", "source", "text", "lang", "taken", "position"} <= set(got.columns)
