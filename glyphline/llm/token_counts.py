@@ -148,8 +148,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id:
     known = _stored(spark, cache, version)
     first = keys.groupBy("digest").agg(F.min("id").alias("id"))
     missing = checkpoint(first.join(known, "digest", "left_anti")).select(F.col("digest").alias("d"), F.col("id").alias("i"))
-    # the few columns of `missing` are hashed in memory; texts stream by without a sort
-    todo = rows.join(missing.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    todo = rows.join(missing, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
     counts = todo.select("digest", "text").mapInArrow(_encode(tokenizer, version, spark.sparkContext.broadcast(data)), "digest binary, n_tokens bigint")
     fresh = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("version", F.lit(version))
     fresh.write.mode("append").partitionBy("version").parquet(cache)
