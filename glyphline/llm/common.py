@@ -138,3 +138,16 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     return start, end, np.searchsorted(start, offsets)
+
+
+_BYTES = Powers(0x9E3779B97F4A7C15)
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[list(SPACE_BYTES)] = False
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first, hash) of the words of some rows; see ``find_words``. For look-ups that may err: words made for it can share a hash."""
+    base = offsets[0]
+    own = data[base : offsets[-1]]
+    start, end, first = find_words(own, offsets - base, _IS_WORD)
+    return start, end, first, range_hash(own.astype(np.uint64) + np.uint64(1), start, end, _BYTES)

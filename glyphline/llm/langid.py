@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import ship_package
-from .common import chunks, text_of, utf8
-from .recompression import words_of
+from .common import chunks, hashed_words, text_of, utf8
 
 HIDDEN = 12
 STEPS = 900
@@ -180,7 +179,7 @@ class _Labeller:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sums, positions) per row: log probabilities over all positions of its words, and how many there are."""
-        start, end, first, hashes = words_of(data, offsets)
+        start, end, first, hashes = hashed_words(data, offsets)
         own = data[offsets[0] : offsets[-1]]
         keys, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))

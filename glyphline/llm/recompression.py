@@ -1,6 +1,6 @@
 """Locally consistent parsing by recompression, on arrays: runs, then pairs, round after round.
 
-The name of a word is a hash of its bytes; the name of a run is made from its symbol and length,
+The name of a word is the XXH64 of its bytes; the name of a run is made from its symbol and length,
 the name of a pair from its two symbols. Names are thus the same in every task of a job, and equal
 stretches of text get equal symbols except near their ends. How near is tracked: every symbol has an
 extent, the words that decide that it stands there. Where the words of an extent stand again, so does the symbol.
@@ -8,20 +8,20 @@ extent, the words that decide that it stands there. Where the words of an extent
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
-from .common import SPACE_BYTES, Powers, find_words, mix, range_hash
+from .common import Powers, mix, range_hash
 
 ROUNDS = 3
 # one in so many symbols is used, chosen by name and so alike everywhere
 THIN = 2
-_BYTES = Powers(0x9E3779B97F4A7C15)
-_WINDOW, _SECOND = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
+KNOWN_WORDS = 1 << 18
+_EXTENT = Powers(0xD6E8FEB86659FD93)
 _RUN, _PAIR, _SIDE = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[list(SPACE_BYTES)] = False
 
 
 @dataclass
@@ -34,12 +34,32 @@ class Symbols:
     end: np.ndarray
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray):
-    """(start, end, first, hash) of the words of some rows; see ``find_words``."""
-    base = offsets[0]
-    own = data[base : offsets[-1]]
-    start, end, first = find_words(own, offsets - base, _IS_WORD)
-    return start, end, first, range_hash(own.astype(np.uint64) + np.uint64(1), start, end, _BYTES)
+class _Names(dict):
+    """Names of words met in this task."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = name = xxhash.xxh64_intdigest(word)
+        return name
+
+
+_names = _Names()
+
+
+def words_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """(words, first, names) of some rows: words by row, the index of a row's first word, and all words' names."""
+    if len(_names) > KNOWN_WORDS:
+        _names.clear()
+    words = [t.split() for t in texts]  # splits at ASCII white space
+    first = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+    names = np.fromiter((n for w in words for n in map(_names.__getitem__, w)), np.uint64, int(first[-1]))
+    return words, first, names
+
+
+def digests(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits, 48 bits) of the BLAKE2b digest of each run of words joined by blanks: equal only where the words are."""
+    raw = b"".join([hashlib.blake2b(r, digest_size=16).digest() for r in runs])
+    both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), (both[:, 1] >> np.uint64(16)).astype(np.int64)
 
 
 def parse(words: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUNDS, thin: int = THIN) -> Symbols:
@@ -94,14 +114,22 @@ def parse(words: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUNDS
         sym, lo, hi, a, z, row = sym[keep], lo[keep], hi[keep], na[keep], nz[keep], row[keep]
     fits = (z - a <= width) & (a >= first[row]) & (z <= first[row + 1])
     row, a, z, sym = row[fits], a[fits], z[fits], sym[fits]
-    name = mix(range_hash(words, a, z, _WINDOW) ^ sym)
+    name = mix(range_hash(words, a, z, _EXTENT) ^ sym)
     some = name % np.uint64(thin) == 0
     return Symbols(row[some], name[some], a[some], z[some])
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the ``width`` words from each of ``at``: 64 and 32 bits."""
-    return range_hash(words, at, at + width, _WINDOW), (range_hash(words, at, at + width, _SECOND) >> np.uint64(32)).astype(np.int64)
+def window_digests(words: list[list[bytes]], first: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the ``width`` words from each of ``at``, ascending indexes over all rows."""
+    runs: list[bytes] = []
+    cut = np.searchsorted(at, first)
+    for r in np.flatnonzero(np.diff(cut)):
+        text = b" ".join(words[r])
+        stop = np.cumsum([len(w) + 1 for w in words[r]])
+        begin = at[cut[r] : cut[r + 1]] - first[r]
+        starts = np.concatenate(([0], stop))[begin].tolist()
+        runs += [text[a:b] for a, b in zip(starts, (stop[begin + width - 1] - 1).tolist())]
+    return digests(runs)
 
 
 def possible(symbols: Symbols, shared: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:

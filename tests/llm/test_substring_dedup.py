@@ -68,5 +68,47 @@ def test_equal_stretches_have_equal_symbols():
         assert inner or vocab == 2
 
 
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_words_and_texts_made_to_share_polynomial_hashes(spark):
+    """Over any odd base a sequence of this kind and its complement have one hash modulo a power of two."""
+    bits = thue_morse(2048)
+    word = lambda flip: "".join("ab"[b ^ flip] for b in bits)
+    around = " ".join(f"w{i}" for i in range(10)), " ".join(f"v{i}" for i in range(10))
+    words = [(1, " ".join((around[0], word(0), around[1]))), (2, " ".join((around[0], word(1), around[1])))]
+    text = lambda flip: " ".join(("left", "right")[b ^ flip] for b in bits)
+    rows = [*words, (3, text(0)), (4, text(1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, 20) == expected(rows, 20)
+
+
+def test_many_rows_without_an_id(spark):
+    rng = random.Random(4)
+    rows = [(None, " ".join(rng.choice("abcdef") for _ in range(40))) for _ in range(30)]
+    rows += [rows[0]] * 20 + [(5, rows[3][1]), (6, "x " + rows[7][1])]
+    df = spark.createDataFrame([(*r, "z", 1, 2) for r in rows], "doc_id long, text string, doc string, nth int, place int").repartition(6)
+    found = S.remove_repeats(df, width=8, chunk_bytes=300).collect()
+    assert len(found) == len(rows)
+    kept = {}
+    for r in found:
+        kept.setdefault(r.doc_id, set()).add(r.kept_text)
+    assert len(kept[None]) <= 30
+    seen = {tuple(t.split()[i : i + 8]) for t in (t for d, t in rows if d is None) for i in range(33)}
+    for d, t in rows[-2:]:
+        w = t.split()
+        gone = {i + k for i in range(len(w) - 7) if tuple(w[i : i + 8]) in seen for k in range(8)}
+        assert kept[d] == {" ".join(x for i, x in enumerate(w) if i not in gone)}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    w = [f"w{rng.randrange(10**9)}" for _ in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(["q", *w[100:40_000], "z"])), (3, "x" * 1_000_000)]
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (60_000, 0), 2: (39_902, 39_900), 3: (1, 0)}
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
