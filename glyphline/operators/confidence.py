@@ -111,7 +111,19 @@ def report_lines(df, staff: str, measure: str, pos: str, text, capacity, reasons
     return h.unionByName(m).unionByName(d)
 
 
-def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
-    """The summary and the flagged events as Parquet tables under ``path``."""
+def write_report(summary: DataFrame, details: DataFrame, path: str, lines: DataFrame | None = None, score: str | None = None) -> None:
+    """The summary and the flagged events as Parquet tables under ``path``; ``lines`` as text under ``path/text``.
+
+    ``lines`` is what ``report_lines`` gives, for several scores with a column ``score`` naming them. Each score is one file
+    in a folder of its own name, its lines in order: all lines of a score meet in one task, no two scores in one file.
+    """
     summary.write.mode("overwrite").parquet(f"{path}/summary")
     details.write.mode("overwrite").parquet(f"{path}/details")
+    if lines is None:
+        return
+    order = ["staff", "measure", "part", "pos"]
+    if score is None:
+        lines.repartition(1).sortWithinPartitions(*order).select("text").write.mode("overwrite").text(f"{path}/text")
+    else:
+        laid = lines.repartition(score).sortWithinPartitions(score, *order)
+        laid.select(score, "text").write.mode("overwrite").partitionBy(score).text(f"{path}/text")

@@ -280,26 +280,24 @@ def lookup_first(df, value: str, table: list[tuple], default, name: str) -> Data
     return df.withColumn(name, first_within(value, table, default))
 
 
-def overlap_sum(boxes: DataFrame, runs: DataFrame, keys, box_id, cell: float, name="overlap") -> DataFrame:
+def overlap_sum(boxes: DataFrame, runs: DataFrame, keys, box_id, name="overlap") -> DataFrame:
     """Sum over runs [r0, r1) of their overlap with the box's [b0, b1); 0 when none.
 
-    Runs are clipped at cell edges and summed per cell first: a cell wholly inside a box
-    needs only its sum, so just the two edge cells of a box look at single runs.
+    What lies left of a place is a running sum over run ends: each start before it adds the distance to it, each end takes it
+    off again. A box needs that at its two ends, so runs and boxes meet in one scan and no run is paired with a box.
     """
-    r = runs.withColumn("__c", F.explode(F.sequence(F.floor(F.col("r0") / cell), F.ceil(F.col("r1") / cell) - 1)))
-    r = r.withColumns({"r0": F.greatest("r0", F.col("__c") * cell), "r1": F.least("r1", (F.col("__c") + 1) * cell)})
-    r = r.filter(F.col("r1") > F.col("r0")).groupBy(*keys, "__c", "r0", "r1").agg(F.count(F.lit(1)).alias("__m"))
-    full = r.groupBy(*keys, "__c").agg(F.sum((F.col("r1") - F.col("r0")) * F.col("__m")).alias("__len"))
-    lo, hi = F.floor(F.col("b0") / cell), F.ceil(F.col("b1") / cell) - 1
-    inner = boxes.withColumns({"__lo": lo, "__hi": hi})
-    mids = inner.filter(F.col("__hi") - F.col("__lo") >= 2).withColumn("__c", F.explode(F.sequence(F.col("__lo") + 1, F.col("__hi") - 1)))
-    mid = mids.join(full, [*keys, "__c"]).select(*keys, box_id, F.col("__len").alias("__v"))
-    edges = inner.withColumn("__c", F.explode(F.array_distinct(F.array("__lo", "__hi"))))
-    edge = edges.join(r, [*keys, "__c"]).select(
-        *keys, box_id,
-        (F.greatest(F.lit(0.0), F.least("r1", "b1") - F.greatest("r0", "b0")) * F.col("__m")).alias("__v"))
-    s = mid.unionByName(edge).groupBy(*keys, box_id).agg(F.sum("__v").alias(name))
-    return boxes.join(s, [*keys, box_id], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    end = lambda at, s: F.struct(_c(at).cast("double").alias("x"), F.lit(s).alias("s"))
+    ends = runs.filter(F.col("r1") > F.col("r0")).select(*keys, F.explode(F.array(end("r0", 1), end("r1", -1))).alias("e"), F.lit(0).alias("__by"))
+    asks = boxes.filter(F.col("b1") > F.col("b0")).select(
+        *keys, F.explode(F.array(F.struct(end("b0", 0).alias("e"), F.lit(-1).alias("by")), F.struct(end("b1", 0).alias("e"), F.lit(1).alias("by")))).alias("q"), box_id)
+    asks = asks.select(*keys, F.col("q.e").alias("e"), F.col("q.by").alias("__by"), box_id)
+    both = ends.unionByName(asks, allowMissingColumns=True).select(*keys, box_id, "__by", F.col("e.x").alias("__x"), F.col("e.s").alias("__s"))
+    both = both.withColumn("__t", F.xxhash64(box_id))
+    order = ["__x", "__by", "__s", "__t"]
+    seen = S.scan(both, keys, order, __open=S.run_sum("__s"), __at=S.run_sum(F.col("__s") * F.col("__x")))
+    left = F.col("__open") * F.col("__x") - F.col("__at")
+    found = seen.filter(F.col("__by") != 0).groupBy(*keys, box_id).agg(F.sum(F.col("__by") * left).alias(name))
+    return boxes.join(found, [*keys, box_id], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 class _Propagate(Rule):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..core import scan as S
@@ -48,14 +50,16 @@ def page_pitches(notes: DataFrame, systems: DataFrame, pages: DataFrame) -> Data
     return n.withColumns({"degree": F.col("p.degree"), "octave": F.col("p.octave"), "pitch": N.pitch_text("p.degree", "p.octave")}).drop("p", "dist")
 
 
-def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_beats=2.0, slack=0.05, fill=True) -> DataFrame:
+def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_beats=2.0, slack=0.05, fill=True, markers=None) -> DataFrame:
     """Events of every measure with reconciled durations.
 
     All positions are in units of the page's line spacing, so one set of distances serves
     pages of any size. ``keys`` name a staff.
     ``units``: keys, unit_id, x, dur, score, ys ARRAY, evidence. ``rests``: keys, rest_id,
     x, duration. ``barlines``: keys, x. ``anchors``: keys, x, bpm. ``first_staff`` is a
-    Column on the keys telling where a pickup measure may stand.
+    Column on the keys telling where a pickup measure may stand. ``markers`` (keys, marker_id, x, n) are tuplet figures:
+    each belongs to the measure whose notes it stands over, and the measure takes the reading that fills it best; units
+    may bring ``idurs``, the durations of their members.
     Result: keys, measure_idx, event_id, x, type, duration, source; an event id is twice the
     unit id, twice the rest id plus one, or null for events put in.
     """
@@ -93,7 +97,10 @@ def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_b
         free = notes.filter("NOT leads AND n >= 2").drop("duration", "source").withColumn("rem", F.greatest(F.lit(0.25), F.col("cap") - F.col("rb")))
         free = R.proportional_alloc(free, mk, "x", "event_id", "rem", "edge", F.col("dur") >= 2.0, "dur", F.array("dur")).select(*mk, *out)
         notes = pick.unionByName(one).unionByName(led).unionByName(free)
-        notes = checkpoint(notes.join(caps, mk))
+        notes = notes.join(caps, mk)
+        if markers is not None:
+            notes = read_tuplets(notes, ev, markers, keys)
+        notes = checkpoint(notes)
         # one put-in rest per pickup measure has no id; ids stay unique inside a measure
         notes = notes.withColumn("rid", F.coalesce("event_id", F.lit(-1).cast("long")))
         suspect = F.abs(F.coalesce("score", F.lit(1.0)) - 0.80) < 0.02
@@ -122,13 +129,36 @@ def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_b
     return events
 
 
+def read_tuplets(notes, ev, markers, keys) -> DataFrame:
+    """``notes`` of measures with estimated durations, those under and beside tuplet markers read as tuplets.
+
+    ``ev``: the events of the measures with dur and rb (beats of detected rests), and idurs where units have them.
+    """
+    mk = [*keys, "measure_idx"]
+    units = ev.filter(F.col("type") == "note_unit")
+    own = F.array(F.coalesce("dur", F.lit(0.25)))
+    if "idurs" in ev.columns:
+        own = F.when(F.size("idurs") > 0, F.col("idurs")).otherwise(own)
+    pool = units.select(*mk, "event_id", "x", own.alias("idurs"), "rb", "cap")
+    marks = J.midpoint_bind(markers.withColumn("x", F.col("x").cast("double")), pool, keys, "measure_idx", "x", "x", "marker_id")
+    read = R.choose_interpretation(pool, marks.withColumnRenamed("x", "mx"), mk, "x", "event_id", "idurs", "rb", "cap", "mx", "n", "marker_id")
+    read = read.select(*[F.col(c).alias(f"__t_{c}") for c in [*mk, "event_id", "duration", "source"]])
+    same = [F.col(c) == F.col(f"__t_{c}") for c in [*mk, "event_id"]]
+    both = notes.join(read, reduce(lambda a, b: a & b, same), "left")
+    kept = [F.coalesce(f"__t_{c}", c).alias(c) if c in ("duration", "source") else F.col(c) for c in notes.columns]
+    return both.select(*kept)
+
+
 def empty_measures(events, bars, anchors, keys, default_beats, slack) -> DataFrame:
-    """Rests for measures without an event between measures that have some; those at the end stay out.
+    """Rests for measures without an event before measures that have some; those at the end stay out.
 
-    ``bars``: keys, bx. A narrow one (under 3 line spacings a beat) stays empty.
+    ``bars``: keys, bx. The first measure goes from 0 to the first bar. A narrow one (under 3 line spacings a beat) stays empty.
     """
     mk = [*keys, "measure_idx"]
-    m = S.scan(bars, keys, ["bx"], measure_idx=S.row_number(), right=S.lead("bx"))
+    # the page's edge opens measure 0
+    edges = bars.withColumn("__edge", F.lit(1)).unionByName(bars.select(*keys).distinct().withColumns({"bx": F.lit(0.0), "__edge": F.lit(0)}))
+    m = S.scan(edges, keys, ["__edge", "bx"], measure_idx=S.row_number(), right=S.lead("bx")).drop("__edge")
+    m = m.withColumn("measure_idx", F.col("measure_idx") - 1)
     last = events.groupBy(*keys).agg(F.max("measure_idx").alias("last"))
     m = m.join(last, keys).filter(F.col("measure_idx") < F.col("last")).join(events.select(*mk).distinct(), mk, "left_anti")
     m = m.select(*mk, F.col("bx").alias("x"), (F.col("right") - F.col("bx")).alias("width"))
@@ -170,3 +200,26 @@ def measure_lines(measures: DataFrame, texts: DataFrame, skip_empty: bool = Fals
     if skip_empty:
         d = d.filter(F.col("text") != "0 0")
     return d.select(*m, F.concat(F.lit("|"), "text", F.lit("|")).alias("text"))
+
+
+def staff_lines(units, rests, barlines, anchors, keys, first_staff, skip_empty=True, **how) -> DataFrame:
+    """(keys, text): the measures of a staff from detections to text, as one line between bars.
+
+    Takes what ``staff_measures`` takes, with a column ``pitch`` (the chord's text) on units. Measures read ``0 0`` where
+    they hold nothing; with ``skip_empty`` such measures are left out.
+    """
+    mk = [*keys, "measure_idx"]
+    events = staff_measures(units, rests, barlines, anchors, keys, first_staff, **how)
+    names = units.select(*keys, (F.col("unit_id") * 2).alias("event_id"), "pitch")
+    events = checkpoint(events.join(names, [*keys, "event_id"], "left"))
+    note = F.concat(F.coalesce("pitch", F.lit("0")), N.duration_suffix("duration"))
+    text = F.when(F.col("type") == "note_unit", note).otherwise(N.rest_text("duration"))
+    order = F.coalesce("event_id", F.lit(-1).cast("long"))
+    one = A.ordered_concat(events.select(*mk, "x", order.alias("i"), text.alias("t")), mk, ["x", "i", "t"], "t", " ")
+    last = one.groupBy(*keys).agg(F.max("measure_idx").alias("last"))
+    every = last.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("measure_idx"))
+    one = every.join(one.withColumn("measure_idx", F.col("measure_idx").cast("long")), mk, "left").withColumn("text", F.coalesce("text", F.lit("0 0")))
+    if skip_empty:
+        one = one.filter(F.col("text") != "0 0")
+    lined = A.ordered_concat(one, keys, ["measure_idx"], "text", "|")
+    return lined.select(*keys, F.concat(F.lit("|"), "text", F.lit("|")).alias("text"))

@@ -178,17 +178,17 @@ _HALVES = """h7 AS (SELECT * REPLACE (base / pow(2, list_filter(range(0, 64), la
 
 
 @query("choose_interpretation", f"""WITH {ML}, mk AS (SELECT o_orderkey AS k, o_totalprice / 5000 AS mx FROM orders),
- nt AS (SELECT ml.*, mx, CASE WHEN id % 3 = 0 THEN [dur, 0.5] ELSE [dur] END AS ds FROM ml JOIN mk ON mk.k = ml.k), rd AS (SELECT nt.*, r AS rd FROM nt, range(2) t(r)),
- pl AS (SELECT *, row_number() OVER (PARTITION BY k, rd ORDER BY x, id) AS pos, count(*) OVER (PARTITION BY k, rd) AS sz FROM rd WHERE rd = 1 OR id % 3 <> 0),
- an AS (SELECT k, rd, mx, pos, sz FROM pl QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY abs(x - mx), pos) = 1),
+ nt AS MATERIALIZED (SELECT ml.*, mx, CASE WHEN id % 3 = 0 THEN [dur, 0.5] ELSE [dur] END AS ds FROM ml JOIN mk ON mk.k = ml.k), rd AS MATERIALIZED (SELECT nt.*, r AS rd FROM nt, range(2) t(r)),
+ pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k, rd ORDER BY x, id) AS pos, count(*) OVER (PARTITION BY k, rd) AS sz FROM rd WHERE rd = 1 OR id % 3 <> 0),
+ an AS MATERIALIZED (SELECT k, rd, mx, pos, sz FROM pl QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY abs(x - mx), pos) = 1),
  st AS (SELECT *, unnest(CASE WHEN sz <= 3 THEN [1::BIGINT] ELSE range(greatest(1, pos - 2), least(pos, sz - 2) + 1) END) AS s FROM an),
- sc AS (SELECT st.k AS k, st.rd AS rd, s, sum(x) / 3 AS c, any_value(st.mx) AS mx FROM st JOIN pl ON pl.k = st.k AND pl.rd = st.rd AND pl.pos >= s AND pl.pos < s + 3 GROUP BY st.k, st.rd, s),
- bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY abs(c - mx), s) = 1),
- ids AS (SELECT pl.k AS k, pl.rd AS rd, pl.id AS id FROM bs JOIN pl ON pl.k = bs.k AND pl.rd = bs.rd AND pl.pos >= s AND pl.pos < s + 3),
- al AS (SELECT rd.*, ids.id IS NOT NULL AS inn FROM rd LEFT JOIN ids ON ids.k = rd.k AND ids.rd = rd.rd AND ids.id = rd.id WHERE (rd.k, rd.rd) IN (SELECT (k, rd) FROM ids)),
+ sc AS MATERIALIZED (SELECT st.k AS k, st.rd AS rd, s, sum(x) / 3 AS c, any_value(st.mx) AS mx FROM st JOIN pl ON pl.k = st.k AND pl.rd = st.rd AND pl.pos >= s AND pl.pos < s + 3 GROUP BY st.k, st.rd, s),
+ bs AS MATERIALIZED (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY abs(c - mx), s) = 1),
+ ids AS MATERIALIZED (SELECT pl.k AS k, pl.rd AS rd, pl.id AS id FROM bs JOIN pl ON pl.k = bs.k AND pl.rd = bs.rd AND pl.pos >= s AND pl.pos < s + 3),
+ al AS MATERIALIZED (SELECT rd.*, ids.id IS NOT NULL AS inn FROM rd JOIN (SELECT DISTINCT k AS gk, rd AS gr FROM ids) ON gk = rd.k AND gr = rd.rd LEFT JOIN ids ON ids.k = rd.k AND ids.rd = rd.rd AND ids.id = rd.id),
  mb AS (SELECT k, rd, x, id, unnest(ds) AS v, unnest(range(len(ds))) AS p FROM al WHERE inn),
- md AS (SELECT k, rd, v AS base FROM (SELECT k, rd, v, count(*) AS c, min((x, id, p)) AS f FROM mb GROUP BY k, rd, v) QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY c DESC, f) = 1),
- h0 AS (SELECT al.k AS k, al.rd AS rd, any_value(md.base) AS base, count(*) FILTER (inn) AS nt, count(*) AS na, any_value(rb) AS rb, any_value(cap) AS cap FROM al JOIN md ON md.k = al.k AND md.rd = al.rd GROUP BY al.k, al.rd),
+ md AS MATERIALIZED (SELECT k, rd, v AS base FROM (SELECT k, rd, v, count(*) AS c, min((x, id, p)) AS f FROM mb GROUP BY k, rd, v) QUALIFY row_number() OVER (PARTITION BY k, rd ORDER BY c DESC, f) = 1),
+ h0 AS MATERIALIZED (SELECT al.k AS k, al.rd AS rd, any_value(md.base) AS base, count(*) FILTER (inn) AS nt, count(*) AS na, any_value(rb) AS rb, any_value(cap) AS cap FROM al JOIN md ON md.k = al.k AND md.rd = al.rd GROUP BY al.k, al.rd),
  {_HALVES}, t1 AS (SELECT *, base * 2.0 / 3.0 AS td FROM h7), t2 AS (SELECT *, CASE WHEN na > nt THEN {snap_sql('greatest(0.25, cap - td * nt - rb) / (na - nt)')} END AS ld FROM t1),
  w AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(td * nt + coalesce(ld * (na - nt), 0) + rb - cap), rd) = 1)
  SELECT al.k AS k, al.id AS id, round(CASE WHEN inn THEN td ELSE ld END, 9) AS duration, CASE WHEN inn THEN 'tuplet' ELSE 'tuplet_leftover' END AS source FROM al JOIN w ON w.k = al.k AND w.rd = al.rd""")

@@ -225,4 +225,4 @@ def tolerance_lookup(spark, sf):
 def interval_overlap_sum(spark, sf):
     b = ev(spark, sf, "purchase").select("k", "id", (F.col("x") - 6).alias("b0"), (F.col("x") + 20).alias("b1"))
     r = ev(spark, sf).filter("typ <> 'purchase'").select("k", F.col("x").alias("r0"), (F.col("x") + F.col("y") / 10).alias("r1"))
-    return J.overlap_sum(b, r, ["k"], "id", 8.0).select("k", "id", F.round(F.col("overlap") / 26, 6).alias("fill"))
+    return J.overlap_sum(b, r, ["k"], "id").select("k", "id", F.round(F.col("overlap") / 26, 6).alias("fill"))

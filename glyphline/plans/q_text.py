@@ -255,3 +255,51 @@ def flag_details(spark, sf):
  UNION ALL SELECT k, m, 3, id, '         pos ' || id || ' "' || t || '" conf=' || round(adjusted, 2)::DECIMAL(18, 2) || ': ' || CASE WHEN why = '' THEN '(aggregate low)' ELSE why END FROM d WHERE low""")
 def report_lines(spark, sf):
     return C.report_lines(_adjusted(spark, sf), "k", "m", "id", "t", "bpm")
+
+
+@query("measure_lines", """WITH t AS (SELECT l_orderkey AS k, string_agg(l_linenumber::VARCHAR || l_returnflag, ' ' ORDER BY l_extendedprice, l_partkey, l_linenumber, l_suppkey) AS text
+  FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY l_orderkey),
+ m AS (SELECT o_custkey AS doc, o_orderstatus AS clef, 1 AS line, o_orderkey AS measure_no, CASE WHEN o_orderkey % 7 > 4 THEN o_orderkey % 7 END AS n FROM orders)
+ SELECT doc, clef, line, measure_no, '|' || coalesce(text, '0 0') || CASE WHEN n IS NOT NULL THEN ' ×' || n::VARCHAR ELSE '' END || '|' AS text FROM m LEFT JOIN t ON k = measure_no
+ WHERE NOT (n IS NULL AND coalesce(text, '0 0') = '0 0')""")
+def measure_lines(spark, sf):
+    from .pipeline import measure_lines as lines_of
+
+    key = [F.col("o_custkey").alias("doc"), F.col("o_orderstatus").alias("clef"), F.lit(1).alias("line"), F.col("o_orderkey").alias("measure_no")]
+    o = table(spark, sf, "orders")
+    m = o.select(*key, F.when(F.col("o_orderkey") % 7 > 4, F.col("o_orderkey") % 7).alias("n"))
+    li = table(spark, sf, "lineitem").filter("l_orderkey % 3 > 0").join(o.select("o_orderkey", *key), F.col("l_orderkey") == F.col("o_orderkey"))
+    names = ["doc", "clef", "line", "measure_no"]
+    one = li.select(*names, "l_extendedprice", "l_partkey", "l_linenumber", "l_suppkey", F.concat(F.col("l_linenumber").cast("string"), "l_returnflag").alias("t"))
+    texts = A.ordered_concat(one, names, ["l_extendedprice", "l_partkey", "l_linenumber", "l_suppkey"], "t", " ")
+    return lines_of(m, texts, skip_empty=True)
+
+
+def _staves(spark, sf):
+    """Users as staves: views are chords, clicks rests, purchases bars, signups triplet figures, positions in quarter days."""
+    e = ev(spark, sf).withColumn("x", F.col("x") / 6)
+    length = F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0), F.lit(2.0)), (F.col("id") % 4 + 1).cast("int"))
+    units = e.filter("typ = 'view'").select("k", F.col("id").alias("unit_id"), "x", length.alias("dur"), (F.lit(0.8) + F.col("id") % 3 * 0.05).alias("score"), F.array("y").alias("ys"),
+                                            (F.col("id") % 2 == 0).alias("evidence"), (F.col("id") % 7 + 1).cast("string").alias("pitch"))
+    rests = e.filter("typ = 'click'").select("k", F.col("id").alias("rest_id"), "x", F.lit(0.5).alias("duration"))
+    bars = e.filter("typ = 'purchase'").select("k", "x")
+    anchors = bars.select("k").distinct().select("k", F.lit(0.0).alias("x"), (F.col("k") % 3 + 2).cast("double").alias("bpm"))
+    figures = e.filter("typ = 'signup'").select("k", F.col("id").alias("marker_id"), "x", F.lit(3).alias("n"))
+    return units, rests, bars, anchors, figures
+
+
+@query("staff_pipeline")
+def staff_pipeline(spark, sf):
+    from .pipeline import staff_measures
+
+    units, rests, bars, anchors, figures = _staves(spark, sf)
+    out = staff_measures(units, rests, bars, anchors, ["k"], F.col("k") % 2 == 0, markers=figures)
+    return out.select("k", "measure_idx", "event_id", "x", "type", F.round("duration", 6).alias("duration"), "source")
+
+
+@query("measure_text")
+def measure_text(spark, sf):
+    from .pipeline import staff_lines
+
+    units, rests, bars, anchors, figures = _staves(spark, sf)
+    return staff_lines(units, rests, bars, anchors, ["k"], F.col("k") % 2 == 0, markers=figures)

@@ -252,3 +252,65 @@ def test_report(spark, tmp_path):
     C.write_report(C.flag_summary(d, "s"), C.flag_details(d, ["s", "m"], "pos", "t"), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r" / "details")).first().why == "weak"
     assert {r.s: r.low for r in spark.read.parquet(str(tmp_path / "r" / "summary")).collect()} == {"treble": 1, None: 1}
+
+
+UNIT = "k long, unit_id long, x double, dur double, score double, ys array<double>, evidence boolean, pitch string"
+
+
+def staff(spark, units, bars, beats, rests=()):
+    u = spark.createDataFrame([(1, i, x, d, 1.0, [float(i * 10)], True, str(i % 7 + 1)) for i, (x, d) in enumerate(units)], UNIT)
+    r = spark.createDataFrame([(1, i, x, d) for i, (x, d) in enumerate(rests)], "k long, rest_id long, x double, duration double")
+    return u, r, spark.createDataFrame([(1, b) for b in bars], "k long, x double"), spark.createDataFrame([(1, 0.0, beats)], "k long, x double, bpm double")
+
+
+def by_measure(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.measure_idx, r.x)):
+        out.setdefault(r.measure_idx, []).append((r.type, round(r.duration, 4), r.source))
+    return out
+
+
+def test_an_empty_first_measure_is_filled(spark):
+    """Bars 20, 40, 60 and one note in the second measure: the first, from the page's edge on, gets its rests."""
+    parts = staff(spark, [(30.0, 2.0)], [20.0, 40.0, 60.0], 2.0)
+    got = by_measure(P.staff_measures(*parts, ["k"], F.lit(False)).collect())
+    assert [e[:2] for e in got[0]] == [("rest", 1.0), ("rest", 1.0)] and got[1][0][:2] == ("note_unit", 2.0) and 2 not in got
+    narrow = staff(spark, [(30.0, 2.0)], [4.0, 40.0], 2.0)
+    assert 0 not in by_measure(P.staff_measures(*narrow, ["k"], F.lit(False)).collect())
+
+
+def test_a_triplet_in_a_staff(spark):
+    """Three quavers under a 3 in a measure of two beats take a third each, the crotchet beside them the beat that is left."""
+    notes = [(5.0, 0.5), (10.0, 0.5), (15.0, 0.5), (25.0, 1.0), (45.0, 1.0), (55.0, 1.0)]
+    parts = staff(spark, notes, [40.0, 70.0], 2.0)
+    markers = spark.createDataFrame([(1, 7, 10.5, 3)], "k long, marker_id long, x double, n int")
+    got = by_measure(P.staff_measures(*parts, ["k"], F.lit(False), markers=markers).collect())
+    assert [e[1] for e in got[0]] == [0.3333, 0.3333, 0.3333, 1.0]
+    assert [e[2] for e in got[0]] == ["tuplet"] * 3 + ["tuplet_leftover"]
+    assert [e[1] for e in got[1]] == [1.0, 1.0]
+    plain = by_measure(P.staff_measures(*parts, ["k"], F.lit(False)).collect())
+    assert got[1] == plain[1] and got[0] != plain[0]
+
+
+def test_lines_of_a_staff(spark):
+    parts = staff(spark, [(5.0, 1.0), (10.0, 1.0), (45.0, 0.5), (50.0, 0.5), (55.0, 1.0)], [20.0, 40.0, 70.0], 2.0)
+    assert P.staff_lines(*parts, ["k"], F.lit(False), skip_empty=False).collect()[0].text == "|1 2|0 0|3/2 4/2 5|"
+    assert P.staff_lines(*parts, ["k"], F.lit(False)).collect()[0].text == "|1 2|3/2 4/2 5|"
+
+
+def test_detection_tables_are_read_with_their_types(spark, tmp_path):
+    rows = spark.createDataFrame([("s", 1, 4, 10, 0.5), ("s", 2, 4, 30, None)], "score_id string, page int, system int, x int, score double")
+    rows.write.parquet(str(tmp_path / "barlines"))
+    got = B.read_detections(spark, str(tmp_path), "barlines")
+    assert got.dtypes == rows.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    assert set(B.SCHEMAS) >= {"noteheads", "rests", "barlines", "ink_runs"}
+
+
+def test_reports_are_text_files_by_score(spark, tmp_path):
+    rows = [(s, m, p, 0, f"{s} {m} {p}") for s in ("a", "b") for m in range(3) for p in range(4)]
+    lines = spark.createDataFrame([("one", *r) for r in rows] + [("two", *r) for r in rows[:5]], "score string, staff string, measure long, part int, pos long, text string")
+    none = spark.createDataFrame([], "x int")
+    C.write_report(none, none, str(tmp_path), lines.repartition(7), "score")
+    for name, want in (("one", rows), ("two", rows[:5])):
+        files = list((tmp_path / "text" / f"score={name}").glob("*.txt"))
+        assert len(files) == 1 and files[0].read_text().split("\n")[:-1] == [r[-1] for r in want]
