@@ -2,10 +2,13 @@
 
 Rows that cannot conflict, directly or through others, are separated first: a gap of at
 least the reach along x starts a new component. Components are small in practice and are
-solved inside one streaming pass. A component above ``component_rows`` is eliminated in
-blocks: the best rows of each such component (a bounded block) are solved, every other row
-that conflicts with a survivor is dropped by an anti join on grid cells, and the rest goes
-round again. Priorities are a total order, so both ways give the same rows.
+solved inside one streaming pass. Components above ``component_rows`` go in rounds: every row
+that no better row is near is kept, what conflicts with it goes, and the rest goes round again. Nearness is
+shared cells of a grid (with a level for each size of rows), so a round aggregates cells and makes no pairs of rows
+but those of a kept row and what it may drop; a cell has one row at most that is kept in a round. Priorities without
+a pattern need few rounds, however long the component. Where a round decides too little, as in a chain that gets worse
+from end to end, the next one takes the best ``BLOCK`` rows of each component in order. Priorities are a
+total order, so all ways give the same rows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import checkpoint, ship_package
+from ..session import checkpoint, release, ship_package
 from . import scan as S
 from .skew import find_split, limits, same_keys, too_small_to_probe
 
@@ -115,6 +118,70 @@ def component_map(df, keys, x, tie, reach, priority, nums, pick) -> DataFrame:
     return _solve_df(tagged, keys, priority, nums, pick, [c for c in df.columns if c not in keys]).select(*df.columns)
 
 
+def _cells(rows: DataFrame, box: tuple, levels: list[int], cols: list) -> DataFrame:
+    """``cols`` of rows with the grid cells that their boxes touch: __lv, __cx, __cy, and __own on cells of a row's own level.
+
+    ``box``: (low x, high x, low y, high y) as Columns. A row's level is the first whose cells are as large as it, so it
+    touches two in each direction; in the cells of coarser levels it shows itself to larger rows.
+    """
+    lo_x, hi_x, lo_y, hi_y = box
+    size = F.greatest(hi_x - lo_x, hi_y - lo_y)
+    own = F.array_min(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: F.pow(F.lit(2.0), n) >= size))
+    rows = rows.select(*cols, F.struct(lo_x.alias("x0"), hi_x.alias("x1"), lo_y.alias("y0"), hi_y.alias("y1")).alias("__b"), own.alias("__mine"))
+    rows = rows.withColumn("__lv", F.explode(F.array(*[F.lit(n) for n in levels]))).filter(F.col("__lv") >= F.col("__mine"))
+    side = F.pow(F.lit(2.0), F.col("__lv"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(f"__b.{a}") / side).cast("long"), F.floor(F.col(f"__b.{b}") / side).cast("long")))
+    rows = rows.withColumn("__cx", span("x0", "x1")).withColumn("__cy", span("y0", "y1"))
+    return rows.withColumn("__own", F.col("__lv") == F.col("__mine")).drop("__b", "__mine")
+
+
+def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def _levels(rows: DataFrame, box: tuple) -> list[int]:
+    """The levels of rows' sizes: as many as doublings lie between the smallest and the largest."""
+    size = F.greatest(box[1] - box[0], box[3] - box[2])
+    level = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1e-9)))), F.lit(-30)).cast("int")
+    return sorted(r[0] for r in rows.select(level.alias("n")).distinct().collect() if r[0] is not None) or [0]
+
+
+def _round(left: DataFrame, part, box, levels, nums, conflict_sql) -> tuple[DataFrame, DataFrame]:
+    """(kept, rest) of one round over undecided rows with ``__p``, their place in the order of priority."""
+    cell = [*part, "__lv", "__cx", "__cy"]
+    seen = _cells(left, box, levels, [*part, "__p", *nums])
+    least = lambda own: F.min(F.when(F.col("__own") == own, F.col("__p")))
+    best = seen.groupBy(*cell).agg(least(True).alias("__mine"), least(False).alias("__less"))
+    # only the best of a cell can be the best of all its cells
+    few = best.filter(F.col("__mine").isNotNull()).select(F.col("__mine").alias("__q")).distinct()
+    first = left.join(few, F.col("__p") == F.col("__q"), "left_semi")
+    b = _renamed(best, "__b_")
+    own = _cells(first, box, levels, [*part, "__p"])
+    met = own.join(b, same_keys([F.col(c) for c in cell], [F.col(f"__b_{c}") for c in cell]))
+    better = F.when(F.col("__own"), F.least("__b___mine", "__b___less")).otherwise(F.col("__b___mine"))
+    won = met.groupBy("__p").agg(F.min(better).alias("__w")).filter(F.col("__w").isNull() | (F.col("__w") >= F.col("__p"))).select(F.col("__p").alias("__q"))
+    kept = checkpoint(left.join(won, F.col("__p") == F.col("__q"), "left_semi"))
+    w = _renamed(_cells(kept, box, levels, [*part, "__p", *nums]), "__w_")
+    same = same_keys([F.col(c) for c in cell], [F.col(f"__w_{c}") for c in cell]) & (F.col("__own") | F.col("__w___own")) & (F.col("__p") != F.col("__w___p"))
+    lost = seen.join(w, same & conflict_sql(lambda c: F.col(f"__w_{c}"), F.col)).select(F.col("__p").alias("__q"))
+    gone = lost.unionByName(kept.select(F.col("__p").alias("__q"))).distinct()
+    return kept, checkpoint(left.join(gone, F.col("__p") == F.col("__q"), "left_anti"))
+
+
+def _block(left: DataFrame, keys, part, priority, nums, pick, payload, box, levels, conflict_sql) -> tuple[DataFrame, DataFrame]:
+    """(kept, rest) after the best BLOCK rows of each component in order: for priorities that run along a component."""
+    w = W.partitionBy(*part).orderBy("__p")
+    top = left.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= BLOCK).drop("__rank")
+    kept = checkpoint(_solve_df(top, keys, priority, nums, pick, [*payload, "__p"]))
+    cell = [*part, "__lv", "__cx", "__cy"]
+    seen = _cells(left, box, levels, [*part, "__p", *nums])
+    v = _renamed(_cells(kept, box, levels, [*part, "__p", *nums]), "__w_")
+    same = same_keys([F.col(c) for c in cell], [F.col(f"__w_{c}") for c in cell]) & (F.col("__own") | F.col("__w___own")) & (F.col("__p") != F.col("__w___p"))
+    lost = seen.join(v, same & conflict_sql(lambda c: F.col(f"__w_{c}"), F.col)).select(F.col("__p").alias("__q"))
+    gone = lost.unionByName(kept.select(F.col("__p").alias("__q"))).distinct()
+    return kept, checkpoint(left.join(gone, F.col("__p") == F.col("__q"), "left_anti"))
+
+
 def suppress(
     df: DataFrame,
     keys: list[str],
@@ -125,13 +192,15 @@ def suppress(
     conflict: Callable,
     conflict_sql: Callable[[Callable, Callable], Column],
     reach,
+    box: tuple[Column, Column, Column, Column],
     end: str | None = None,
 ) -> DataFrame:
     """Rows that survive greedy suppression.
 
     ``conflict(one, many)`` works on numpy values of ``nums``; ``conflict_sql(a, b)`` is
     the same test between a survivor ``a`` and a candidate ``b`` as a Column, where each
-    argument maps a column name to a Column.
+    argument maps a column name to a Column. ``box`` (low x, high x, low y, high y) is each row's reach: rows in conflict
+    have boxes that share a place.
     """
     names = df.columns
     payload = [c for c in names if c not in keys]
@@ -141,37 +210,24 @@ def suppress(
     if too_small_to_probe(df):
         return _solve_df(tagged, keys, priority, nums, pick, payload).select(*names)
     tagged = checkpoint(tagged)
-    sizes = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limits().component_rows)
+    most = limits().component_rows
+    sizes = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
     if sizes.isEmpty():
         return _solve_df(tagged, keys, priority, nums, pick, payload).select(*names)
     big = sizes.select(*[F.col(c).alias(f"__b_{c}") for c in part])
     in_big = same_keys([F.col(c) for c in part], [F.col(f"__b_{c}") for c in part])
-    small = tagged.join(big, in_big, "left_anti")
-    done = _solve_df(small, keys, priority, nums, pick, payload)
-    left = checkpoint(tagged.join(big, in_big, "left_semi"))
-    kept = []
-    width = F.greatest(F.lit(reach).cast("double"), F.lit(1e-9)) if end is None else None
-    while not left.isEmpty():
-        w = W.partitionBy(*part).orderBy(*priority)
-        # Spark keeps only BLOCK rows per component before the shuffle
-        top = left.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= BLOCK).drop("__rank")
-        won = checkpoint(_solve_df(top, keys, priority, nums, pick, payload))
-        kept.append(won)
-        a = won.select(*[F.col(c).alias(f"__w_{c}") for c in [*part, *payload]])
-        same = [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in part]
-        one = F.col(tie) == F.col(f"__w_{tie}")
-        test = conflict_sql(lambda c: F.col(f"__w_{c}"), F.col) | one
-        rest = left
-        if width is not None:
-            # survivors are spread: each covers its own cell and the two next to it
-            a = a.withColumn("__wc", F.explode(F.sequence(
-                F.floor(F.col(f"__w_{x}") / width) - 1, F.floor(F.col(f"__w_{x}") / width) + 1)))
-            rest = rest.withColumn("__cell", F.floor(F.col(x) / width))
-            same.append(F.col("__cell") == F.col("__wc"))
-        cond = test
-        for s in same:
-            cond = s & cond
-        left = checkpoint(rest.join(a, cond, "left_anti").select(*left.columns))
-    for won in kept:
-        done = done.unionByName(won)
-    return done.select(*names)
+    done = _solve_df(tagged.join(big, in_big, "left_anti"), keys, priority, nums, pick, payload).select(*names)
+    # one sort over all rows gives each its place; rounds then compare numbers
+    left = checkpoint(tagged.join(big, in_big, "left_semi").orderBy(*priority).withColumn("__p", F.monotonically_increasing_id()))
+    levels = _levels(left, box)
+    n, slow = left.count(), False
+    while n > most:
+        if slow:
+            kept, rest = _block(left, keys, part, priority, nums, pick, payload, box, levels, conflict_sql)
+        else:
+            kept, rest = _round(left, part, box, levels, nums, conflict_sql)
+        done = done.unionByName(kept.select(*names))
+        release(left)
+        left, before, n = rest, n, rest.count()
+        slow = not slow and before - n < before // 8
+    return done.unionByName(_solve_df(left, keys, priority, nums, pick, payload).select(*names))

@@ -38,7 +38,8 @@ def nms_overlap(df, keys, x1, y1, x2, y2, score, row_id, limit=0.3, relative_to=
         area = size(b) if relative_to == "other" else F.least(size(a), size(b))
         return side(x1, x2) * side(y1, y2) / area > limit
 
-    return suppress(df, keys, x1, row_id, [F.col(score).desc(), F.col(row_id).asc()], boxes, conflict, sql, 1.0, end=x2)
+    whole = (F.col(x1), F.col(x2) + 1, F.col(y1), F.col(y2) + 1)
+    return suppress(df, keys, x1, row_id, [F.col(score).desc(), F.col(row_id).asc()], boxes, conflict, sql, 1.0, whole, end=x2)
 
 
 def _near(rx: float, ry: float | None):
@@ -55,7 +56,10 @@ def _centre(df, keys, x, y, priority, row_id, rx, ry) -> DataFrame:
         return hit & (F.abs(a(y) - b(y)) < ry) if y is not None else hit
 
     nums = [x] if y is None else [x, y]
-    return suppress(df, keys, x, row_id, [*priority, F.col(row_id).asc()], nums, _near(rx, ry if y is not None else None), sql, rx)
+    # rows nearer than the reach have boxes of that size that overlap
+    unit = lambda c, r: (F.col(c) / float(r) - 0.5, F.col(c) / float(r) + 0.5)
+    box = (*unit(x, rx), *(unit(y, ry) if y is not None else (F.lit(0.0), F.lit(0.0))))
+    return suppress(df, keys, x, row_id, [*priority, F.col(row_id).asc()], nums, _near(rx, ry if y is not None else None), sql, rx, box)
 
 
 def nms_center(df, keys, x, y, score, row_id, radius) -> DataFrame:
