@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import ship_package
+from ..session import checkpoint, release, ship_package
 from .common import Powers, chunks, find_words, hex_sha256, range_hash, text_of, utf8
 
 WINDOW = 13
 # windows of one broadcast block; a larger benchmark is scanned for block by block
 BLOCK_WINDOWS = 1_000_000
+# an item is dealt to blocks in stretches of a block's windows by this
+STRETCHES = 16
 _BYTES, _WORDS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
 _SIFT_BITS = 22
 
@@ -96,6 +98,24 @@ class Index:
                     yield r, i, w, items
 
 
+def _stretches(width: int, most: int):
+    """(i, t, n): items as stretches of their words with ``most`` windows each, so that no item fills a block."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                t = read(*utf8(pa.array([text.as_py()], pa.large_string())))
+                words = [t.word(k) for k in range(len(t.start))]
+                for a in range(0, max(len(words) - width + 1, min(len(words), 1)), most):
+                    own = words[a : a + most + width - 1]
+                    out.append((i, b" ".join(own).decode("utf-8"), max(len(own) - width + 1, 1)))
+            i, t, n = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.string()), pa.array(t, pa.string()), pa.array(n, pa.int64())], ["i", "t", "n"])
+
+    return run
+
+
 def _scan(index, text_at: int, names: list[str]):
     """Add to every row the word ranges hit by this block and its items.
 
@@ -140,23 +160,30 @@ def _joined(ranges: list[int]) -> list[int]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, hit_ranges (array of word ranges, flat) and hit_items. No shuffle.
+    """``docs`` with n_words, hit_ranges (array of word ranges, flat) and hit_items. No shuffle of ``docs``.
 
-    The benchmark's size is counted first. Up to BLOCK_WINDOWS windows are broadcast at once; a larger one is dealt
-    into that many blocks by hash, and the corpus is scanned once for each block.
+    The benchmark's windows are counted first. Up to BLOCK_WINDOWS are broadcast at once; a larger one is cut into
+    stretches that are dealt into blocks by hash. The corpus is scanned once for each block, what was found is
+    written in between, and the block's broadcast is given up before the next is made.
     """
     spark = docs.sparkSession
     ship_package(spark)
     bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), text_of(item_text).alias("t"))
-    total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = int(total // (2 * BLOCK_WINDOWS)) + 1  # a word and what parts it from the next are two characters at least
+    bench = checkpoint(bench.mapInArrow(_stretches(width, max(1, BLOCK_WINDOWS // STRETCHES)), "i string, t string, n bigint"))
+    total = bench.agg(F.sum("n")).first()[0] or 0
+    blocks = 1 if total <= BLOCK_WINDOWS else int(2 * total // BLOCK_WINDOWS) + 1  # half full on average
     out = docs.drop("n_words", "hit_ranges", "hit_items")
     plain = out.columns
     out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hit_ranges"), F.array().cast("array<string>").alias("hit_items"))
     for k in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()
+        rows = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).select("i", "t").collect()
         index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], width))
-        out = out.mapInArrow(_scan(index, plain.index(text), out.columns), out.schema)
+        found = out.mapInArrow(_scan(index, plain.index(text), out.columns), out.schema)
+        if blocks > 1:
+            found = checkpoint(found)
+            index.destroy()
+            release(out)
+        out = found
     return out
 
 
@@ -176,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", sha
     any occurrence of a window is hit; ``contaminated`` if ``share`` times the hit words reach the
     number of words. Hash hits are verified word by word.
 
-    Null or empty texts have no words and are never contaminated; null item ids are named
+    Null or empty texts have no words and are never contaminated; texts of any length are scanned whole; null item ids are named
     "null"; items with one id count once; an empty benchmark hits nothing. Further columns are ignored.
     """
     text = how.get("text", "text")

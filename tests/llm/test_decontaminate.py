@@ -68,6 +68,33 @@ def test_equals_every_window_tried(spark, monkeypatch, block):
     assert bad
 
 
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    """A long item is spread over blocks too, and each block's broadcast is given up before the next."""
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", 400)
+    rng = random.Random(9)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1000))
+    held, sizes = [], []
+    real = spark.sparkContext.broadcast
+
+    def broadcast(value):
+        made = real(value)
+        if isinstance(value, D.Index):
+            assert not held, "a block is held while the next is made"
+            held.append(made)
+            sizes.append(sum(len(keys) for keys, _, _ in value.widths.values()))
+            destroy = made.destroy
+            made.destroy = lambda *a: (held.remove(made), destroy(*a))
+        return made
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    words = item.split()
+    docs = [(1, "start " + " ".join(words[100:160])), (2, "start " + " ".join(words[500:512])), (3, item), (4, "nothing")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (1, item), (2, "nothing else")], "item_id long, text string")
+    assert rows(D.contamination(d, b)) == expected(docs, [(1, item), (1, item), (2, "nothing else")])
+    assert len(sizes) >= 5 and max(sizes) <= 400 and sum(sizes) == 989
+
+
 def test_spans_are_cut(spark):
     passage = "One two three four five six seven eight nine ten eleven twelve thirteen"
     d = spark.createDataFrame([(1, f"Before, {passage.upper()}! After."), (2, "Nothing here."), (3, None)], "doc_id long, text string")
