@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import scan as S
 from ..functions import scalar as N
 from .aggregates import rollup_totals
 
 SECTION = ["doc", "clef", "line"]
+METRICS = ["n_events", "events_ok", "n_notes", "pitch_ok", "duration_ok"]
 
 
 def zip_measures(truth: DataFrame, found: DataFrame, sections: DataFrame | None = None) -> DataFrame:
@@ -32,37 +33,55 @@ def zip_measures(truth: DataFrame, found: DataFrame, sections: DataFrame | None
     return d.select(*SECTION, "measure_no", gt.alias("gt"), F.coalesce("out", F.lit("")).alias("out"))
 
 
-def event_scores(z: DataFrame) -> DataFrame:
-    """One row per event position of a measure (one row for a measure without events).
+def _read(text) -> Column:
+    """Events of a measure as array of (text, notes, duration)."""
+    one = lambda e: F.struct(e.alias("text"), N.split_event(e).alias("own"))
+    return F.transform(N.tokenize_events(text), one).cast("array<struct<text:string,own:struct<notes:array<string>,duration:string>>>")
+
+
+def _compared(gt: Column, out: Column) -> Column:
+    """Sums over the events of a measure by position, and over their notes by position inside the event.
 
-    Events are compared by position, and their notes by position inside the event; the
-    first row of a measure carries the measure's own comparison.
+    Only positions both sides have can be right, and those past an end compare to null.
     """
-    pairs = F.arrays_zip(N.tokenize_events("gt").alias("g"), N.tokenize_events("out").alias("o"))
-    # texts are compared once and stay behind
-    d = z.select(*SECTION, (F.col("gt") == F.col("out")).alias("same"), F.posexplode_outer(pairs).alias("i", "p"))
-    g, o = F.coalesce("p.g", F.lit("")), F.coalesce("p.o", F.lit(""))
-    d = d.select(*SECTION, (F.coalesce("i", F.lit(0)) == 0).alias("first"), "same", F.col("i").isNotNull().alias("real"),
-                 g.alias("g"), o.alias("o"))
-    d = d.withColumns({"gs": N.split_event("g"), "os": N.split_event("o")})
-    # only positions both sides have can be right, and those past an end compare to null
-    hits = F.size(F.filter(F.arrays_zip(F.col("gs.notes").alias("a"), F.col("os.notes").alias("b")), lambda v: F.coalesce(v["a"] == v["b"], F.lit(False))))
-    real = F.col("real")
-    return d.select(
-        *SECTION, "first", (F.col("first") & F.col("same")).alias("measure_ok"), real.cast("int").alias("n_events"),
-        (real & (F.col("g") == F.col("o"))).cast("int").alias("events_ok"), F.greatest(F.size("gs.notes"), F.size("os.notes")).alias("n_notes"),
-        hits.alias("pitch_ok"),
-        ((F.col("gs.duration") == F.col("os.duration")) & (F.col("g") != "") & (F.col("o") != "")).cast("int").alias("duration_ok"))
 
+    def pair(a: Column, b: Column) -> Column:
+        notes = F.zip_with(a["own"]["notes"], b["own"]["notes"], lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+        hits = F.coalesce(F.aggregate(notes, F.lit(0), lambda n, v: n + v), F.lit(0))
+        size = lambda e: F.coalesce(F.size(e["own"]["notes"]), F.lit(0))
+        yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+        return F.struct(
+            F.lit(1).alias("n_events"), yes(a["text"] == b["text"]).alias("events_ok"), F.greatest(size(a), size(b), F.lit(0)).alias("n_notes"),
+            hits.alias("pitch_ok"), yes(a["own"]["duration"] == b["own"]["duration"]).alias("duration_ok"))
 
-METRICS = ["n_events", "events_ok", "n_notes", "pitch_ok", "duration_ok"]
+    zero = F.struct(*[F.lit(0).alias(m) for m in METRICS])
+    add = lambda t, v: F.struct(*[(t[m] + v[m]).alias(m) for m in METRICS])
+    return F.aggregate(F.zip_with(gt, out, pair), zero, add)
+
+
+def _right(gt: Column) -> Column:
+    """What ``_compared`` gives of a measure and itself."""
+    notes = F.aggregate(gt, F.lit(0), lambda n, e: n + F.size(e["own"]["notes"]))
+    n = F.size(gt)
+    return F.struct(n.alias("n_events"), n.alias("events_ok"), notes.alias("n_notes"), notes.alias("pitch_ok"), n.alias("duration_ok"))
+
+
+def measure_scores(z: DataFrame) -> DataFrame:
+    """One row per measure: whether it is right as a whole, and METRICS over its events.
+
+    Each text is read once; where both sides are the same, only one of them.
+    """
+    d = z.select(*SECTION, (F.col("gt") == F.col("out")).alias("same"), "gt", "out")
+    read = d.select(*SECTION, "same", _read("gt").alias("g"), F.when(~F.col("same"), _read("out")).alias("o"))
+    sums = F.when(F.col("same"), _right(F.col("g"))).otherwise(_compared(F.col("g"), F.col("o")))
+    return read.select(*SECTION, "same", sums.alias("s")).select(*SECTION, "same", "s.*")
 
 
 def accuracy_metrics(truth, found, sections=None) -> DataFrame:
     """Totals per section."""
-    s = event_scores(zip_measures(truth, found, sections))
+    s = measure_scores(zip_measures(truth, found, sections))
     return s.groupBy(*SECTION).agg(
-        F.count_if("first").alias("n_measures"), F.count_if("measure_ok").alias("measures_ok"), *[F.sum(m).alias(m) for m in METRICS])
+        F.count(F.lit(1)).alias("n_measures"), F.count_if("same").alias("measures_ok"), *[F.sum(m).alias(m) for m in METRICS])
 
 
 def diff_rows(truth, found, sections=None) -> DataFrame:

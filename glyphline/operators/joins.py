@@ -71,15 +71,31 @@ def range_nearest(df, pairs: DataFrame, keys, y, dy, row_id) -> DataFrame:
     return j.groupBy(*keys, row_id).agg(best.alias("b")).select(*keys, row_id, "b.*")
 
 
-def box_anti(df, boxes: DataFrame, keys, x, y, margin, cell: float) -> DataFrame:
-    """Drop rows inside any box (x1, y1, x2, y2) grown by ``margin``."""
-    b = boxes.select(*keys, *[(F.col(c) + s * F.lit(margin)).alias(f"__{c}") for c, s in (("x1", -1), ("y1", -1), ("x2", 1), ("y2", 1))])
-    b = b.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__x1") / cell), F.floor(F.col("__x2") / cell))))
-    rows = df.withColumn("__cell", F.floor(_c(x) / cell))
-    cond = [rows[k] == b[k] for k in keys] + [
-        rows["__cell"] == b["__cell"],
-        rows[x].between(b["__x1"], b["__x2"]), rows[y].between(b["__y1"], b["__y2"])]
-    return rows.join(b, cond, "left_anti").drop("__cell")
+def box_anti(df, boxes: DataFrame, keys, x, y, margin) -> DataFrame:
+    """Drop rows inside any box (x1, y1, x2, y2) grown by ``margin``.
+
+    A box of any size is in four cells at most of a grid with cells at least as wide and high as it: cell sides are powers
+    of four, for each direction by itself. Rows are looked up once for each pair of sides that some box has (their number
+    grows with the logarithm of the sizes, and is counted first). Boxes that are empty or have a null drop nothing; a row
+    with a null place stays.
+    """
+    grown = [(F.col(c) + s * F.lit(margin)).cast("double").alias(f"__{c}") for c, s in (("x1", -1), ("y1", -1), ("x2", 1), ("y2", 1))]
+    b = boxes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *grown)
+    b = b.filter((F.col("__x2") >= F.col("__x1")) & (F.col("__y2") >= F.col("__y1")))
+    level = lambda lo, hi: F.ceil(F.log2(F.greatest(F.col(hi) - F.col(lo), F.lit(1e-6))) / 2).cast("int")
+    b = b.withColumns({"__lx": level("__x1", "__x2"), "__ly": level("__y1", "__y2")})
+    sides = sorted(tuple(r) for r in b.select("__lx", "__ly").distinct().collect())
+    for lx, ly in sides:
+        wide, high = 4.0**lx, 4.0**ly
+        span = lambda lo, hi, side: F.explode(F.sequence(F.floor(F.col(lo) / side).cast("long"), F.floor(F.col(hi) / side).cast("long")))
+        cover = b.filter((F.col("__lx") == lx) & (F.col("__ly") == ly)).withColumn("__bx", span("__x1", "__x2", wide)).withColumn("__by", span("__y1", "__y2", high))
+        rows = df.withColumns({"__cx": F.floor(_c(x) / wide).cast("long"), "__cy": F.floor(_c(y) / high).cast("long"), "__px": _c(x).cast("double"), "__py": _c(y).cast("double")})
+        cond = (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by"))
+        for k in keys:
+            cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+        inside = F.col("__px").between(F.col("__x1"), F.col("__x2")) & F.col("__py").between(F.col("__y1"), F.col("__y2"))
+        df = rows.join(cover, cond & inside, "left_anti").drop("__cx", "__cy", "__px", "__py")
+    return df
 
 
 def proximity_anti(df, points, keys, x, at, tie, tol) -> DataFrame:

@@ -48,7 +48,15 @@ def box_anti(spark, sf):
     boxes = ev(spark, sf, "error").select("k", (F.col("x") - 2).alias("x1"), (F.col("x") + 2).alias("x2"),
                                           (F.col("y") - 10).alias("y1"), (F.col("y") + 10).alias("y2"))
     rows = ev(spark, sf).filter("typ <> 'error'")
-    return J.box_anti(rows, boxes, ["k"], "x", "y", 0.5, 8.0).select("id", "k")
+    return J.box_anti(rows, boxes, ["k"], "x", "y", 0.5).select("id", "k")
+
+
+@query("box_anti_sizes", f"""WITH {EV}, b AS (SELECT k, x - y / 5 AS x1, x + y AS x2, y - id % 9 AS y1, y + id % 40 AS y2 FROM ev WHERE typ = 'error')
+ SELECT id, k FROM ev WHERE typ <> 'error' AND NOT EXISTS (SELECT 1 FROM b WHERE b.k = ev.k AND ev.x BETWEEN x1 AND x2 AND ev.y BETWEEN y1 AND y2)""")
+def box_anti_sizes(spark, sf):
+    i = F.col("id")
+    boxes = ev(spark, sf, "error").select("k", (F.col("x") - F.col("y") / 5).alias("x1"), (F.col("x") + F.col("y")).alias("x2"), (F.col("y") - i % 9).alias("y1"), (F.col("y") + i % 40).alias("y2"))
+    return J.box_anti(ev(spark, sf).filter("typ <> 'error'"), boxes, ["k"], "x", "y", 0.0).select("id", "k")
 
 
 @query("proximity_anti", f"""WITH {EV} SELECT id, k FROM ev v WHERE typ = 'view'

@@ -209,3 +209,22 @@ def test_empty_tables(spark):
     assert R.run_components(none, ["page"]).collect() == []
     boxes = spark.createDataFrame([("p", 1, 0, 0, 5, 5)], "page string, id int, x1 int, y1 int, x2 int, y2 int")
     assert R.box_ink(none, boxes, ["page"], "id").collect()[0].ink == 0
+
+
+def test_rows_in_boxes_from_a_point_to_a_page(spark):
+    from pyspark.sql import functions as F
+
+    from glyphline.operators import joins as J
+
+    rng = np.random.default_rng(8)
+    points = [("p", i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.integers(0, 400, 600), rng.integers(0, 900, 600)))] + [("q", 900, 5.0, 5.0), ("p", 901, None, 5.0), (None, 902, 5.0, 5.0)]
+    boxes = [("p", float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in zip(rng.integers(0, 400, 40), rng.integers(0, 900, 40), rng.choice([0, 1, 7, 60], 40), rng.choice([0, 3, 20, 200], 40))]
+    boxes += [("q", 0.0, 0.0, 1e5, 1e5), ("p", 9.0, 9.0, 1.0, 1.0), ("p", None, 1.0, 2.0, 3.0), ("p", 0.0, 500.0, 400.0, 504.0)]
+    df = spark.createDataFrame(points, "k string, id int, x double, y double")
+    bx = spark.createDataFrame(boxes, "k string, x1 double, y1 double, x2 double, y2 double")
+    inside = lambda p, b: p[0] == b[0] and None not in b and p[2] is not None and b[1] - 1 <= p[2] <= b[3] + 1 and b[2] - 1 <= p[3] <= b[4] + 1
+    got = sorted(r.id for r in J.box_anti(df, bx, ["k"], "x", "y", 1.0).collect())
+    assert got == sorted(p[1] for p in points if not any(inside(p, b) for b in boxes))
+    # a page-wide box is a few cells, however many rows there are
+    plan = J.box_anti(spark.range(100_000).select(F.lit("p").alias("k"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")), bx.filter("x2 = 1e5"), ["k"], "x", "y", 0.0)
+    assert plan.count() == 100_000
