@@ -25,6 +25,7 @@ BASE = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
 # code points looked at on either side of a match
 NEAR = 40
+STEPS = 256  # items walked before their results are put away
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,52 @@ _CHECK = {"email": lambda m: F.lit(True), "ip": _valid_ip, "card": _valid_card,
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
+def walk(items: Column, seed: Column, state: str, step, out: str) -> Column:
+    """What ``step(state, item) -> (state, struct)`` gives for each item of an array in order.
+
+    An array that grows by one is copied by each step, so items are walked in blocks whose results are then joined:
+    the work grows with the items, not with their square. ``state`` and ``out`` are the types of the state and of
+    the fields of a result.
+    """
+
+    def pieces(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(STEPS)), lambda i: F.slice(all_, i + 1, STEPS))
+
+    def one(acc: Column, item: Column) -> Column:
+        now, found = step(acc["s"], item)
+        return F.struct(now.alias("s"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+    def block(acc: Column, piece: Column) -> Column:
+        own = F.aggregate(piece, F.struct(acc["s"].alias("s"), F.array().cast(f"array<struct<{out}>>").alias("out")), one)
+        return let(own, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(seed.cast(state).alias("s"), F.array().cast(f"array<array<struct<{out}>>>").alias("out"))
+    return F.flatten(F.aggregate(let(items, pieces), start, block)["out"])
+
+
+def _apart(extra: Column, base: Column) -> Column:
+    """The spans of ``extra`` that overlap none of ``base``: two walks along both in order, one from either end."""
+    fields = "start:int,rank:int,end:int,kind:string,score:double"
+    item = f"start:int,more:int,end:int,own:struct<{fields}>"
+    tag = lambda more: lambda s: F.struct(s["start"].alias("start"), F.lit(more).alias("more"), s["end"].alias("end"), s.alias("own"))
+    both = F.array_sort(F.concat(F.transform(base, tag(0)), F.transform(extra, tag(1))).cast(f"array<struct<{item}>>"))
+
+    def onward(reach: Column, s: Column) -> tuple[Column, Column]:
+        hit = (s["more"] == 1) & (reach > s["start"])
+        now = F.when(s["more"] == 0, F.greatest(reach, s["end"])).otherwise(reach)
+        return now, F.struct(s["start"].alias("start"), s["more"].alias("more"), s["end"].alias("end"), F.when(~hit, s["own"]).alias("own"))
+
+    def back(begin: Column, s: Column) -> tuple[Column, Column]:
+        hit = (s["more"] == 1) & (begin < s["end"])
+        now = F.when(s["more"] == 0, s["start"]).otherwise(begin)
+        return now, F.struct(s["start"].alias("start"), s["more"].alias("more"), s["end"].alias("end"), F.when(~hit, s["own"]).alias("own"))
+
+    ahead = let(both, lambda b: walk(b, F.lit(-1), "int", onward, item))
+    seen = let(ahead, lambda b: let(F.reverse(b), lambda r: walk(r, F.lit(2147483647), "int", back, item)))
+    free = F.filter(seen, lambda s: (s["more"] == 1) & s["own"].isNotNull())
+    return F.transform(free, lambda s: s["own"]).cast(_SPAN)
+
+
 def _proposed(text: Column, kind: str, pattern: str, gate: Column, rank: int, keep) -> Column:
     """Spans of the matches of ``pattern`` for which ``keep(text, match, start)`` gives a score, in order.
 
@@ -99,18 +146,13 @@ def _proposed(text: Column, kind: str, pattern: str, gate: Column, rank: int, ke
 
     def located(between: Column) -> Column:
         def body(matches: Column) -> Column:
-            step = F.zip_with(between, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-            seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out"))
-            walked = F.aggregate(
-                step,
-                seed,
-                lambda acc, z: F.struct(
-                    (acc["at"] + F.length(z["p"]) + F.coalesce(F.length(z["m"]), F.lit(0))).alias("at"),
-                    F.when(z["m"].isNotNull(), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(z["p"])).alias("start"), z["m"].alias("m")))))
-                    .otherwise(acc["out"])
-                    .alias("out"),
-                ),
-            )["out"]
+            pairs = F.zip_with(between, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+
+            def step(at: Column, z: Column) -> tuple[Column, Column]:
+                start = at + F.length(z["p"])
+                return start + F.coalesce(F.length(z["m"]), F.lit(0)), F.struct(start.alias("start"), z["m"].alias("m"))
+
+            walked = F.filter(walk(pairs, F.lit(0), "int", step, "start:int,m:string"), lambda w: w["m"].isNotNull())
             scored = F.transform(
                 walked,
                 lambda w: F.struct(
@@ -174,18 +216,18 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     cards and phones standing in runs of digits that failed as a whole, account codes, national phone numbers,
     secrets. Added spans that overlap a base span are left out; base spans always stay. One pass, no shuffle.
 
-    Null or empty text: no spans. Columns named ``base_spans`` or ``spans`` are replaced.
+    Null or empty text: no spans. Texts of any length are read whole, in time that grows with them and their matches. Columns
+    named ``base_spans`` or ``spans`` are replaced.
     """
     base = docs.withColumn("base_spans", _base(text_of(text)))
-    more = let(
-        _extra(text_of(text)),
-        lambda extra: F.filter(extra, lambda e: ~F.exists(F.col("base_spans"), lambda b: (e["start"] < b["end"]) & (b["start"] < e["end"]))),
-    )
+    none = F.array().cast(_SPAN)
+    found = F.col("base_spans")
+    more = let(_extra(text_of(text)), lambda extra: F.when(F.size(extra) == 0, none).when(F.size(found) == 0, extra).otherwise(_apart(extra, found)))
     return base.withColumn("spans", F.array_sort(F.concat("base_spans", more)))
 
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; see ``find_pii``."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; see ``find_pii``. Null or repeated ids: rows of their own."""
     found = find_pii(docs.select(id, text), text)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
@@ -195,26 +237,35 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``[KIND]``; overlapping spans are replaced as one, named by the first.
 
-    Null texts stay null. Other columns stay as they are.
+    Null texts stay null; every row stays, repeated ones too. Other columns stay as they are.
     """
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     at = f"c{docs.columns.index(text)}"
     found = find_pii(held, at)
-    seed = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    span = "start:int,end:int,kind:string"
+    part = lambda s, end: F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"))
+
+    def widen(open_: Column, s: Column) -> tuple[Column, Column]:
+        meets = open_["end"] > s["start"]
+        now = F.when(meets, part(open_, F.greatest(open_["end"], s["end"]))).otherwise(part(s, s["end"])).cast(f"struct<{span}>")
+        return now, F.when(~meets, open_).cast(f"struct<{span}>")
 
-    def widen(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        both = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind")))
-        meets = F.when(F.size(acc) > 0, last["end"] > s["start"]).otherwise(F.lit(False))
-        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), both)).otherwise(F.concat(acc, own))
+    # a span past the end closes the last one
+    nothing = F.lit(None).cast("string")
+    last = F.array(F.struct(F.lit(2147483647).alias("start"), F.lit(0).alias("rank"), F.lit(2147483647).alias("end"), nothing.alias("kind"), F.lit(0.0).alias("score")))
+    before = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), nothing.alias("kind"))
+    walked = let(F.concat("spans", last.cast(_SPAN)), lambda x: walk(x, before, f"struct<{span}>", widen, span))
+    merged = F.filter(walked, lambda s: s.isNotNull() & (s["start"] >= 0))
 
-    merged = F.aggregate("spans", seed, widen)
+    # places in a text of single bytes are found at once, in others by counting characters from its start
+    single = F.octet_length(at) == F.length(at)
 
     def rebuilt(spans: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
         ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(at)))
-        plain = F.zip_with(starts, ends, lambda a, b: F.substring(F.col(at), a + 1, b - a))
+        by_byte = lambda raw: F.zip_with(starts, ends, lambda a, b: F.substring(raw, a + 1, b - a).cast("string"))
+        by_character = F.zip_with(starts, ends, lambda a, b: F.substring(F.col(at), a + 1, b - a))
+        plain = F.when(single, let(F.col(at).cast("binary"), by_byte)).otherwise(by_character)
         marks = F.concat(F.transform(spans, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
         return F.array_join(F.zip_with(plain, marks, lambda a, b: F.concat(a, b)), "")
 

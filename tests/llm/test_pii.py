@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from glyphline.llm import pii
 
@@ -69,6 +70,38 @@ def test_added_spans_and_redaction(spark):
     assert clean[8] == "mail [EMAIL], ip [IP]" and clean[5] == "[PHONE] [CARD]" and clean[9] is None and clean[7] == cases[7][0]
 
 
+def test_many_matches_in_one_text(spark):
+    """The time grows with the matches: thirty thousand addresses, and spans of all kinds around them."""
+    mails = " ".join(f"u{i}@example.org" for i in range(30_000))
+    mixed = " ".join(f"1.2.3.{i % 256} tel 555-123-{i % 9000 + 1000} a{i}@b.co, DE89 3704 0044 0532 0130 00" for i in range(500))
+    df = spark.createDataFrame([(1, mails), (2, mixed), (None, "a@b.c"), (None, "a@b.c")], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert time.time() - begun < 90
+    assert got[1].n_email == 30_000 and tuple(got[2])[1:6] == expected(mixed)[0]
+    assert clean[1] == " ".join(["[EMAIL]"] * 30_000) and clean[None] == "[EMAIL]"
+    assert clean[2] == " ".join(["[IP] tel [PHONE] [EMAIL], [IBAN]"] * 500)
+
+
+def overlapping(a, b):
+    return a[0] < b[2] and b[0] < a[2]
+
+
+def test_added_spans_against_brute_force(spark):
+    """Spans drawn at random: those kept are the ones that overlap no base span; merged ones cover the same places."""
+    rng = random.Random(6)
+    span = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+    rows = []
+    for i in range(60):
+        draw = lambda n: sorted((a, 0, a + rng.randint(1, 9), "k", 1.0) for a in (rng.randrange(900) for _ in range(n)))
+        rows.append((i, draw(rng.choice([1, 5, 700])), draw(rng.choice([1, 5, 700]))))
+    df = spark.createDataFrame(rows, f"id int, base {span}, extra {span}")
+    got = {r.id: sorted(map(tuple, r.free)) for r in df.select("id", pii._apart(df["extra"], df["base"]).alias("free")).collect()}
+    for i, base, extra in rows:
+        assert got[i] == sorted(e for e in extra if not any(overlapping(e, b) for b in base))
+
+
 def test_empty_table_and_clashing_names(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(none).collect() == []
