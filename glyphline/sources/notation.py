@@ -163,3 +163,25 @@ def write_lines(df: DataFrame, key: str, order: list[str], path: str, text: str
     """
     laid = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     laid.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, n, line) of what ``write_lines`` wrote by ``doc``: lines in order across the files of a document.
+
+    Files are read whole, one task each or several; blank lines keep their place.
+    """
+    t = spark.read.option("basePath", path).text(f"{path}/doc=*", wholetext=True)
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n", -1)
+    t = t.select(F.col("doc").cast("string").alias("doc"), file.alias("file"), F.posexplode(lines).alias("i", "line"))
+    return t.select("doc", (F.shiftleft("file", 32) + F.col("i")).alias("n"), "line")
+
+
+def write_notation(measures: DataFrame, path: str) -> None:
+    """Measures as notation files, a folder of files for each document; ``read_notation`` gives them back."""
+    write_lines(notation_lines(measures), "doc", ["block", "line", "part", "measure_no", "text"], path)
+
+
+def read_notation(spark: SparkSession, path: str) -> DataFrame:
+    """The measures of files that ``write_notation`` wrote."""
+    return read_output(read_documents(spark, path))

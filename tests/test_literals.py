@@ -314,3 +314,19 @@ def test_reports_are_text_files_by_score(spark, tmp_path):
     for name, want in (("one", rows), ("two", rows[:5])):
         files = list((tmp_path / "text" / f"score={name}").glob("*.txt"))
         assert len(files) == 1 and files[0].read_text().split("\n")[:-1] == [r[-1] for r in want]
+
+
+def test_notation_files_are_read_back_as_written(spark, tmp_path):
+    """Read, write, read: a grand and a single staff, a labelled file first, then what was written of it."""
+    grand = [(c, line, no, f"{line} {no}' [1 3]/2 {c[0]}") for c in ("treble", "bass") for line in (1, 2, 11) for no in range(1, 13)]
+    solo = [("solo", line, no, f"5, 0/4 {no}") for line in range(1, 30) for no in range(1, 4)]
+    rows = [("g", *r) for r in grand] + [("s", *r) for r in solo]
+    df = spark.createDataFrame(rows, "doc string, clef string, line int, measure_no int, text string")
+    T.write_notation(df.repartition(5), str(tmp_path / "a"))
+    got = T.read_notation(spark, str(tmp_path / "a"))
+    assert sorted(map(tuple, got.select(*df.columns).collect())) == sorted(rows)
+    (tmp_path / "labelled.md").write_text("line 1:\n|1 2|3-|\n|空两拍|\n--- 第3行 ---\n|5/2 6|\n", encoding="utf-8")
+    truth = T.read_truth(T.read_lines(spark, str(tmp_path / "labelled.md"))).withColumn("doc", F.lit("t"))
+    T.write_notation(truth, str(tmp_path / "b"))
+    again = T.read_notation(spark, str(tmp_path / "b"))
+    assert sorted(map(tuple, again.select(*truth.columns).collect())) == sorted(map(tuple, truth.collect())) and truth.count() >= 4
