@@ -1,12 +1,12 @@
-"""Group aggregates. All combine on the map side; medians and ordered text go through scans
-when a group is oversized, so no task holds such a group."""
+"""Group aggregates. All combine on the map side; medians come from ranks, and ordered text of groups without a
+bound are rows, so no task holds such a group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scan as S
-from ..core.skew import find_split, probe_once
+from ..core.skew import probe_once
 from ..functions import scalar as N
 
 LOW_CONFIDENCE = 0.75
@@ -55,15 +55,9 @@ def mode_first_seen(df, keys, value, order, name="mode") -> DataFrame:
 @probe_once
 def group_median(df, keys, value, tie, upper: bool, name="median") -> DataFrame:
     """Median per group of the non-null values: the mean of the middle two, or with
-    ``upper`` the element at n // 2 of the sorted values."""
-    d = df.filter(_c(value).isNotNull()).withColumn("__v", _c(value).cast("double"))
-    split = find_split(d, keys, ["__v", tie])
-    if split is None:
-        if upper:
-            arr = F.array_sort(F.collect_list("__v"))
-            return d.groupBy(*keys).agg(F.get(arr, F.floor(F.size(arr) / 2).cast("int")).alias(name))
-        return d.groupBy(*keys).agg(F.median("__v").alias(name))
-    r = S.scan(d, keys, ["__v", tie], split, __r=S.row_number(), __n=S.total("count", F.lit(1)))
+    ``upper`` the element at n // 2 of the sorted values. From ranks: no group's values are gathered."""
+    d = df.filter(_c(value).isNotNull()).select(*keys, _c(value).cast("double").alias("__v"), F.col(tie).alias("__tie"))
+    r = S.scan(d, keys, ["__v", "__tie"], __r=S.row_number(), __n=S.total("count", F.lit(1)))
     high = F.floor(F.col("__n") / 2) + 1
     low = high if upper else F.floor((F.col("__n") + 1) / 2)
     return r.filter(F.col("__r").between(low, high)).groupBy(*keys).agg(F.avg("__v").alias(name))
