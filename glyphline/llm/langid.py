@@ -244,7 +244,9 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
 
     Every byte of every word is labelled; a document's probability of a language is the geometric mean over all its
     positions, scaled to sum 1, and score is the largest. A text that is null or has no letter, or a
-    network that is None, gives ``und`` and score 0.
+    network that is None, gives ``und`` and score 0. Of equally likely languages the first in the network's order wins. Texts of
+    any length are read whole. Sums are of 32-bit numbers whose order follows the partitioning, so the last digits of a
+    score may differ from run to run.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -96,7 +96,8 @@ def mix(
     take ``weights`` and ``schedules`` in turn.
 
     A stream is summed in stretches, so no task holds a source. Reruns agree. Null text: size 0, never
-    taken. Null or repeated ids: rows of their own. Carried columns with a result's name are left out.
+    taken. Texts of any length are counted whole. Null or repeated ids: rows of their own, equal ones next to each other in
+    the stream. Carried columns with a result's name are left out.
     An empty table gives an empty result. Sources number fewer rows than one task sorts with ease.
     """
     results = [id, source, "size", "source_size", "target", "taken", "positions", "position"]

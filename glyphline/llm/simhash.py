@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     reachable over links.
 
     Null and empty texts have fingerprint zero, linked like any other. A short text is one
-    shingle. Rows of one id with several texts are rows of their own. Null ids are reported
+    shingle; one of any length is read whole, a slice of its shingles at a time. Rows of one id with several texts and
+    repeated rows are rows of their own. Null ids are reported
     but name no component unless it has no other id. An empty table gives an empty result. Further columns are ignored.
     """
     rows = checkpoint(fingerprints(docs.select(id, text), id, text, width).withColumnRenamed(id, "id"))
