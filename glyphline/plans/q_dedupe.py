@@ -249,9 +249,9 @@ def group_summary(spark, sf):
     return out.withColumns({"x": F.round("x", 4), "stem_x": F.round(F.col("stem_x").cast("double"), 4)})
 
 
-# staves: one per order line, tops and bottoms from the line's running position
+# staves: one per order line, tops and bottoms from the line's running position; tops are rounded as decimals, half up
 _STAFF = """st AS (SELECT l_orderkey AS k, pos, top, top + 4.0 AS bottom FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey) AS pos,
- round(l_extendedprice / 500, 2) AS top FROM lineitem))"""
+ round(CAST(l_extendedprice / 500 AS DECIMAL(18, 5)), 2)::DOUBLE AS top FROM lineitem))"""
 
 
 def _staves(spark, sf):
