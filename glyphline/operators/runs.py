@@ -263,46 +263,75 @@ def _blocks(lo: Column, hi: Column) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def _places(rows, keys, at: list[str]) -> DataFrame:
+    """The distinct places of ``rows``: boxes at one place have one answer, which is found once."""
+    return rows.select(*keys, *[F.col(c).cast("long").alias(f"__{c}") for c in at]).distinct()
+
+
+def _at_places(rows, found, keys, at: list[str], kind="long") -> DataFrame:
+    """``rows`` with the further columns of ``found``, (keys, place, ...), where there is such a place."""
+    named = found.withColumnsRenamed({k: f"__k_{k}" for k in keys} | {f"__{c}": f"__found_{c}" for c in at})
+    same = [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(c).cast(kind) == F.col(f"__found_{c}") for c in at]
+    return rows.join(named, same, "left").drop(*[f"__k_{k}" for k in keys], *[f"__found_{c}" for c in at])
+
+
 def box_ink(runs, boxes, keys, box_id, x1="x1", y1="y1", x2="x2", y2="y2", name="ink") -> DataFrame:
     """``boxes`` with the ink in [x1, x2) x [y1, y2), in pixels. Runs of a row must not overlap (``merge_runs``).
 
     A prefix table over run ends: ink left of X in a block of rows is the sum, over run ends before X, of their distance
     to X, added where runs start and taken off where they end. Blocks are rows, and 8, 64, 512 of them; a box is
     two look-ups in each block it is made of. Runs and look-ups meet in one exchange on the block, and the table is one
-    running sum. Empty boxes have no ink. An id may stand on one box of a group of keys only.
+    running sum. Boxes at one place are looked up once. Empty boxes have no ink.
     """
+    at = [x1, y1, x2, y2]
+    found = _place_ink(runs, _places(boxes, keys, at).toDF(*keys, "x1", "y1", "x2", "y2"), keys, name)
+    found = found.toDF(*keys, *[f"__{c}" for c in at], name)
+    return _at_places(boxes, found, keys, at).withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def _place_ink(runs, places, keys, name="ink") -> DataFrame:
+    """(keys, x1, y1, x2, y2, ink) of distinct places that are not empty."""
+    at = ["x1", "y1", "x2", "y2"]
     ink = _inked(runs, keys)
     levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), _div("__line", BLOCK**n).alias("block")) for n in range(LEVELS)]))
     end = lambda x, s: F.struct(F.col(x).alias("at"), F.lit(s).alias("s"), (F.col(x) * s).alias("t"))
     ends = ink.select(*keys, levels.alias("l"), F.array(end("__lo", 1), end("__hi", -1)).alias("e"))
     ends = ends.select(*keys, "l.level", "l.block", F.explode("e").alias("e")).select(*keys, "level", "block", "e.at", "e.s", "e.t")
-    whole = [F.col(c).cast("long") for c in (x1, x2)]
-    asks = boxes.filter((F.col(x2) > F.col(x1)) & (F.col(y2) > F.col(y1)))
-    asks = asks.select(*keys, box_id, F.explode(_blocks(F.col(y1).cast("long"), F.col(y2).cast("long"))).alias("b"), F.explode(F.array(*[F.struct(x.alias("at"), F.lit(k).alias("by")) for x, k in zip(whole, (-1, 1))])).alias("q"))
-    asks = asks.select(*keys, box_id, "b.level", "b.block", "q.at", "q.by")
+    asks = places.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    asks = asks.select(*keys, F.struct(*at).alias("__place"), F.explode(_blocks(F.col("y1"), F.col("y2"))).alias("b"))
+    looks = F.explode(F.array(*[F.struct(F.col("__place")[x].alias("at"), F.lit(k).alias("by")) for x, k in (("x1", -1), ("x2", 1))]))
+    asks = asks.select(*keys, "__place", "b", looks.alias("q")).select(*keys, "__place", "b.level", "b.block", "q.at", "q.by")
     w = W.partitionBy(*keys, "level", "block").orderBy("at")
     seen = ends.unionByName(asks, allowMissingColumns=True).select("*", F.sum("s").over(w).alias("__s"), F.sum("t").over(w).alias("__t"))
     value = F.col("by") * (F.col("at") * F.coalesce("__s", F.lit(0)) - F.coalesce("__t", F.lit(0)))
-    found = seen.filter(F.col("by").isNotNull()).groupBy(*keys, box_id).agg(F.sum(value).alias(name))
-    return boxes.join(found, [*keys, box_id], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    found = seen.filter(F.col("by").isNotNull()).groupBy(*keys, "__place").agg(F.sum(value).alias(name))
+    return found.select(*keys, *[F.col("__place")[c].alias(c) for c in at], name)
 
 
 def bar_score(runs, bars, keys, bar_id, half_width: int = 2) -> DataFrame:
     """``bars`` with density and half_score of a vertical line at ``x`` from row ``top`` to ``bottom``.
 
     density: the fullest of the columns within ``half_width``; half_score: the lesser of the two halves' fullest
-    columns. A barline fills both halves of a staff, a stem only one.
+    columns. A barline fills both halves of a staff, a stem only one. Bars at one place are judged once, and a column's two
+    halves make up its whole.
     """
-    b = bars.select(*keys, bar_id, *[F.col(c).cast("long").alias(c) for c in ("x", "top", "bottom")])
-    middle = F.col("top") + _div(F.col("bottom") - F.col("top"), 2)
+    at = ["x", "top", "bottom"]
+    places = _places(bars, keys, at)
+    middle = F.col("__top") + _div(F.col("__bottom") - F.col("__top"), 2)
     part = lambda n, a, z: F.struct(F.lit(n).alias("half"), a.alias("y1"), z.alias("y2"))
-    halves = F.explode(F.array(part(0, F.col("top"), F.col("bottom")), part(1, F.col("top"), middle), part(2, middle, F.col("bottom"))))
-    strips = b.select(*keys, bar_id, F.explode(F.sequence(F.greatest(F.col("x") - half_width, F.lit(0)), F.col("x") + half_width)).alias("x1"), halves.alias("p"))
-    strips = strips.select(*keys, F.struct(F.col(bar_id).alias("id"), "x1", F.col("p.half").alias("half")).alias("__strip"), "x1", (F.col("x1") + 1).alias("x2"), "p.y1", "p.y2")
-    ink = box_ink(runs, strips, keys, "__strip").withColumn("fill", F.col("ink") / F.nullif(F.col("y2") - F.col("y1"), F.lit(0)))
-    most = lambda n: F.coalesce(F.max(F.when(F.col("__strip.half") == n, F.col("fill"))), F.lit(0.0))
-    found = ink.groupBy(*keys, F.col("__strip.id").alias(bar_id)).agg(most(0).alias("density"), F.least(most(1), most(2)).alias("half_score"))
-    return bars.join(found, [*keys, bar_id])
+    halves = F.explode(F.array(part(1, F.col("__top"), middle), part(2, middle, F.col("__bottom"))))
+    columns = F.explode(F.sequence(F.greatest(F.col("__x") - half_width, F.lit(0)), F.col("__x") + half_width))
+    strips = places.select(*keys, "__x", "__top", "__bottom", columns.alias("x1"), halves.alias("p"))
+    strips = strips.select(*keys, "__x", "__top", "__bottom", "x1", (F.col("x1") + 1).alias("x2"), "p.half", "p.y1", "p.y2")
+    ink = box_ink(runs, strips, keys, None)
+    of = lambda n: F.sum(F.when(F.col("half") == n, F.col("ink")))
+    rows = lambda n: F.max(F.when(F.col("half") == n, F.col("y2") - F.col("y1")))
+    column = ink.groupBy(*keys, "__x", "__top", "__bottom", "x1").agg(of(1).alias("i1"), of(2).alias("i2"), rows(1).alias("n1"), rows(2).alias("n2"))
+    most = lambda i, n: F.coalesce(F.max(i / F.nullif(n, F.lit(0))), F.lit(0.0))
+    up, down = most(F.col("i1"), F.col("n1")), most(F.col("i2"), F.col("n2"))
+    whole = most(F.col("i1") + F.col("i2"), F.col("n1") + F.col("n2"))
+    found = column.groupBy(*keys, "__x", "__top", "__bottom").agg(whole.alias("density"), F.least(up, down).alias("half_score"))
+    return _at_places(bars, found, keys, at).filter(F.col("density").isNotNull())
 
 
 def solid_boxes(runs, boxes, keys, box_id, least: float) -> DataFrame:
