@@ -225,18 +225,23 @@ def stab_count(runs, probes, keys, probe_id, lo="y0", hi="y1", least=1, most=Non
 
     ``probes``: keys, id, p0, p1; a run [lo, hi) of the same keys (a page's column, say) is crossed if it meets [p0, p1).
     What starts before p1 less what ends up to p0: one sweep counts starts and ends for all probes, and no pair is made.
+    Probes at one place are counted once.
     """
+    at = ["p0", "p1"]
+    places = probes.filter(F.col("p1") > F.col("p0")).select(*keys, *[F.col(c).cast("double").alias(c) for c in at]).distinct()
     size = F.col(hi) - F.col(lo)
     fits = (size >= least) & (F.lit(True) if most is None else size <= most) & (size > 0)
     mark = lambda at, side, of=None: F.struct(F.col(at).cast("double").alias("at"), F.lit(side).alias("side"))
-    ends = runs.filter(fits).select(*keys, F.explode(F.array(mark(lo, 3), mark(hi, 0))).alias("m"), F.lit(None).cast(probes.schema[probe_id].dataType).alias(probe_id))
-    asks = probes.filter(F.col("p1") > F.col("p0")).select(*keys, F.explode(F.array(mark("p0", 1), mark("p1", 2))).alias("m"), probe_id)
-    both = ends.unionByName(asks).select(*keys, probe_id, F.col("m.at").alias("__at"), F.col("m.side").alias("__side"), F.xxhash64(probe_id).alias("__t"))
+    place = lambda p0, p1: F.struct(F.col(p0).alias("p0"), F.col(p1).alias("p1")) if p0 else F.lit(None).cast("struct<p0:double,p1:double>")
+    ends = runs.filter(fits).select(*keys, F.explode(F.array(mark(lo, 3), mark(hi, 0))).alias("m"), place(None, None).alias("__place"))
+    asks = places.select(*keys, F.explode(F.array(mark("p0", 1), mark("p1", 2))).alias("m"), place(*at).alias("__place"))
+    both = ends.unionByName(asks).select(*keys, "__place", F.col("m.at").alias("__at"), F.col("m.side").alias("__side"), F.xxhash64("__place").alias("__t"))
     one = lambda side: F.when(F.col("__side") == side, 1).otherwise(0).cast("long")
     seen = S.scan(both, keys, ["__at", "__side", "__t"], __starts=S.run_sum(one(3)), __ends=S.run_sum(one(0)))
     value = F.when(F.col("__side") == 2, F.col("__starts")).otherwise(-F.col("__ends"))
-    count = seen.filter(F.col("__side").isin(1, 2)).groupBy(*keys, probe_id).agg(F.sum(value).alias(name))
-    return probes.join(count, [*keys, probe_id], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    count = seen.filter(F.col("__side").isin(1, 2)).groupBy(*keys, "__place").agg(F.sum(value).alias(name))
+    count = count.select(*keys, F.col("__place.p0").alias("__p0"), F.col("__place.p1").alias("__p1"), name)
+    return _at_places(probes, count, keys, at, "double").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def _at_level(numbers: Column, level: int) -> Column:
