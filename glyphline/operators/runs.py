@@ -351,23 +351,24 @@ def count_bands(runs, probes, keys, probe_id, share, least, most, hidden=None) -
     """``probes`` with bands: how many bands of rows, ``least`` to ``most`` rows thick, are inked over ``share`` of a box's width.
 
     ``probes``: keys, id, x1, y1, x2, y2 around a stem's tip; beams are such bands. ``hidden`` (keys, y) lists rows that
-    count as empty, those of staff lines. A box's rows are look-ups of one row each.
+    count as empty, those of staff lines. A box's rows are look-ups of one row each; boxes at one place are judged once.
     """
-    rows = probes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
-    rows = rows.select(*keys, F.col(probe_id), F.col("x1").cast("long").alias("x1"), F.col("x2").cast("long").alias("x2"), F.explode(F.sequence(F.col("y1").cast("long"), F.col("y2").cast("long") - 1)).alias("y1"))
-    rows = rows.withColumns({"y2": F.col("y1") + 1, "__row": F.struct(F.col(probe_id).alias("id"), F.col("y1").alias("y"))})
+    at = ["x1", "y1", "x2", "y2"]
+    places = _places(probes, keys, at).filter((F.col("__x2") > F.col("__x1")) & (F.col("__y2") > F.col("__y1")))
+    rows = places.select(*keys, *[f"__{c}" for c in at], F.col("__x1").alias("x1"), F.col("__x2").alias("x2"), F.explode(F.sequence(F.col("__y1"), F.col("__y2") - 1)).alias("y1"))
+    rows = rows.withColumn("y2", F.col("y1") + 1)
     if hidden is not None:
         dark = hidden.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col("y").cast("long").alias("__h_y")).distinct()
         same = F.col("y1") == F.col("__h_y")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
         rows = rows.join(dark, same, "left_anti")
-    full = box_ink(runs, rows.drop(probe_id), keys, "__row").filter(F.col("ink") > share * (F.col("x2") - F.col("x1")))
-    full = full.select(*keys, F.col("__row.id").alias(probe_id), F.col("__row.y").alias("y"))
-    w = W.partitionBy(*keys, probe_id).orderBy("y")
-    islands = full.withColumn("__i", F.col("y") - F.row_number().over(w)).groupBy(*keys, probe_id, "__i").agg(F.count(F.lit(1)).alias("__n"))
-    count = islands.filter(F.col("__n").between(least, most)).groupBy(*keys, probe_id).agg(F.count(F.lit(1)).alias("bands"))
-    return probes.join(count, [*keys, probe_id], "left").withColumn("bands", F.coalesce("bands", F.lit(0)))
+    full = box_ink(runs, rows, keys, None).filter(F.col("ink") > share * (F.col("x2") - F.col("x1"))).withColumnRenamed("y1", "y")
+    place = [*keys, *[f"__{c}" for c in at]]
+    w = W.partitionBy(*place).orderBy("y")
+    islands = full.withColumn("__i", F.col("y") - F.row_number().over(w)).groupBy(*place, "__i").agg(F.count(F.lit(1)).alias("__n"))
+    count = islands.filter(F.col("__n").between(least, most)).groupBy(*place).agg(F.count(F.lit(1)).alias("bands"))
+    return _at_places(probes, count, keys, at).withColumn("bands", F.coalesce("bands", F.lit(0)))
 
 
 def profile_peaks(profile, keys, near: float, half: int, y="y", value="ink", least=0.65, local=0.95, floor=0.25, weak=0.80) -> DataFrame:
