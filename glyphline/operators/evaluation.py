@@ -33,10 +33,34 @@ def zip_measures(truth: DataFrame, found: DataFrame, sections: DataFrame | None
     return d.select(*SECTION, "measure_no", gt.alias("gt"), F.coalesce("out", F.lit("")).alias("out"))
 
 
+EVENTS = "array<struct<text:string,own:struct<notes:array<string>,duration:string>>>"
+
+
+def _plain(text) -> Column:
+    """Without brackets, and without white space but for the space: each of its words is an event of one note at most."""
+    return ~F.rlike(text, F.lit(r"(?U)[\[\]\s" + N.WHITE + "&&[^ ]]"))
+
+
+def _words(text) -> Column:
+    return F.array_remove(F.split(text, " "), "")
+
+
 def _read(text) -> Column:
     """Events of a measure as array of (text, notes, duration)."""
     one = lambda e: F.struct(e.alias("text"), N.split_event(e).alias("own"))
-    return F.transform(N.tokenize_events(text), one).cast("array<struct<text:string,own:struct<notes:array<string>,duration:string>>>")
+    return F.transform(N.tokenize_events(text), one).cast(EVENTS)
+
+
+def _read_plain(text) -> Column:
+    """``_read`` of a plain text, with no pattern but for the words with a stroke."""
+
+    def one(e):
+        duration = F.when(F.contains(e, F.lit("/")), F.regexp_extract(e, N.DURATION_AT_END, 0)).otherwise("")
+        note = F.substring(e, F.lit(1), F.length(e) - F.length(duration))
+        notes = F.when(note == "", F.array().cast("array<string>")).otherwise(F.array(note))
+        return F.struct(e.alias("text"), F.struct(notes.alias("notes"), duration.alias("duration")).alias("own"))
+
+    return F.transform(_words(text), one).cast(EVENTS)
 
 
 def _compared(gt: Column, out: Column) -> Column:
@@ -66,14 +90,36 @@ def _right(gt: Column) -> Column:
     return F.struct(n.alias("n_events"), n.alias("events_ok"), notes.alias("n_notes"), notes.alias("pitch_ok"), n.alias("duration_ok"))
 
 
+def _right_words(words: Column, stroke: Column) -> Column:
+    """``_right`` of a plain measure: a word that is but a duration has no note."""
+    n = F.size(words)
+    notes = F.when(stroke, F.size(F.filter(words, lambda e: ~F.rlike(e, F.lit("^" + N.DURATION_AT_END))))).otherwise(n)
+    return F.struct(n.alias("n_events"), n.alias("events_ok"), notes.alias("n_notes"), notes.alias("pitch_ok"), n.alias("duration_ok"))
+
+
+def _compared_words(gt: Column, out: Column) -> Column:
+    """``_compared`` of plain measures without a stroke: a word is a note, and none has a duration of its own."""
+    n, hits = F.greatest(F.size(gt), F.size(out)), F.size(F.filter(F.zip_with(gt, out, lambda a, b: a == b), lambda v: v))
+    return F.struct(n.alias("n_events"), hits.alias("events_ok"), n.alias("n_notes"), hits.alias("pitch_ok"), F.least(F.size(gt), F.size(out)).alias("duration_ok"))
+
+
 def measure_scores(z: DataFrame) -> DataFrame:
     """One row per measure: whether it is right as a whole, and METRICS over its events.
 
-    Each text is read once; where both sides are the same, only one of them.
+    Each text is read once; where both sides are the same, only one of them. Measures of plain words, which most are, need
+    no reading of their events.
     """
     d = z.select(*SECTION, (F.col("gt") == F.col("out")).alias("same"), "gt", "out")
-    read = d.select(*SECTION, "same", _read("gt").alias("g"), F.when(~F.col("same"), _read("out")).alias("o"))
-    sums = F.when(F.col("same"), _right(F.col("g"))).otherwise(_compared(F.col("g"), F.col("o")))
+    d = d.select("*", _plain("gt").alias("gp"), F.when(F.col("same"), _plain("gt")).otherwise(_plain("out")).alias("op"))
+    d = d.withColumn("stroke", F.contains("gt", F.lit("/")) | F.contains("out", F.lit("/")))
+    d = d.withColumn("words", F.col("gp") & F.col("op") & (F.col("same") | ~F.col("stroke")))
+    same, words = F.col("same"), F.col("words")
+    side = lambda c, p: F.when(F.col(p), _read_plain(c)).otherwise(_read(c))
+    read = d.select(
+        *SECTION, "same", "words", "stroke", F.when(words, _words("gt")).alias("gw"), F.when(words & ~same, _words("out")).alias("ow"),
+        F.when(~words, side("gt", "gp")).alias("g"), F.when(~words & ~same, side("out", "op")).alias("o"))
+    sums = (F.when(words & same, _right_words(F.col("gw"), F.col("stroke"))).when(words, _compared_words(F.col("gw"), F.col("ow")))
+            .when(same, _right(F.col("g"))).otherwise(_compared(F.col("g"), F.col("o"))))
     return read.select(*SECTION, "same", sums.alias("s")).select(*SECTION, "same", "s.*")
 
 
