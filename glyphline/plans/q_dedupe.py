@@ -267,7 +267,11 @@ def layout_class(spark, sf):
     return G.layout_class(_staves(spark, sf), ["k"], "pos", "top", "bottom")
 
 
-@query("pair_consecutive", f"""WITH RECURSIVE {_STAFF}, f AS (SELECT k, pos, coalesce(lead(top) OVER w - bottom < (bottom - top) * 4, false) AS fit FROM st WINDOW w AS (PARTITION BY k ORDER BY pos)),
+# the same tops, rounded once from the shortest decimal of the quotient: five places first would round twice
+_STAFF_ONCE = _STAFF.replace("CAST(l_extendedprice / 500 AS DECIMAL(18, 5))", "CAST(CAST(l_extendedprice / 500 AS VARCHAR) AS DECIMAL(38, 20))")
+
+
+@query("pair_consecutive", f"""WITH RECURSIVE {_STAFF_ONCE}, f AS (SELECT k, pos, coalesce(lead(top) OVER w - bottom < (bottom - top) * 4, false) AS fit FROM st WINDOW w AS (PARTITION BY k ORDER BY pos)),
  g AS (SELECT k, 1::BIGINT AS i FROM f WHERE pos = 1 UNION ALL SELECT g.k, CASE WHEN fit THEN i + 2 ELSE i + 1 END FROM g JOIN f ON f.k = g.k AND f.pos = g.i)
  SELECT g.k AS k, i AS first, i + 1 AS second FROM g JOIN f ON f.k = g.k AND f.pos = g.i WHERE fit""")
 def pair_consecutive(spark, sf):
