@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import checkpoint, ship_package
-from .skew import SEG, find_split, same_keys
+from .skew import SEG, deal, find_split, same_keys
 
 
 class Rule:
@@ -112,7 +112,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule
     # the rule sees exactly `cols`, after the keys and the segment
     lanes = [F.col(k) for k in keys] + [F.col(SEG)] + [F.col(c).alias(f"__{i}_{c}") for i, c in enumerate(cols)]
     tagged = tagged.select(*need)
-    laid = tagged.repartition(*part).sortWithinPartitions(*part, *order)
+    laid = deal(tagged, part).sortWithinPartitions(*part, *order)
     key_fields = [df.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + list(T._parse_datatype_string(out).fields))
     if split is None:
@@ -152,7 +152,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], cols: list[str], rule
                         todo.add(gid)
                 # an empty segment hands its start state on
                 carried = rule.after(added, ends[gid]) if gid in ends else carried
-    laid = tagged.repartition(*part).sortWithinPartitions(*part, *order)
+    laid = deal(tagged, part).sortWithinPartitions(*part, *order)
     # a group's pending rows belong to its last segment that has any row
     final = {k: max([s for s in range(last + 1) if (*k, s) in ends], default=-1) for k, last in split.last.items()}
     return laid.select(*lanes).mapInArrow(_runner(rule, len(keys), out_schema, true_starts, final, False), out_schema)
