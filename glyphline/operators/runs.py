@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import scan as S
 from ..core.components import components
+from ..core.skew import deal
 from ..session import checkpoint
 
 BAND = 256
 # a box is cut into blocks of these many rows, each a look-up in a prefix table of its own
 BLOCK, LEVELS = 8, 4
+# bytes of runs, by the optimizer's estimate, whose ends are one task's
+PART_BYTES = 1 << 19
 
 
 def _c(c) -> Column:
@@ -41,7 +44,8 @@ def _joined(rows, part, out) -> DataFrame:
 
 def merge_runs(runs, keys, line="y", lo="x0", hi="x1") -> DataFrame:
     """(keys, line, lo, hi): overlapping and touching runs of a line become one. One exchange."""
-    return _joined(_inked(runs, keys, line, lo, hi), [*keys, "__line"], (line, lo, hi))
+    part = [*keys, "__line"]
+    return _joined(deal(_inked(runs, keys, line, lo, hi), part, needed=False), part, (line, lo, hi))
 
 
 def combine_runs(first, second, keys, keep, line="y", lo="x0", hi="x1") -> DataFrame:
@@ -57,7 +61,8 @@ def combine_runs(first, second, keys, keep, line="y", lo="x0", hi="x1") -> DataF
     w = W.partitionBy(*keys, "__line").orderBy("__lo")
     # rows at one place share the frame, so each sees all that starts or ends there
     depth = [F.sum(f"__d{k}").over(w) for k in (0, 1)]
-    steps = ends[0].unionByName(ends[1]).select(*keys, "__line", "__lo", F.lead("__lo").over(w).alias("__hi"), *[d.alias(f"__n{k}") for k, d in enumerate(depth)])
+    both = deal(ends[0].unionByName(ends[1]), [*keys, "__line"], PART_BYTES, needed=False)
+    steps = both.select(*keys, "__line", "__lo", F.lead("__lo").over(w).alias("__hi"), *[d.alias(f"__n{k}") for k, d in enumerate(depth)])
     taken = steps.filter((F.col("__hi") > F.col("__lo")) & keep(F.col("__n0") > 0, F.col("__n1") > 0)).select(*keys, "__line", "__lo", "__hi")
     return _joined(taken, [*keys, "__line"], (line, lo, hi))
 
@@ -85,7 +90,7 @@ def transpose_runs(runs, keys, line="y", lo="x0", hi="x1", out=("x", "y0", "y1")
     mark = lambda x, here, before, by: F.struct((F.col("__line") + by).alias("line"), F.col(x).alias("x"), F.lit(here).alias("here"), F.lit(before).alias("before"))
     marks = F.explode(F.array(mark("__lo", 1, 0, 0), mark("__hi", -1, 0, 0), mark("__lo", 0, 1, 1), mark("__hi", 0, -1, 1)))
     part = [*keys, "__band"]
-    ends = cut.select(*part, marks.alias("m")).select(*part, "m.*").repartition(*part)
+    ends = deal(cut.select(*part, marks.alias("m")).select(*part, "m.*"), part, PART_BYTES)
     w = W.partitionBy(*part, "line").orderBy("x")
     steps = ends.select(*part, "line", "x", F.lead("x").over(w).alias("x_end"), F.sum("here").over(w).alias("here"), F.sum("before").over(w).alias("before"))
     change = steps.filter((F.col("x_end") > F.col("x")) & ((F.col("here") > 0) != (F.col("before") > 0)))
@@ -122,7 +127,8 @@ def erase_lines(runs, keys, width: int, thick: int = 4) -> tuple[DataFrame, Data
     """
     long, short = width // 30, width // 100
     ink = checkpoint(merge_runs(runs, keys))
-    staff = open_runs(ink, keys, 2 * long - 1)
+    # runs that are merged already are whole stretches
+    staff = ink.filter(F.col("x1") - F.col("x0") >= 2 * long - 1)
     level = ink.filter(F.col("x1") - F.col("x0") >= short)
     ledger = subtract_runs(level, open_runs(level, keys, thick, across=True), keys)
     lines = checkpoint(unite_runs(staff, ledger, keys))
