@@ -291,8 +291,9 @@ def box_ink(runs, boxes, keys, box_id, x1="x1", y1="y1", x2="x2", y2="y2", name=
 
     A prefix table over run ends: ink left of X in a block of rows is the sum, over run ends before X, of their distance
     to X, added where runs start and taken off where they end. Blocks are rows, and 8, 64, 512 of them; a box is
-    two look-ups in each block it is made of. Runs and look-ups meet in one exchange on the block, and the table is one
-    running sum. Boxes at one place are looked up once. Empty boxes have no ink.
+    two look-ups in each block it is made of. Runs and look-ups meet in one exchange on the largest block, where a run is
+    one row and is dropped if no box asks for that block, and the table is one running sum. Boxes at one place are looked up
+    once. Empty boxes have no ink.
     """
     at = [x1, y1, x2, y2]
     found = _place_ink(runs, _places(boxes, keys, at).toDF(*keys, "x1", "y1", "x2", "y2"), keys, name)
@@ -303,17 +304,23 @@ def box_ink(runs, boxes, keys, box_id, x1="x1", y1="y1", x2="x2", y2="y2", name=
 def _place_ink(runs, places, keys, name="ink") -> DataFrame:
     """(keys, x1, y1, x2, y2, ink) of distinct places that are not empty."""
     at = ["x1", "y1", "x2", "y2"]
-    ink = _inked(runs, keys)
-    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), _div("__line", BLOCK**n).alias("block")) for n in range(LEVELS)]))
-    end = lambda x, s: F.struct(F.col(x).alias("at"), F.lit(s).alias("s"), (F.col(x) * s).alias("t"))
-    ends = ink.select(*keys, levels.alias("l"), F.array(end("__lo", 1), end("__hi", -1)).alias("e"))
-    ends = ends.select(*keys, "l.level", "l.block", F.explode("e").alias("e")).select(*keys, "level", "block", "e.at", "e.s", "e.t")
+    top = LEVELS - 1
+    ink = _inked(runs, keys).select(*keys, _div("__line", BLOCK**top).alias("__band"), "__line", "__lo", "__hi")
     asks = places.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
     asks = asks.select(*keys, F.struct(*at).alias("__place"), F.explode(_blocks(F.col("y1"), F.col("y2"))).alias("b"))
-    looks = F.explode(F.array(*[F.struct(F.col("__place")[x].alias("at"), F.lit(k).alias("by")) for x, k in (("x1", -1), ("x2", 1))]))
-    asks = asks.select(*keys, "__place", "b", looks.alias("q")).select(*keys, "__place", "b.level", "b.block", "q.at", "q.by")
-    w = W.partitionBy(*keys, "level", "block").orderBy("at")
-    seen = ends.unionByName(asks, allowMissingColumns=True).select("*", F.sum("s").over(w).alias("__s"), F.sum("t").over(w).alias("__t"))
+    band = F.coalesce(*[F.when(F.col("b.level") == n, _div("b.block", BLOCK ** (top - n))) for n in range(LEVELS)])
+    looks = F.array(*[F.struct(F.col("__place")[x].alias("at"), F.lit(k).alias("by")) for x, k in (("x1", -1), ("x2", 1))])
+    asks = asks.select(*keys, band.alias("__band"), "__place", "b", F.explode(looks).alias("q")).select(*keys, "__band", "__place", "b.level", "b.block", "q.at", "q.by")
+    # a band is a block of the highest level: a run goes there once, and becomes ends in blocks only where a box asks for some
+    part = [*keys, "__band"]
+    met = deal(ink.unionByName(asks, allowMissingColumns=True), part)
+    met = met.withColumn("__asked", F.max("by").over(W.partitionBy(*part))).filter(F.col("__asked").isNotNull())
+    cell = lambda level, block, at, s: F.struct(level.cast("int").alias("level"), block.alias("block"), at.cast("long").alias("at"), F.lit(s).cast("int").alias("s"), (at * F.lit(s)).cast("long").alias("t"))
+    ends = F.array(*[cell(F.lit(n), _div("__line", BLOCK**n), F.col(x), s) for n in range(LEVELS) for x, s in (("__lo", 1), ("__hi", -1))])
+    rows = F.when(F.col("by").isNull(), ends).otherwise(F.array(cell(F.col("level"), F.col("block"), F.col("at"), None)))
+    met = met.select(*part, "__place", "by", F.explode(rows).alias("e")).select(*part, "__place", "by", "e.*")
+    w = W.partitionBy(*part, "level", "block").orderBy("at")
+    seen = met.select("*", F.sum("s").over(w).alias("__s"), F.sum("t").over(w).alias("__t"))
     value = F.col("by") * (F.col("at") * F.coalesce("__s", F.lit(0)) - F.coalesce("__t", F.lit(0)))
     found = seen.filter(F.col("by").isNotNull()).groupBy(*keys, "__place").agg(F.sum(value).alias(name))
     return found.select(*keys, *[F.col("__place")[c].alias(c) for c in at], name)
