@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core import scan as S
 from ..functions import scalar as N
-from ..core.skew import probed
+from ..core.skew import PART_ROWS, probed, spread
 from ..operators import aggregates as A
 from ..operators import budget as R
 from ..operators import confidence as C
@@ -92,7 +92,9 @@ def staff_measures(units, rests, barlines, anchors, keys, first_staff, default_b
         notes = p.filter("NOT pickup")
         notes = checkpoint(R.evidence_leads(notes, mk, ["x", "event_id"], "dur", "cap", "rb"))
         one = R.single_fill(notes.filter("n = 1"), mk, ["x", "event_id"], "dur", "cap", "rb", F.col("evidence")).select(*mk, *out)
-        led = R.measure_budget(notes.filter("leads AND n >= 2").drop("duration"), mk, "x", "event_id", "dur", "cap", "rb", "edge", F.col("evidence"))
+        # some twenty sorts follow one exchange: its parts are held to a number of rows
+        led = spread(notes.filter("leads AND n >= 2").drop("duration"), mk, part_rows=PART_ROWS)
+        led = R.measure_budget(led, mk, "x", "event_id", "dur", "cap", "rb", "edge", F.col("evidence"))
         led = led.withColumnRenamed("dur", "duration").select(*mk, *out)
         free = notes.filter("NOT leads AND n >= 2").drop("duration", "source").withColumn("rem", F.greatest(F.lit(0.25), F.col("cap") - F.col("rb")))
         free = R.proportional_alloc(free, mk, "x", "event_id", "rem", "edge", F.col("dur") >= 2.0, "dur", F.array("dur")).select(*mk, *out)
