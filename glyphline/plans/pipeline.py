@@ -143,7 +143,9 @@ def read_tuplets(notes, ev, markers, keys) -> DataFrame:
         own = F.when(F.size("idurs") > 0, F.col("idurs")).otherwise(own)
     pool = units.select(*mk, "event_id", "x", own.alias("idurs"), "rb", "cap")
     marks = J.midpoint_bind(markers.withColumn("x", F.col("x").cast("double")), pool, keys, "measure_idx", "x", "x", "marker_id")
-    read = R.choose_interpretation(pool, marks.withColumnRenamed("x", "mx"), mk, "x", "event_id", "idurs", "rb", "cap", "mx", "n", "marker_id")
+    # of the markers as read: looking it up in those bound to measures would bind them twice
+    longest = markers.agg(F.max("n")).first()[0] or 0
+    read = R.choose_interpretation(pool, marks.withColumnRenamed("x", "mx"), mk, "x", "event_id", "idurs", "rb", "cap", "mx", "n", "marker_id", longest)
     read = read.select(*[F.col(c).alias(f"__t_{c}") for c in [*mk, "event_id", "duration", "source"]])
     same = [F.col(c) == F.col(f"__t_{c}") for c in [*mk, "event_id"]]
     both = notes.join(read, reduce(lambda a, b: a & b, same), "left")
