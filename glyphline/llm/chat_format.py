@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,8 +15,11 @@ START, SEP, NEXT, END = "<|start|>", "<|sep|>", "<|next|>", "<|end|>"
 CONTROL = (START, SEP, NEXT, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LOSS_ROLES = ("assistant",)
 
-# a control string's first character, backslashes, and the rest: escaping adds a backslash, reading takes one off
-_REST = "|".join(f"(?<={re.escape(c[0])})(?=\\\\*{re.escape(c[1:])})" for c in CONTROL)
+# a control string's first character, backslashes, and the rest: escaping adds a backslash, reading takes one off. Both patterns begin
+# with the character that is looked for, and only texts that contain it meet them: trying a pattern at every place is the costly part
+_RESTS = {c: r"\\*(?:" + "|".join(re.escape(s[1:]) for s in CONTROL if s[0] == c) + ")" for c in sorted({s[0] for s in CONTROL})}
+_BARE = "|".join(f"{re.escape(c)}(?={rest})" for c, rest in _RESTS.items())
+_ESCAPED = r"\\(?:" + "|".join(rf"(?<={re.escape(c)}\\)(?={rest})" for c, rest in _RESTS.items()) + ")"
 
 
 def escape(text: Column) -> Column:
@@ -23,11 +27,12 @@ def escape(text: Column) -> Column:
 
     A control string that has backslashes there already gets one more too, which makes it reversible.
     """
-    return F.regexp_replace(text, _REST, r"\\")
+    may = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in _RESTS])
+    return F.when(may, F.regexp_replace(text, _BARE, r"$0\\")).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, "|".join(f"(?<={re.escape(c[0])})\\\\(?=\\\\*{re.escape(c[1:])})" for c in CONTROL), "")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, _ESCAPED, "")).otherwise(text)
 
 
 def _quote(mark: str) -> str:
@@ -76,9 +81,11 @@ def read_back(formatted: Column) -> Column:
     """The turns (role, text) that a formatted conversation was made from."""
 
     def turns(block: Column) -> Column:
-        parts = F.split(block, _quote(SEP), -1)
-        role = unescape(F.substring(parts[0], len(START) + 1, 1 << 30))
-        return let(role, lambda r: F.transform(F.split(parts[1], _quote(NEXT), -1), lambda t: F.struct(r.alias("role"), unescape(t).alias("text"))))
+        def said(parts: Column) -> Column:
+            role = unescape(F.substring(parts[0], len(START) + 1, 1 << 30))
+            return let(role, lambda r: F.transform(F.split(parts[1], _quote(NEXT), -1), lambda t: F.struct(r.alias("role"), unescape(t).alias("text"))))
+
+        return let(F.split(block, _quote(SEP), -1), said)
 
     blocks = F.split(formatted, _quote(END), -1)
     return let(blocks, lambda b: F.flatten(F.transform(F.slice(b, 1, F.size(b) - 1), turns)))

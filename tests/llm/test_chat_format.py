@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,29 @@ def test_probe_conversation(spark):
     said = "</s>[INST] ok [/INST]"
     assert tuple(r)[:5] == (-7, 2, sha(f"user\n{said}\nassistant\n{said}\n"), len(said), sha(said))
     assert C.format_chats(none).collect() == []
+
+
+def test_escaping_is_by_place(spark):
+    """A backslash after the first character of every control string, wherever they touch or overlap, and off again."""
+    rng = random.Random(5)
+    bits = ["<", "[", "\\", "\\\\\\", "<<", "s>", "/s>", "<s>", "<SYS>>", "</SYS>>", "INST]", "/INST]", "|end|>", "|im_end|>", "$0", "$1", "é", "\U0001f600", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    places = "|".join(f"(?<={re.escape(c[0])})(?=\\\\*{re.escape(c[1:])})" for c in C.CONTROL)
+    rows = spark.createDataFrame([(x,) for x in texts] + [(None,)], "x string").select("x", C.escape(F.col("x")).alias("e"))
+    got = rows.select("x", "e", C.unescape(F.col("e")).alias("u"), C.unescape(F.col("x")).alias("ux")).collect()
+    undo = "|".join(f"(?<={re.escape(c[0])})\\\\(?=\\\\*{re.escape(c[1:])})" for c in C.CONTROL)
+    for r in got:
+        assert r.u == r.x
+        assert r.x is None or (r.e, r.ux) == (re.sub(places, r"\\", r.x), re.sub(undo, "", r.x)), r.x
+    assert sum(r.x != r.e for r in got) > 1000
+
+
+def test_patterns_meet_only_texts_that_may_need_them(spark):
+    chats = C.format_chats(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string"))
+    plan = C.digests(chats)._jdf.queryExecution().optimizedPlan().toString()
+    # each stands behind a look for its first character, and begins with it
+    found = re.findall(r"(\w+) regexp_replace\([^,]*, (.{3})", plan)
+    assert found and {word for word, _ in found} == {"THEN"}
+    assert not any(pattern.startswith("(?<") for _, pattern in found)
+    # a block is cut into its parts once
+    assert plan.count("\\Q" + C.SEP + "\\E") == 1
